@@ -15,5 +15,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import token_files
+    from lodestone.plans.storage import fresh_path
+
+    path = fresh_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path, token_files.crc32, "ids_crc32 long")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import bpe
+
+    return bpe.encode_with(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, bpe.digest, bpe.DIGEST)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_token_files": op4_token_files, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
