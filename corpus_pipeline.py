@@ -1,25 +1,62 @@
-"""A corpus pipeline over the table documents: each stage works on what its predecessor kept."""
+"""A corpus pipeline over the table documents: each stage works on what its predecessor kept.
+
+Toxic documents go, then all but one document of each group of near copies; secrets in the texts are blotted out; sources
+are mixed to target weights, for which documents can recur in several epochs; what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.llm import bpe, mixing, secrets, toxicity
 from lodestone.llm.simhash import simhash_groups
 from lodestone.plans.storage import fresh_path
 
+#: Models, ordered budgets and BPE ids can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out()))
+    return toxicity.without_toxic(docs, model)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    keep = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One document of each SimHash group stays: the one with the smallest doc_id. Rows without doc_id stay."""
+    keep = simhash_groups(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts give way to a mark; n_chars follows. No document goes."""
+    out = secrets.redacted(secrets.scan(docs)).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture selects them, with as many words in all as there were, if the leaves have them."""
+    return mixing.mix(docs, mixing.document_levels(), mixing.WEIGHTS).select(*docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document, under a byte-level BPE."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_with(docs, path, public_tokenizers.PATTERN, lambda ids, _: (len(ids), ids), "n_tokens long, ids array<int>")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", near_dedup),
+    ("secret_scan", blot_secrets),
+    ("mixing", mix_sources),
+    ("bpe_encoding", encode_texts),
 ]
 
 

@@ -44,5 +44,59 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_token_files": op4_token_files, "op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import secrets
+
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.anisotropic import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import chat
+
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.parse_chats(chat.format_chats(turns)))
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.spotsigs import edited_likeness
+
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import mixing
+    from lodestone.plans.storage import saved
+
+    docs = _table(spark, sf_dir, "documents")
+    slim = saved(docs.select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"), F.md5("text").alias("text")))
+    out = mixing.mix(slim, mixing.document_levels(), mixing.WEIGHTS, tokens=F.col("n_tokens"))
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_anisotropic": op3_anisotropic, "op4_token_files": op4_token_files,
+    "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_spotsigs": op7_spotsigs, "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing,
+}
 ORACLE_SQL: dict[str, str] = {}
