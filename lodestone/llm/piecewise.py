@@ -8,6 +8,7 @@ rules below goes through the library as a whole, so the results are the library'
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
 import numpy as np
@@ -15,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-KEPT = 300_000
+KEPT = 400_000
 PLAIN = "֐"  # below it, letters and white space are the same in every Unicode version in use
 ENDS = frozenset(".,;:!?")
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to some libraries and not to others
 # The pre-token patterns of the two vocabularies, as their files have them.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -47,12 +49,22 @@ class _Model:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def pre_token(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.chars))]
+        if text.isascii() and text[1:].isalpha():  # letters stand for themselves
+            written = text if text[0] != " " else self.chars[32] + text[1:]
+        else:
+            written = text.encode().decode("latin-1").translate(self.chars)
+        return [t.id for t in self.model.tokenize(written)]
 
     def odd(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
 
+def _edged(parts: list[str]) -> np.ndarray:
+    """Which parts are empty or begin or end with white space."""
+    given = pa.array(parts, pa.large_string())
+    return np.asarray(pc.or_(pc.not_equal(pc.utf8_trim_whitespace(given), given), pc.equal(given, "")))
+
+
 def _split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Offsets, codes and distinct values of the texts' parts between single spaces."""
     parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -73,12 +85,13 @@ class ByteLevelIds(_Model):
         self._forget()
 
     def _forget(self) -> None:
+        """Starts new tables; pre-tokens of the last ones are looked up there once more."""
         self.at: dict[str, int] = {}
-        self.pre: dict[str, list[int]] = {}
-        self.first, self.count, self.pool = [0], [0], []
+        self.old, self.pre = getattr(self, "pre", {}), {}
+        self.first, self.count, self.pool = array("q", [0]), array("q", [0]), array("I")
 
     def _ids(self, piece: str) -> list[int]:
-        if piece and max(piece) >= PLAIN:
+        if not piece.isascii() and max(piece) >= PLAIN:
             return self.tok.encode(piece, add_special_tokens=False).ids
         core = piece[1:] if piece[:1] == " " else piece
         if core.isalpha():
@@ -91,18 +104,22 @@ class ByteLevelIds(_Model):
         for x in found:
             ids = self.pre.get(x)
             if ids is None:
-                ids = self.pre[x] = self.pre_token(x)
+                ids = self.pre[x] = self.old.get(x) or self.pre_token(x)
+            if len(found) == 1:
+                return ids
             out += ids
         return out
 
-    def _look(self, piece: str) -> int:
-        k = self.at.get(piece)
+    def _look(self, part: str, leading: bool = False) -> int:
+        """Where the ids of a part lie; other parts than a text's leading one have a space before them."""
+        name = "\n" + part if leading else part  # no part that is looked up begins with white space
+        k = self.at.get(name)
         if k is None:
-            ids = self._ids(piece)
-            k = self.at[piece] = len(self.first)
+            ids = self._ids(part if leading else " " + part)
+            k = self.at[name] = len(self.first)
             self.first.append(len(self.pool))
             self.count.append(len(ids))
-            self.pool += ids
+            self.pool.extend(ids)
         return k
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,20 +127,23 @@ class ByteLevelIds(_Model):
         if len(self.at) > KEPT or len(self.pre) > KEPT:
             self._forget()
         offsets, codes, parts = _split(texts)
-        bad = np.array([not p or p[0].isspace() or p[-1].isspace() for p in parts], bool)
+        bad = _edged(parts)
         lengths = np.diff(offsets)
-        whole = np.array([self.odd(t) for t in texts], bool)
+        whole = np.array([self.odd(t) or any(c in t for c in SEPARATORS) for t in texts], bool)
         if bad.any():
             hit = np.add.reduceat(bad[codes].astype(np.int64), offsets[:-1])
             whole |= (hit > 0) & ~((lengths == 1) & (np.array([len(t) for t in texts]) == 0))
-        spaced = np.array([0 if b else self._look(" " + p) for p, b in zip(parts, bad.tolist())], np.int64)
-        key = spaced[codes]
-        key[offsets[:-1]] = [0 if w or not t else self._look(t.partition(" ")[0]) for t, w in zip(texts, whole.tolist())]
+        at = self.at
+        spaced = [at.get(p) for p in parts]
+        for k in [k for k, v in enumerate(spaced) if v is None]:
+            spaced[k] = 0 if bad[k] else self._look(parts[k])
+        key = np.array(spaced, np.int64)[codes]
+        key[offsets[:-1]] = [0 if w or not t else self._look(t.partition(" ")[0], True) for t, w in zip(texts, whole.tolist())]
         key[np.repeat(whole, lengths)] = 0
-        first, count = np.array(self.first, np.int64)[key], np.array(self.count, np.int64)[key]
+        first, count = np.frombuffer(self.first, np.int64)[key], np.frombuffer(self.count, np.int64)[key]
         done = np.cumsum(count)
         total = int(done[-1]) if len(done) else 0
-        ids = np.array(self.pool or [0], np.uint32)[np.arange(total) - np.repeat(done - count, count) + np.repeat(first, count)]
+        ids = np.array(self.pool or [0], np.uint32)[np.arange(total) + np.repeat(first - (done - count), count)]
         sizes = np.add.reduceat(count, offsets[:-1])
         if whole.any():
             starts = np.cumsum(sizes) - sizes
@@ -169,7 +189,7 @@ class WordCounts(_Model):
         """The number of tokens of each text."""
         if len(self.words) > KEPT or len(self.pre) > KEPT:
             self.words, self.pre = {}, {}
-        whole = {i: len(self.tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if self.odd(t) or any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        whole = {i: len(self.tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if self.odd(t) or any(c in t for c in SEPARATORS)}
         plain = ["" if i in whole else self.normal(t) for i, t in enumerate(texts)]
         runs = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         coded = runs.flatten().dictionary_encode()

@@ -16,14 +16,18 @@ _N = np.array([0, *(n for n, _ in SELECTORS), 1], np.int64)
 _PAD = 60
 
 
+_SHORT = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(ids.shape, np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(step) > 0
-        out[big] += step
-        rest[big] >>= np.uint64(step)
-    return out + (rest > 0).astype(np.uint8)
+    """Bits of each id."""
+    out = _SHORT[ids & np.uint64(0xFFFF)]
+    for shift in (16, 32, 48):
+        rest = np.flatnonzero(ids >> np.uint64(shift))
+        if not len(rest):
+            break
+        out[rest] = shift + _SHORT[ids[rest] >> np.uint64(shift) & np.uint64(0xFFFF)]
+    return out
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +54,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     choice = np.full(flat.shape, ESCAPE, np.uint8)
     for k in range(len(SELECTORS), 0, -1):
         n, bits = SELECTORS[k - 1]
-        choice[widest[n] <= bits] = k
+        np.copyto(choice, k, where=widest[n] <= bits, casting="unsafe")
     del widest
     end = np.full(rows, BLOCK)
     if total % BLOCK:
