@@ -14,6 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.storage import saved
+
+SMALL = 50_000  # leaves that are sent to every task, at most
 DIGITS = 3  # hex digits of the order's hash that name a bucket of a leaf's epoch
 
 
@@ -82,19 +85,20 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
         raise ValueError(f"columns {sorted(clash)} are used inside")
     names = list(levels)
     base = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()} | {n_tokens: word_count(F.col(text_col)) if tokens is None else tokens})
-    have = base.groupBy(*names).agg(F.sum(n_tokens).alias("have"))
-    leaves = leaf_budgets(have, names, weights, budget, max_epochs).select(
-        *names, F.coalesce(F.expr("given div nullif(have, 0)"), F.lit(0)).cast("int").alias("_full"), F.coalesce(F.expr("given % nullif(have, 0)"), F.lit(0)).alias("_rest"))
-    rows = base.join(leaves, names)
+    have = saved(base.groupBy(*names).agg(F.sum(n_tokens).alias("have")))
+    leaves = saved(leaf_budgets(have, names, weights, budget, max_epochs).select(
+        *names, F.coalesce(F.expr("given div nullif(have, 0)"), F.lit(0)).cast("int").alias("_full"), F.coalesce(F.expr("given % nullif(have, 0)"), F.lit(0)).alias("_rest")))
+    small = F.broadcast if leaves.count() <= SMALL else lambda df: df  # then a leaf's documents stay where they are
+    rows = base.join(small(leaves), names)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     rows = rows.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, DIGITS))
     sums = rows.groupBy(*names, "_bucket").agg(F.sum(n_tokens).alias("_own"))
     ahead = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_own").over(ahead), F.lit(0)))
-    ends = sums.join(leaves, names).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_own")))
+    ends = sums.join(small(leaves), names).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_own")))
     # A leaf has one bucket in which its budget ends (none if it ends with the epoch, of which nothing is left then).
     ends = ends.select(*names, F.col("_bucket").alias("_end"), "_before")
-    rows = rows.join(ends, names, "left")
+    rows = rows.join(small(ends), names, "left")
     epochs = rows.where("_full > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _full - 1)")))
     below = rows.where("_rest > 0 and _bucket < _end").withColumn("epoch", F.col("_full"))
     within = Window.partitionBy(*names, "_bucket").orderBy("_order", id_col, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
