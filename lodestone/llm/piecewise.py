@@ -16,12 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-KEPT = 400_000
+KEPT = 800_000
+RUN = 500  # new parts in one call
 PLAIN = "֐"  # below it, letters and white space are the same in every Unicode version in use
-ENDS = frozenset(".,;:!?")
+ENDS = ".,;:!?"
+SPANS = regex.compile(r"[\p{L}\uFFFD][ .,;:!?]|[.,;:!?] ")  # a token like this could join what the pattern parts
 SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to some libraries and not to others
-# The pre-token patterns of the two vocabularies, as their files have them.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the pre-token pattern of the word vocabulary, as its file has it.
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -48,13 +49,6 @@ class _Model:
         self.model, self.chars = self.tok.model, byte_chars()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
-    def pre_token(self, text: str) -> list[int]:
-        if text.isascii() and text[1:].isalpha():  # letters stand for themselves
-            written = text if text[0] != " " else self.chars[32] + text[1:]
-        else:
-            written = text.encode().decode("latin-1").translate(self.chars)
-        return [t.id for t in self.model.tokenize(written)]
-
     def odd(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
@@ -73,7 +67,7 @@ def _split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class ByteLevelIds(_Model):
-    """Ids under a byte-level BPE (pattern BYTE_LEVEL, no normaliser).
+    """Ids under a byte-level BPE whose pattern lets a space start a pre-token, and without a normaliser.
 
     A space between two characters that aren't white space always starts a pre-token. Texts are cut there; a text
     with other white space beside a space, or with a special token's string, goes through the library whole.
@@ -81,50 +75,65 @@ class ByteLevelIds(_Model):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.pattern = regex.compile(BYTE_LEVEL)
+        vocab, space = self.tok.get_vocab(), self.chars[32]
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.opens[[i for t, i in vocab.items() if t[0] == space]] = True
+        code = {c: b for b, c in self.chars.items()}
+        self.apart = not any(SPANS.search(bytes(map(code.get, t)).decode("utf-8", "replace")) for t in vocab if t not in self.special)
         self._forget()
 
     def _forget(self) -> None:
-        """Starts new tables; pre-tokens of the last ones are looked up there once more."""
         self.at: dict[str, int] = {}
-        self.old, self.pre = getattr(self, "pre", {}), {}
         self.first, self.count, self.pool = array("q", [0]), array("q", [0]), array("I")
 
-    def _ids(self, piece: str) -> list[int]:
-        if not piece.isascii() and max(piece) >= PLAIN:
-            return self.tok.encode(piece, add_special_tokens=False).ids
-        core = piece[1:] if piece[:1] == " " else piece
-        if core.isalpha():
-            found = [piece]
-        elif core[:-1].isalpha() and core[-1] in ENDS:
-            found = [piece[:-1], core[-1]]
-        else:
-            found = self.pattern.findall(piece)
-        out: list[int] = []
-        for x in found:
-            ids = self.pre.get(x)
-            if ids is None:
-                ids = self.pre[x] = self.old.get(x) or self.pre_token(x)
-            if len(found) == 1:
-                return ids
-            out += ids
-        return out
+    def _keep(self, name: str, ids: np.ndarray) -> int:
+        k = self.at[name] = len(self.first)
+        self.first.append(len(self.pool))
+        self.count.append(len(ids))
+        self.pool.frombytes(ids.tobytes())
+        return k
 
-    def _look(self, part: str, leading: bool = False) -> int:
-        """Where the ids of a part lie; other parts than a text's leading one have a space before them."""
-        name = "\n" + part if leading else part  # no part that is looked up begins with white space
+    def _leading(self, part: str) -> int:
+        """Where the ids of a text's first part lie."""
+        name = "\n" + part  # no part that is looked up begins with white space
         k = self.at.get(name)
-        if k is None:
-            ids = self._ids(part if leading else " " + part)
-            k = self.at[name] = len(self.first)
-            self.first.append(len(self.pool))
-            self.count.append(len(ids))
-            self.pool.extend(ids)
-        return k
+        return self._keep(name, np.array(self.tok.encode(part, add_special_tokens=False).ids, np.uint32)) if k is None else k
+
+    def _plain(self, part: str) -> bool:
+        """Whether a part is letters and at most a closing mark after them: its pre-tokens are clear, and no token spans two of them."""
+        return part.isalpha() or part[-1] in ENDS and part[:-1].isalpha() and part[-2].isascii()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts that have a space before them, many in one call: the tokens that begin with a space tell where each part begins.
+
+        Plain parts go to the model at once, others through the library's pre-tokeniser.
+        """
+        plain = [self.apart and max(p) < PLAIN and self._plain(p) for p in parts]
+        for direct in (True, False):
+            mine = [p for p, d in zip(parts, plain) if d == direct]
+            runs = [mine[i : i + RUN] for i in range(0, len(mine), RUN)]
+            if direct:
+                found = ([t.id for t in self.model.tokenize((" " + " ".join(r)).encode().decode("latin-1").translate(self.chars))] for r in runs)
+            else:
+                found = (e.ids for e in self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False))
+            for run, got in zip(runs, found):
+                self._store(run, np.array(got, np.uint32))
+
+    def _store(self, run: list[str], ids: np.ndarray) -> None:
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(run):  # a special token's string or an unusual space among them
+            for p in run:
+                self._keep(p, np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, np.uint32))
+            return
+        k, at = len(self.first), len(self.pool)
+        self.at.update(zip(run, range(k, k + len(run))))
+        self.first.frombytes((starts + at).astype(np.int64).tobytes())
+        self.count.frombytes(np.diff(starts, append=len(ids)).astype(np.int64).tobytes())
+        self.pool.frombytes(ids.tobytes())
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text."""
-        if len(self.at) > KEPT or len(self.pre) > KEPT:
+        if len(self.at) > KEPT:
             self._forget()
         offsets, codes, parts = _split(texts)
         bad = _edged(parts)
@@ -133,12 +142,10 @@ class ByteLevelIds(_Model):
         if bad.any():
             hit = np.add.reduceat(bad[codes].astype(np.int64), offsets[:-1])
             whole |= (hit > 0) & ~((lengths == 1) & (np.array([len(t) for t in texts]) == 0))
-        at = self.at
-        spaced = [at.get(p) for p in parts]
-        for k in [k for k, v in enumerate(spaced) if v is None]:
-            spaced[k] = 0 if bad[k] else self._look(parts[k])
-        key = np.array(spaced, np.int64)[codes]
-        key[offsets[:-1]] = [0 if w or not t else self._look(t.partition(" ")[0], True) for t, w in zip(texts, whole.tolist())]
+        at, parts = self.at, ["" if b else p for b, p in zip(bad.tolist(), parts)]
+        self._learn([p for p in parts if p and p not in at])
+        key = np.array([at[p] if p else 0 for p in parts], np.int64)[codes]
+        key[offsets[:-1]] = [0 if w or not t else self._leading(t.partition(" ")[0]) for t, w in zip(texts, whole.tolist())]
         key[np.repeat(whole, lengths)] = 0
         first, count = np.frombuffer(self.first, np.int64)[key], np.frombuffer(self.count, np.int64)[key]
         done = np.cumsum(count)
