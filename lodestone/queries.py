@@ -339,7 +339,7 @@ query("entry_points", f"{VQ} SELECT (place / step)::INTEGER AS place, id FROM (S
 
 @query("hnsw_search")
 def hnsw_search(spark, sf):
-    """Recall-gated stand-in for graph walks: inverted lists with enough probes for a recall that a walk of this effort has."""
+    """Stand-in for graph walks: 8 of 10 inverted lists are scanned. The README has its recall; nothing here checks it."""
     v = vectors(spark, sf)
     c = trained(v)
     return rounded(clustering.IvfIndex(clustering.assign(v, c).drop("centroid_distance"), c).search(asked(v), K, 8))
