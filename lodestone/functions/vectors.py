@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from enum import Enum
+from itertools import combinations, islice
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,9 +83,8 @@ def bucket(a: Column, planes: Sequence[Sequence[float]]) -> Column:
 
 
 def probe_masks(bits: int, probes: int) -> list[int]:
-    """0, then single bits, then pairs of bits, as many as ``probes``."""
-    pairs = [1 << i | 1 << j for i in range(bits) for j in range(i + 1, bits)]
-    return [0, *(1 << i for i in range(bits)), *pairs][:probes]
+    """0, then single bits, then pairs of bits, triples and so on, as many as ``probes``."""
+    return list(islice((sum(1 << i for i in some) for n in range(bits + 1) for some in combinations(range(bits), n)), probes))
 
 
 def locality(p: Column, q: Column, weights: Sequence[float]) -> Column:

@@ -63,7 +63,7 @@ def test_kernels(spark):
     assert get(V.entropy(V.literal([1, 1, 1, 1]))) > get(V.entropy(V.literal([0.1, 0.5, 2, 5])))
     assert get(V.decay_half_life(F.lit(0.5), F.lit(0))) == 0.5 and abs(get(V.decay_half_life(F.lit(0.5), F.lit(172800))) - 0.875) < 1e-12
     assert abs(sum(get(V.softmax(V.literal([1, 2, 3])))) - 1) < 1e-12
-    assert V.probe_masks(4, 3) == [0, 1, 2] and V.parse_metric("L2") is Metric.EUCLIDEAN
+    assert V.probe_masks(4, 3) == [0, 1, 2] and V.probe_masks(3, 9) == [0, 1, 2, 4, 3, 5, 6, 7] and V.parse_metric("L2") is Metric.EUCLIDEAN
     with pytest.raises(ValueError):
         V.parse_metric("manhattan")
 
