@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def bucketed(data: DataFrame, planes: Planes) -> DataFrame:
 
 
 def probes(queries: DataFrame, planes: Planes, n: int) -> DataFrame:
-    """(query_id, qv, bucket, probe): the query's bucket, then those one bit and two bits away."""
+    """(query_id, qv, bucket, probe): the query's bucket, then those one bit away, two bits and so on."""
     masks = F.array(*map(F.lit, V.probe_masks(len(planes), n)))
     own = V.bucket(F.col("vector"), planes)
     return queries.select("query_id", F.col("vector").alias("qv"), own.alias("own"), F.posexplode(masks).alias("probe", "mask")).select("query_id", "qv", F.col("own").bitwiseXOR(F.col("mask")).alias("bucket"), "probe")
@@ -34,10 +35,12 @@ def swift_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_
 def fusion_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_probes: int = 8, factor: float = 3.0, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
     """Buckets in probe order; stops once factor * k candidates lie within the k-th best distance so far."""
     met = probes(queries, planes, n_probes).join(bucketed(data, planes).select("bucket", "id", "vector"), "bucket").select("query_id", "probe", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance"))
-    lists = met.groupBy("query_id", "probe").agg(F.array_sort(F.collect_list("distance")).alias("ds"))  # a bucket's
+    most = ceil(factor * k)  # the most-th best distance is no more than the k-th once so many lie within it
+    place = F.row_number().over(Window.partitionBy("query_id", "probe").orderBy("distance"))
+    near = met.withColumn("place", place).where(F.col("place") <= max(most, k))  # a bucket's others can't change either
+    lists = near.groupBy("query_id", "probe").agg(F.collect_list("distance").alias("ds"))
     upto = lists.withColumn("seen", F.array_sort(F.flatten(F.collect_list("ds").over(Window.partitionBy("query_id").orderBy("probe")))))
-    kth = F.try_element_at("seen", F.lit(k))
-    enough = (F.size("seen") >= factor * k) & (F.size(F.filter("seen", lambda d: d <= kth)) >= factor * k)
+    enough = F.try_element_at("seen", F.lit(max(most, 1))) <= F.try_element_at("seen", F.lit(k))
     stop = upto.where(enough).groupBy("query_id").agg(F.min("probe").alias("stop"))
     kept = met.join(stop, "query_id", "left").where(F.col("stop").isNull() | (F.col("probe") <= F.col("stop")))
     return top_k(kept.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k).select("query_id", "rank", "id", "distance")
