@@ -59,21 +59,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(metric: Metric, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
-    """The best ``k`` of each query: picked by matrix products, then measured term by term."""
+def _best(metric: Metric, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, scale: np.ndarray | None = None) -> pa.Table:
+    """The best ``k`` of each query: picked by matrix products, then measured term by term; ``scale`` multiplies each row's distances."""
+    scale = np.ones(len(x)) if scale is None else scale
     out: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(q) if len(x) else 0, 64):
         mine = q[at : at + 64]
-        near = _distances(metric, mine, x)
+        near = _distances(metric, mine, x) * scale
         most = min(len(x), k + 16)  # the products' rounding can swap near-ties
         pick = np.argpartition(near, most - 1, 1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(mine), 1))
         edge = np.take_along_axis(near, pick, 1).max(1)
-        exact = _exact(metric, mine, x[pick])
+        exact = _exact(metric, mine, x[pick]) * scale[pick]
         order = np.lexsort((ids[pick], exact), axis=1)[:, :k]
         got, d = np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
         for r in np.flatnonzero((near <= edge[:, None] + 1e-9).sum(1) > most):  # more ties than were picked
             all_ = np.flatnonzero(near[r] <= edge[r] + 1e-9)
-            e = _exact(metric, mine[r : r + 1], x[all_][None])[0]
+            e = _exact(metric, mine[r : r + 1], x[all_][None])[0] * scale[all_]
             o = np.lexsort((ids[all_], e))[:k]
             got[r], d[r] = all_[o], e[o]
         out[0].append(np.repeat(q_id[at : at + 64], order.shape[1]))
@@ -83,11 +84,12 @@ def _best(metric: Metric, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: n
     return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "id": pa.array(cols[1].astype(np.int64)), "distance": pa.array(cols[2].astype(np.float64))})
 
 
-def knn(data: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
+def knn(data: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN, scale: Column | float = 1.0) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest rows of ``data`` (id, vector) for each of ``queries`` (query_id, vector).
 
     Fewer rows than ``k`` give all of them; no rows give an empty result. Ties go to the smaller id. Rows without id or
-    vector take no part. Vectors of another length, and zero vectors under cosine, raise.
+    vector take no part. Vectors of another length, and zero vectors under cosine, raise. ``scale``, a column of ``data``,
+    multiplies a row's distances before they are ranked.
 
     Few queries go to every task, which sends on its own best ``k``. Beyond BROADCAST_CELLS components queries and data
     meet in a grid of blocks of fixed size instead.
@@ -96,7 +98,7 @@ def knn(data: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUC
         raise ValueError("the limit must be above 0")
     spark = data.sparkSession
     ship(spark)
-    data = data.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+    data = data.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), (scale if isinstance(scale, Column) else F.lit(float(scale))).cast("double").alias("scale")).where("id is not null and vector is not null")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and vector is not null")
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("cells")).first()
     schema = "query_id long, id long, distance double"
@@ -108,19 +110,19 @@ def knn(data: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUC
             q_id, q = shared.value
             for b in batches:
                 if b.num_rows and len(q):
-                    yield from _best(metric, q_id, q, b.column(0).to_numpy(), _matrix(b.column(1)), k).to_batches()
+                    yield from _best(metric, q_id, q, b.column(0).to_numpy(), _matrix(b.column(1)), k, b.column(2).to_numpy()).to_batches()
 
         found = data.mapInArrow(scan, schema)
     else:
         n_blocks, n_slices = -(-size.n // BLOCK), max(1, -(-data.count() // SLICE))
         cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        left = data.select(cut("id", n_slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "vector")
+        left = data.select(cut("id", n_slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "vector", "scale")
         right = queries.select(cut("query_id", n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"), "query_id", "vector")
 
         def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
             if not rows.num_rows or not asked.num_rows:
                 return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-            return _best(metric, asked.column("query_id").to_numpy(), _matrix(asked.column("vector")), rows.column("id").to_numpy(), _matrix(rows.column("vector")), k)
+            return _best(metric, asked.column("query_id").to_numpy(), _matrix(asked.column("vector")), rows.column("id").to_numpy(), _matrix(rows.column("vector")), k, rows.column("scale").to_numpy())
 
         found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(meet, schema)
     return top_k(found, k).select("query_id", "rank", "id", "distance")

@@ -105,6 +105,13 @@ def decayed(found: DataFrame, times: DataFrame, now: int, rate: float = 0.1) ->
     return top_k(old, 1 << 30).select("query_id", "rank", "id", "distance")
 
 
+def decayed_knn(data: DataFrame, queries: DataFrame, k: int, now: int, half: float = 86400.0, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
+    """The ``k`` nearest by the distance that age has decayed, over all of ``data`` (id, vector, ts): decay comes before the cut."""
+    from lodestone.operators.exact import knn
+
+    return knn(data, queries, k, metric, V.decay_half_life(F.lit(1.0), F.lit(now) - F.col("ts"), half))
+
+
 def combine(parts: list[tuple[DataFrame, float]]) -> DataFrame:
     """(id, score): the weighted mean of several strategies' distances over the strategies that found the id."""
     union = None

@@ -403,12 +403,13 @@ query("combine_strategies", f"{VQ}, {FOUND}, {AUDIO} SELECT query_id, id, round(
 
 @query("convergence_search")
 def convergence_search(spark, sf):
-    """Ensemble routing, decayed buckets and expansion along edges."""
+    """The nearest by decayed distance over all vectors, and expansion along edges.
+
+    All vectors are scanned in place of the buckets that an ensemble would route to and of the layered graph, so neither can lose a neighbour.
+    """
     v = vectors(spark, sf)
-    c = trained(v)
-    found = clustering.IvfIndex(clustering.assign(v, c).drop("centroid_distance"), c).search(asked(v), K, 5)
-    aged = hybrid.decayed(found, timed(v), NOW)
-    return rounded(top_k(graph.expand(aged, graph.edge_prune(edges(v), 0.9), NOW), K).select("query_id", "rank", "id", "distance"))
+    found = hybrid.decayed_knn(timed(v), asked(v), K, NOW)
+    return rounded(top_k(graph.expand(found, graph.edge_prune(edges(v), 0.9), NOW), K).select("query_id", "rank", "id", "distance"))
 
 
 @query("gated_route")
