@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Metric
-from lodestone.operators.exact import EmptyIndexError, _distances, _matrix, top_k
+from lodestone.operators.exact import EmptyIndexError, _distances, _matrix, knn, top_k
 from lodestone.plans.storage import ship
 
 Centroids = list[list[float]]
@@ -25,9 +26,14 @@ def first_rows(data: DataFrame, k: int) -> Centroids:
     return [list(r.vector) for r in rows]
 
 
+def hashed_sample(data: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """At most ``n`` rows, in the order of a hash of their id."""
+    return data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+
+
 def plus_plus(data: DataFrame, k: int, sample: int = 20_000, seed: int = 42, power: int = 2) -> Centroids:
     """Centroids drawn from a bounded sample, each with a probability that grows with its distance to those before."""
-    rows = data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
+    rows = hashed_sample(data, sample, seed).collect()
     if not rows:
         raise EmptyIndexError("no vectors to start from")
     x, rng = np.array([r.vector for r in rows]), np.random.default_rng(seed)
@@ -133,8 +139,11 @@ def pq_split(data: DataFrame, m: int, dim: int) -> DataFrame:
 
 
 def pq_train(data: DataFrame, m: int = 8, k: int = 256, iterations: int = 20, start: Centroids | None = None, sample: int = 20_000) -> list[Centroids]:
-    """A codebook for each slice: k-means over a bounded sample on the driver, from ``start`` (or the first rows)."""
-    rows = data.orderBy("id").limit(sample).collect()
+    """A codebook for each slice: k-means on the driver, from ``start`` (or the sample's first rows).
+
+    Fitted on at most ``sample`` vectors, taken in the order of a hash of the id, so they are spread over all ids.
+    """
+    rows = hashed_sample(data, sample).collect()
     if not rows:
         raise EmptyIndexError("no vectors to train on")
     x = np.array([r.vector for r in rows])
@@ -145,7 +154,7 @@ def pq_train(data: DataFrame, m: int = 8, k: int = 256, iterations: int = 20, st
     for part, c in zip(np.split(x, m, 1), np.split(seeds, m, 1)):
         c = c.copy()
         for _ in range(iterations):
-            near = ((part[:, None] - c) ** 2).sum(-1).argmin(1)
+            near = ((c * c).sum(1) - 2 * part @ c.T).argmin(1)
             c = np.array([part[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
         books.append(c.tolist())
     return books
@@ -178,6 +187,32 @@ def pq_search(codes: DataFrame, queries: DataFrame, books: list[Centroids], k: i
     return top_k(scored, k).select("query_id", "rank", "id", "distance")
 
 
+def pq_decode(codes: DataFrame, books: list[Centroids]) -> DataFrame:
+    """(id, vector): the codewords in place of the codes. Distances to it are the asymmetric distances of ``pq_search``."""
+    ship(codes.sparkSession)
+    c = [np.array(b) for b in books]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1)).astype(int)
+                rows = np.concatenate([w[x[:, s]] for s, w in enumerate(c)], 1)
+                yield pa.record_batch([b.column(0), pa.array(list(rows), pa.list_(pa.float64()))], ["id", "vector"])
+
+    return codes.select("id", "codes").mapInArrow(run, "id long, vector array<double>")
+
+
+def pq_rerank(data: DataFrame, queries: DataFrame, k: int, m: int = 8, words: int = 256, iterations: int = 20, least: int = 300, share: float = 0.03) -> DataFrame:
+    """(query_id, rank, id, distance): a shortlist by trained codes, ranked exactly. It holds ``share`` of all vectors, and at least ``least``."""
+    from lodestone.functions.vectors import l2
+
+    books = pq_train(data, m, words, iterations)
+    most = max(least, k, ceil(share * data.count()))
+    near = knn(pq_decode(pq_encode(data, books), books), queries, most).select("query_id", "id")
+    met = near.join(data.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
+    return top_k(met.select("query_id", "id", l2(F.col("qv"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "id", "distance")
+
+
 # --- learned routing ------------------------------------------------------------------------------------------
 
 

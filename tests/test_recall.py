@@ -1,7 +1,7 @@
 import numpy as np
 
 from lodestone import queries as Q
-from lodestone.operators import exact, hybrid
+from lodestone.operators import clustering, exact, hybrid
 from test_operators import asked, frame
 
 
@@ -64,3 +64,24 @@ def test_convergence_search_matches_brute_force(spark, sf_dir):
         want[int(ids[q])] = [int(ids[i]) for i in sorted(every, key=lambda i: (every[i], ids[i]))[:10]]
     got = lists(Q.QUERIES["convergence_search"](spark, sf_dir))
     assert got == want and recall(got, nearest(ids, x, factor)) >= 0.85
+
+
+def test_trained_codes_and_exact_ranking_find_the_nearest(spark):
+    ids, x = read(spark, "/root/testdata/sf0.1")
+    assert recall(lists(Q.QUERIES["pq_rerank"](spark, "/root/testdata/sf0.1")), nearest(ids, x)) >= 0.9
+
+
+def test_decoded_codes_give_the_asymmetric_distances(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    data, q = frame(spark, list(enumerate(x))), asked(spark, *x[:4])
+    books = clustering.pq_train(data, 2, 6, 5)
+    codes = clustering.pq_encode(data, books)
+    key = lambda df: {(r.query_id, r.id): round(r.distance, 9) for r in df.collect()}
+    assert key(exact.knn(clustering.pq_decode(codes, books), q, 60)) == key(clustering.pq_search(codes, q, books, 60))
+
+
+def test_quantiser_is_fitted_on_a_sample_of_all_ids(spark):
+    data = frame(spark, [(i, (1.0, 1.0) if i < 50 else (9.0, 9.0)) for i in range(100)])
+    words = {round(w[0]) for w in clustering.pq_train(data, 2, 8, 3, sample=30)[0]}
+    assert words == {1, 9}
