@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, secrets, toxicity
 from lodestone.llm.simhash import simhash_groups
-from lodestone.plans.storage import fresh_path
+from lodestone.plans.storage import fresh_path, saved
 
 #: Models, ordered budgets and BPE ids can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -26,10 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id. Rows without doc_id stay."""
-    keep = simhash_groups(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each SimHash group stays: the one with the smallest doc_id, null after all others, then the smallest key.
+
+    Groups are made over keys, a number for each row, so rows without doc_id and rows that share one are told apart.
+    """
+    keyed = saved(docs.withColumn("_key", F.monotonically_increasing_id()))
+    groups = simhash_groups(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    met = keyed.select("_key", "doc_id").join(groups, "_key")
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "_key")
+    first = met.groupBy("component_id").agg(F.min_by("_key", order).alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

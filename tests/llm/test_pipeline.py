@@ -38,3 +38,14 @@ def test_rows_without_values(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[1:]:
         now = stage(spark, now, sf_dir).cache()
     assert now.count() == 0
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(None, words("a")), (None, words("a")), (7, words("a")), (None, words("b")), (None, words("b")), (8, words("c")), (8, words("d")), (8, words("e")), (9, words("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], schema)
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    want = [(7, words("a")), (None, words("b")), (8, words("c")), (8, words("d")), (8, words("e"))]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
