@@ -75,7 +75,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     A null in a level is its empty name; names without a weight weigh 1. Epoch e of a leaf is its documents in the
     order of md5(seed:e:id), then of id and text hash; documents are taken as long as the sum of tokens stays within
     the leaf's budget. Null ids sort as the word null; repeated rows are separate documents. Documents without
-    tokens ride along where their place in the order is within the prefix. An empty table gives an empty result.
+    tokens ride along where their place in the order is within the prefix; a leaf of none but such documents is
+    taken once, as epoch 0, whatever the budget. An empty table gives an empty result.
 
     The order is found in two steps: sums by bucket of the hash (at most 16^3 for each leaf), then a window within the
     bucket in which the budget ends, and in that alone.
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     base = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()} | {n_tokens: word_count(F.col(text_col)) if tokens is None else tokens})
     have = saved(base.groupBy(*names).agg(F.sum(n_tokens).alias("have")))
     leaves = saved(leaf_budgets(have, names, weights, budget, max_epochs).select(
-        *names, F.coalesce(F.expr("given div nullif(have, 0)"), F.lit(0)).cast("int").alias("_full"), F.coalesce(F.expr("given % nullif(have, 0)"), F.lit(0)).alias("_rest")))
+        *names, F.when(F.col("have") == 0, 1).otherwise(F.coalesce(F.expr("given div nullif(have, 0)"), F.lit(0))).cast("int").alias("_full"), F.coalesce(F.expr("given % nullif(have, 0)"), F.lit(0)).alias("_rest")))
     small = F.broadcast if leaves.count() <= SMALL else lambda df: df  # then a leaf's documents stay where they are
     rows = base.join(small(leaves), names)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))

@@ -110,6 +110,15 @@ def test_mix_matches_brute_force(spark, budget):
     assert out.limit(0).collect() == [] and mixing.mix(df.limit(0), {"p": F.col("p")}, ({},), tokens=F.col("n")).collect() == []
 
 
+@pytest.mark.parametrize("budget", [None, 0, 5, 10**9])
+def test_leaf_without_tokens_is_taken_once(spark, budget):
+    rows = [(1, None, None), (2, None, None), (3, " ", None), (4, "a b c", "s"), (5, "d e", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, r string")
+    out = mixing.mix(df, {"r": F.col("r")}, ({},), budget=budget).collect()
+    assert sorted((r.doc_id, r.epoch) for r in out if r.doc_id < 4) == [(1, 0), (2, 0), (3, 0)]
+    assert sum(r.n_tokens for r in out) == min(20, 5 if budget is None else budget)
+
+
 CHATS = "conv_id long, turn long, role string, text string, t int, m string"
 
 
