@@ -246,7 +246,8 @@ class Router:
             p -= rate * grad
 
     def fit(self, assigned: DataFrame, epochs: int = 5, sample: int = 20_000, rate: float = 0.001, batch: int = 32) -> Router:
-        rows = assigned.orderBy("id").limit(sample).select("vector", "cluster_id").collect()
+        """Trains on ``assigned`` (id, vector, cluster_id): at most ``sample`` rows, spread over all ids by a hash of the id."""
+        rows = hashed_sample(assigned, sample).select("vector", "cluster_id").collect()
         x, y = np.array([r.vector for r in rows]), np.array([r.cluster_id for r in rows])
         for _ in range(epochs):
             for at in range(0, len(y), batch):

@@ -85,3 +85,9 @@ def test_quantiser_is_fitted_on_a_sample_of_all_ids(spark):
     data = frame(spark, [(i, (1.0, 1.0) if i < 50 else (9.0, 9.0)) for i in range(100)])
     words = {round(w[0]) for w in clustering.pq_train(data, 2, 8, 3, sample=30)[0]}
     assert words == {1, 9}
+
+
+def test_router_sees_all_ids(spark):
+    data = frame(spark, [(i, (1.0, 0.0) if i < 100 else (0.0, 1.0)) for i in range(200)]).selectExpr("id", "vector", "CAST(id >= 100 AS INT) AS cluster_id")
+    router = clustering.Router.new(2, 2, 8).fit(data, epochs=20, sample=60, rate=0.05, batch=8)
+    assert router.predict(np.array([[1.0, 0.0], [0.0, 1.0]])).argmax(1).tolist() == [0, 1]
