@@ -23,12 +23,12 @@ def table(spark, values):
     return spark.createDataFrame([(i // 2 if i % 7 else None, t, "x", 1, 2, 3) for i, t in enumerate(values)], SCHEMA)
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 1 << 12), (64, 16), (50, 7)])
-def test_bpe_matches_tiktoken(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,spread", [(bpe.CHUNK, bpe.OVERLAP, bpe.SPREAD), (64, 16, 1), (50, 7, 3), (64, 20, 1000)])
+def test_bpe_matches_tiktoken(spark, chunk, overlap, spread):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     enc = bpe.encoding(path, P.PATTERN)
     df = table(spark, texts())
-    got = bpe.encode_with(df, path, P.PATTERN, bpe.digest, bpe.DIGEST, chunk=chunk, overlap=overlap).collect()
+    got = bpe.encode_with(df, path, P.PATTERN, bpe.digest, bpe.DIGEST, chunk=chunk, overlap=overlap, spread=spread).collect()
     want = []
     for i, t in enumerate(texts()):
         ids = enc.encode_ordinary(t or "")
@@ -36,6 +36,36 @@ def test_bpe_matches_tiktoken(spark, chunk, overlap):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("chunk,overlap", [(64, 16), (50, 9), (40, 20)])
+def test_chunks_of_random_texts_meet(chunk, overlap):
+    rng = random.Random(5)
+    enc = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    ids = bpe.Pieces(enc)
+    parts = ["alpha", "Beta,", "'re", "'", "'r", "e", " ", "  ", "\n", "\n \n", "12", "don't", "ß", "\t", "日本", "!!!", " " * 40, "ab" * 30, "\u3000", "\x1c", "\u0558", "\U000323e7"]
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(200)))
+        assert ids(t, bpe.pre_tokens(t, P.PATTERN, chunk, overlap)) == enc.encode_ordinary(t)
+
+
+def test_long_runs_are_gone_through_a_few_times(monkeypatch):
+    gone = []
+    find = bpe.chunk_ends
+    monkeypatch.setattr(bpe, "chunk_ends", lambda text, at, pattern: gone.append(len(text)) or find(text, at, pattern))
+    for run in ("ab" * 2_500_000, " " * 5_000_000 + "x", "a 1" * 300_000):
+        gone.clear()
+        ends = bpe.pre_tokens(run, P.PATTERN)
+        assert ends[-1] == len(run) and sum(gone) < 6 * len(run)
+
+
+def test_pieces_forget(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 1000)
+    enc = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    ids = bpe.Pieces(enc)
+    for t in texts():
+        assert ids(t or "", bpe.pre_tokens(t or "", P.PATTERN)) == enc.encode_ordinary(t or "")
+        assert ids.held <= 1000 and len(ids.seen) <= 5
+
+
 def test_bpe_round_trip_and_empty(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
