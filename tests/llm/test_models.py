@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -43,6 +45,53 @@ def test_toxicity_learns_stems_and_misspellings(spark):
     assert {r.predicted for r in toxicity.score(df, none).collect()} == {0}
 
 
+def plain_score(model, text):
+    """A score in plain Python: every n-gram's bucket by itself, the mean over them and the prior."""
+    c = [0] + [ord(x) if ord(x) >= 1 << 16 or x.isalnum() else 0 for x in text.lower()] + [0]
+    total, n = 0.0, 0
+    for at in range(len(c)):
+        h = (c[at] * 0x9E3779B1 + (c[at + 1] if at + 1 < len(c) else 0)) % 2**32
+        for k in (3, 4, 5):
+            if at + k > len(c):
+                break
+            h = (h * 0x85EBCA6B + c[at + k - 1] + k) % 2**32
+            if all(c[at + 1 : at + k - 1]):
+                x = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                total, n = total + float(model.parts[x >> 32 - toxicity.BITS]), n + 1
+    return 1 / (1 + math.exp(-(total / (n + model.prior) + model.bias)))
+
+
+def test_scores_against_plain_python(spark):
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 9, 1 << toxicity.BITS).astype(np.float32), 0.3, 20)
+    texts = ["", " ", "a", "ab", "Hello wörld, hello", "日本 x", "😀😀 ok", "a\0b", words(random.Random(2), 300), "x" * 5000, ".. !!"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(model, t), abs=1e-9)
+        ids, times = np.unique(toxicity.buckets([t])[0], return_counts=True)
+        assert model.of_row(ids, times) == pytest.approx(got[i], abs=1e-9)
+
+
+def test_a_score_at_the_threshold_is_predicted(spark):
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), 0.4)
+    at = float(model.scores(["x"])[0])
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(df, model, threshold=at).collect()] == [1, 1, 1]
+    assert toxicity.without_toxic(df, model, threshold=at).count() == 0
+    assert [r.predicted for r in toxicity.score(df, model, threshold=at + 1e-9).collect()] == [0, 0, 0]
+
+
+def test_settings_are_chosen_without_held_out_rows(spark):
+    rng = random.Random(6)
+    docs = [(i, words(rng, 40) + (" vermin filthy" if i % 2 else "")) for i in range(240)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    rows = toxicity.labelled(df, lab.where(~toxicity.held_out()))
+    assert {zlib.crc32(str(r[0]).encode()) % 3 for r in rows} == {0, 2}
+    settings = [{"prior": 30, "rate": 40.0, "epochs": 20}, {"prior": 1e9, "rate": 0.001, "epochs": 1}]
+    found = toxicity.compared(rows, settings)
+    assert [x[3] for x in found] == settings and found[0][0] < found[1][0] and found == toxicity.compared(rows, settings)
+
+
 def test_buckets_are_those_of_single_texts():
     texts = ["", "a", "Hello wörld", "日本 x", "😀😀 ok", "a\0b", "abc def"]
     ids, n = toxicity.buckets(texts)
