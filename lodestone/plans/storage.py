@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,13 +18,16 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session on one machine (master ``local``)
+    gets a temporary folder, which goes when the process ends; any other is refused, as its machines share none.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-")
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, named, True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
@@ -39,6 +44,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once as Parquet into the shared folder and read again: columns that aren't asked for aren't read."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable for the Python workers, wherever they run."""
     sc = spark.sparkContext
