@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 import regex
 
 KEPT = 800_000
+KEPT_BYTES = 64 << 20  # of words and their pre-tokens that a worker remembers, about
+LONG = 1 << 10  # longer ones are never remembered
 RUN = 500  # new parts in one call
 PLAIN = "֐"  # below it, letters and white space are the same in every Unicode version in use
 ENDS = ".,;:!?"
@@ -166,54 +168,75 @@ class ByteLevelIds(_Model):
         return ids, sizes
 
 
-class WordCounts(_Model):
-    """Token counts under a word BPE (lower case, white space dropped, pattern WORD_LEVEL)."""
+class WordPieces(_Model):
+    """Pre-tokens of texts, and the number of tokens of a pre-token, under a word BPE (lower case, white space dropped, pattern WORD_LEVEL).
+
+    A pre-token is written as the model takes it, a character for each of its bytes. A special token's string is a
+    pre-token of its own, of one token; the text on either side of it is gone through by itself.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.pattern = regex.compile(WORD_LEVEL)
-        self.words: dict[str, int] = {}
-        self.pre: dict[str, int] = {}
+        self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.words: dict[str, tuple[str, ...]] = {}
+        self.held = 0
 
     def normal(self, text: str) -> str:
         """The normaliser's output. Below U+0300 nothing composes and lower case is one character's affair."""
         return text.lower() if text.isascii() or max(text) < "̀" else self.tok.normalizer.normalize_str(text)
 
-    def _word(self, word: str) -> int:
-        """Pieces of a run without white space: the sum over its pre-tokens, each counted once."""
-        if max(word) >= PLAIN:
-            found = [t for t, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)]
-            return sum(len(self.model.tokenize(t)) for t in found)
-        n = 0
-        for x in [word] if word.isalpha() else self.pattern.findall(word):
-            c = self.pre.get(x)
-            if c is None:
-                c = self.pre[x] = len(self.model.tokenize(x.encode().decode("latin-1").translate(self.chars)))
-            n += c
-        return n
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """The number of tokens of each text."""
-        if len(self.words) > KEPT or len(self.pre) > KEPT:
-            self.words, self.pre = {}, {}
-        whole = {i: len(self.tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if self.odd(t) or any(c in t for c in SEPARATORS)}
-        plain = ["" if i in whole else self.normal(t) for i, t in enumerate(texts)]
+    def count(self, pre: str) -> int:
+        """How many tokens a pre-token makes."""
+        return 1 if pre in self.special else len(self.model.tokenize(pre))
+
+    def _by_library(self, text: str) -> list[str]:
+        return [t for t, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))]
+
+    def _odd(self, text: str) -> list[str]:
+        """Pre-tokens of a text with special tokens' strings or unusual separators."""
+        return [x for part in (self.apart.split(text) if self.apart else [text]) if part for x in ([part] if part in self.special else self._by_library(part))]
+
+    def _word(self, word: str) -> tuple[str, ...]:
+        """Pre-tokens of a normalised run without white space; runs seen before are remembered within KEPT_BYTES."""
+        got = self.words.get(word)
+        if got is None:
+            if max(word) >= PLAIN:
+                got = tuple(t for t, _ in self.tok.pre_tokenizer.pre_tokenize_str(word))
+            else:
+                got = tuple(x.encode().decode("latin-1").translate(self.chars) for x in ((word,) if word.isalpha() else self.pattern.findall(word)))
+            if len(word) <= LONG:
+                self.held += 300 + 4 * len(word)
+                if self.held > KEPT_BYTES:
+                    self.words, self.held = {}, 0
+                self.words[word] = got
+        return got
+
+    def frequencies(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of all texts; of each text the number of its distinct ones, then their codes, ascending, and how often each occurs."""
+        odd = {i: self._odd(t) for i, t in enumerate(texts) if self.odd(t) or any(c in t for c in SEPARATORS)}
+        plain = ["" if i in odd else self.normal(t) for i, t in enumerate(texts)]
         runs = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         coded = runs.flatten().dictionary_encode()
+        code: dict[str, int] = {}
+        parts = [[code.setdefault(x, len(code)) for x in self._word(w)] if w else [] for w in coded.dictionary.to_pylist()]
+        # Runs by document, then the pre-tokens of each run, then those of each document added up.
+        first = np.cumsum([0, *map(len, parts)])
+        flat = np.array([c for p in parts for c in p], np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(runs.offsets)))
-        codes, distinct = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
-        # Frequencies by document, counts by distinct word, their join on the word's code, and the sum by document.
-        pair, frequency = np.unique(doc * max(1, len(distinct)) + codes, return_counts=True)
-        counts = np.empty(len(distinct), np.int64)
-        for k, w in enumerate(distinct):
-            c = self.words.get(w)
-            if c is None:
-                c = self.words[w] = self._word(w) if w else 0
-            counts[k] = c
-        out = np.bincount(pair // max(1, len(distinct)), frequency * counts[pair % max(1, len(distinct))], len(texts)).astype(np.int64)
-        for i, n in whole.items():
-            out[i] = n
-        return out
+        pair, times = np.unique(doc * max(1, len(parts)) + np.asarray(coded.indices).astype(np.int64), return_counts=True)
+        doc, run = pair // max(1, len(parts)), pair % max(1, len(parts))
+        n = np.diff(first)[run]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[run], n)
+        own = [(i, code.setdefault(x, len(code))) for i, pres in odd.items() for x in pres]
+        doc = np.concatenate((np.repeat(doc, n), np.array([i for i, _ in own], np.int64)))
+        flat = np.concatenate((flat[at], np.array([c for _, c in own], np.int64)))
+        times = np.concatenate((np.repeat(times, n), np.ones(len(own), np.int64)))
+        order = np.argsort(doc * max(1, len(code)) + flat, kind="stable")
+        key = (doc * max(1, len(code)) + flat)[order]
+        edge = np.flatnonzero(np.diff(key, prepend=-1))
+        summed = np.add.reduceat(times[order], edge) if len(edge) else np.zeros(0, np.int64)
+        return list(code), np.bincount(doc[order][edge], minlength=len(texts)), flat[order][edge], summed
 
 
 @cache
@@ -222,8 +245,8 @@ def byte_level_ids(path: str) -> ByteLevelIds:
 
 
 @cache
-def word_counts(path: str) -> WordCounts:
-    return WordCounts(path)
+def word_pieces(path: str) -> WordPieces:
+    return WordPieces(path)
 
 
 def blocks(texts: list[str], chars: int = 4_000_000):

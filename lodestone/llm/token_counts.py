@@ -1,41 +1,102 @@
 """Token counts by distinct pre-tokens, without ids.
 
-For a block of documents there is one table of frequencies (document, pre-token) and one of counts (pre-token, number
-of pieces), in which each distinct pre-token is counted once; their join on the pre-token, summed by document, gives
-the counts. The join is made block by block beside the documents: joined over the whole corpus, the frequencies
-(about as many rows as there are distinct words in each document) would be shuffled twice to give the same sums.
+Three tables and a join. Every block of documents gives one row: its distinct pre-tokens, and for each document the
+codes of its pre-tokens among them with their frequencies, packed. The distinct pre-tokens of all blocks make a table
+in which each is counted once. That is joined, by pre-token, to the (block, code, pre-token) rows, which are far fewer
+than the (document, pre-token) pairs, and the counts go back to their blocks, where they are multiplied by the
+frequencies and summed. A pre-token that occurs in most blocks is dealt over salts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import piecewise
-from lodestone.plans.storage import ship
+from lodestone.llm import piecewise, simple8b
+from lodestone.plans.storage import ship, stored
 
+BLOCK = 4_000_000  # characters of a block, about; a longer text is a block of its own
+SALTED = 10_000  # blocks for each salt, and so the rows of one key in the join, about
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, n_codes long, packed binary, offsets binary, pre array<string>"
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def frequencies(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row for each block of documents: its distinct pre-tokens (``pre``), ids, sizes in bytes, and packed frequencies.
+
+    ``packed`` holds, document after document, the steps between the ascending codes of its pre-tokens, then as many
+    frequencies; ``sizes`` tells how many there are. Blocks have a number that is theirs alone; it follows from how
+    the rows lie, so the table is to be stored before it is used twice.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, number = piecewise.word_pieces(tokenizer_path), TaskContext.get().partitionId() << 32
+        for b in batches:
+            texts, size = b.column(1).to_pylist(), pa.compute.binary_length(b.column(1))
+            for i, j in piecewise.blocks(texts, block):
+                pre, sizes, codes, times = pieces.frequencies(texts[i:j])
+                first = np.cumsum(sizes) - sizes
+                steps = np.diff(codes, prepend=0)
+                steps[first[sizes > 0]] = codes[first[sizes > 0]]
+                words, offsets = simple8b.encode(np.concatenate((steps, times)).astype(np.uint64))
+                cols = {"block": [number], "doc_ids": [b.column(0).slice(i, j - i).to_pylist()], "n_bytes": [size.slice(i, j - i).to_pylist()], "sizes": [sizes.tolist()], "n_codes": [len(codes)],
+                        "packed": [words.astype("<u8").tobytes()], "offsets": [offsets.astype("<u4").tobytes()], "pre": [pre]}
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols.values(), kinds)], list(cols))
+                number += 1
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def counted(pre_tokens: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(pre, n): the number of tokens of each pre-token of ``pre_tokens`` (pre), which has each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = piecewise.word_pieces(tokenizer_path).count
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([count(x) for x in b.column(0).to_pylist()], pa.int32())], ["pre", "n"])
+
+    return pre_tokens.mapInArrow(run, "pre string, n int")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, salted: int = SALTED) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
     Null texts count as empty: no bytes, no tokens. Nothing is added, cut or padded; special tokens' strings inside a
     text count as one token each, as is the library's default. Null and repeated ids keep a row each; other columns
     don't matter. An empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    blocks = stored(frequencies(docs, tokenizer_path, id_col, text_col, block), "token-counts")
+    salts = blocks.count() // salted + 1
+    each = blocks.select("block", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), F.posexplode("pre").alias("code", "pre"))
+    keys = each.select("pre", "salt").distinct()
+    known = keys.join(counted(keys.select("pre").distinct(), tokenizer_path), "pre")
+    found = each.join(known, ["pre", "salt"]).groupBy("block").agg(F.collect_list(F.struct("code", "n")).alias("counts"))  # as many as the block has distinct pre-tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = piecewise.word_counts(tokenizer_path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in piecewise.blocks(texts):
-                n = count(texts[i:j])
-                size = pa.compute.binary_length(b.column(1).slice(i, j - i)).cast(pa.int64())
-                yield pa.record_batch([b.column(0).slice(i, j - i), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for r in range(b.num_rows):
+                row = {name: b.column(name)[r] for name in b.schema.names}
+                sizes, n = np.array(row["sizes"].as_py(), np.int64), row["n_codes"].as_py()
+                both = simple8b.decode(np.frombuffer(row["packed"].as_buffer(), "<u8"), np.frombuffer(row["offsets"].as_buffer(), "<u4").astype(np.int64), 2 * n).astype(np.int64)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                along = np.cumsum(both[:n])
+                start = np.cumsum(sizes) - sizes
+                base = np.concatenate(([0], along))[np.minimum(start, n)]
+                codes = along - np.repeat(base, sizes)
+                tokens = np.zeros(0, np.int64)
+                if n:
+                    pairs = row["counts"].values
+                    tokens = np.zeros(len(pairs), np.int64)
+                    tokens[pairs.field("code").to_numpy()] = pairs.field("n").to_numpy()
+                total = np.bincount(doc, both[n:] * tokens[codes], len(sizes)).astype(np.int64) if n else np.zeros(len(sizes), np.int64)
+                yield pa.record_batch([row["doc_ids"].values, row["n_bytes"].values, pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return blocks.drop("pre").join(found, "block", "left").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -111,16 +111,26 @@ def test_token_files_empty(spark):
     assert token_files.read_token_files(spark, out).collect() == []
 
 
-def test_token_counts(spark, monkeypatch):
+@pytest.mark.parametrize("block,salted", [(token_counts.BLOCK, token_counts.SALTED), (300, 7), (1, 1)])
+def test_token_counts(spark, block, salted):
     path = P.path("word_bpe_49k.json")
     tok = piecewise.tokenizer(path)
-    got = token_counts.token_counts(table(spark, texts()), path, limit=50).collect()
+    values = [*texts(), "a<|endoftext|>b<|startoftext|> <|ENDOFTEXT|> c\x1dd", "<|endoftext|>" * 3, "x" * 70_000]
+    got = token_counts.token_counts(table(spark, values), path, limit=50, block=block, salted=salted).collect()
     want = []
-    for i, t in enumerate(texts()):
+    for i, t in enumerate(values):
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
         want.append((i // 2 if i % 7 else None, len((t or "").encode()), n, n > 50))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert token_counts.token_counts(table(spark, ["a"]).limit(0), path).collect() == []
+    none = token_counts.token_counts(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string"), path).collect()
+    assert sorted(map(tuple, none)) == [(1, 0, 0, False), (2, 1, 0, False)]
+
+
+def test_pre_tokens_are_counted_once(spark, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    blocks = token_counts.frequencies(spark.createDataFrame([(i, "one two two don't") for i in range(50)], "doc_id long, text string").repartition(3), path, block=60)
+    assert blocks.count() > 5 and {tuple(r.pre) for r in blocks.collect()} == {("one", "two", "don", "'t")}
 
 
 def test_piecewise_forgets(monkeypatch):
