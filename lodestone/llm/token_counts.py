@@ -1,10 +1,10 @@
 """Token counts by distinct pre-tokens, without ids.
 
-Three tables and a join. Every block of documents gives one row: its distinct pre-tokens, and for each document the
-codes of its pre-tokens among them with their frequencies, packed. The distinct pre-tokens of all blocks make a table
-in which each is counted once. That is joined, by pre-token, to the (block, code, pre-token) rows, which are far fewer
-than the (document, pre-token) pairs, and the counts go back to their blocks, where they are multiplied by the
-frequencies and summed. A pre-token that occurs in most blocks is dealt over salts.
+Every block of documents gives one row: its distinct pre-tokens, and for each document the codes of its pre-tokens among
+them with their frequencies, packed. The pre-tokens of all blocks, far fewer than the (document, pre-token) pairs, are
+grouped: a row for each distinct pre-token, with the blocks and codes under which it occurs. There it is counted once
+(one that occurs in more than SALTED blocks once for as many), and the counts are joined to the frequencies by block
+and code, multiplied and summed by document.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lodestone.llm import piecewise, simple8b
 from lodestone.plans.storage import ship, stored
 
 BLOCK = 4_000_000  # characters of a block, about; a longer text is a block of its own
-SALTED = 10_000  # blocks for each salt, and so the rows of one key in the join, about
+SALTED = 10_000  # blocks for each salt, and so the places of one row, about
 BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, n_codes long, packed binary, offsets binary, pre array<string>"
 
 
@@ -56,14 +56,14 @@ def frequencies(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
 
 def counted(pre_tokens: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(pre, n): the number of tokens of each pre-token of ``pre_tokens`` (pre), which has each once."""
+    """``pre_tokens`` (pre, places) with n, the number of tokens, for pre: (n, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piecewise.word_pieces(tokenizer_path).count
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([count(x) for x in b.column(0).to_pylist()], pa.int32())], ["pre", "n"])
+            yield pa.record_batch([pa.array([count(x) for x in b.column(0).to_pylist()], pa.int32()), b.column(1)], ["n", "places"])
 
-    return pre_tokens.mapInArrow(run, "pre string, n int")
+    return pre_tokens.select("pre", "places").mapInArrow(run, "n int, places array<struct<block:long,code:int>>")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, salted: int = SALTED) -> DataFrame:
@@ -76,9 +76,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     blocks = stored(frequencies(docs, tokenizer_path, id_col, text_col, block), "token-counts")
     salts = blocks.count() // salted + 1
     each = blocks.select("block", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), F.posexplode("pre").alias("code", "pre"))
-    keys = each.select("pre", "salt").distinct()
-    known = keys.join(counted(keys.select("pre").distinct(), tokenizer_path), "pre")
-    found = each.join(known, ["pre", "salt"]).groupBy("block").agg(F.collect_list(F.struct("code", "n")).alias("counts"))  # as many as the block has distinct pre-tokens
+    known = counted(each.groupBy("pre", "salt").agg(F.collect_list(F.struct("block", "code")).alias("places")), tokenizer_path)
+    back = known.select("n", F.inline("places"))
+    found = back.groupBy("block").agg(F.collect_list(F.struct("code", "n")).alias("counts"))  # as many as the block has distinct pre-tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
