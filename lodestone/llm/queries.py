@@ -47,7 +47,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import secrets
 
-    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def secret_rows():
 def test_secrets_match_brute_force(spark):
     texts = secret_rows()
     df = spark.createDataFrame([(i, t, "k", 5, "o") for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id: r for r in secrets.digest(secrets.scan(df)).collect()}
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         want = brute_base(t or "")
@@ -43,15 +45,135 @@ def test_secrets_match_brute_force(spark):
         assert [s for s in got[i].spans.split(",") if s and not s.startswith("random")] == [s for s in want.split(",") if s]
     assert sum(got[i].n_random for i, t in enumerate(texts) if (t or "").startswith("see ")) >= 37
     assert sum(got[i].n_random for i, t in enumerate(texts) if (t or "").startswith("in ")) == 0
-    assert secrets.digest(secrets.scan(df.limit(0))).collect() == []
+    assert secrets.digest(df.limit(0)).collect() == []
 
 
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh1234567890abcdef99 é b", "k", 1, "o"), (2, None, "k", 1, "o"), (3, "clean\n text", "k", 1, "o")], DOCS)
-    got = {r.doc_id: r for r in secrets.redacted(secrets.scan(df)).collect()}
+    got = {r.doc_id: r for r in secrets.redacted(df).collect()}
     assert got[1].text == "a [secret] é b" and got[2].text is None and got[3].text == "clean\n text" and got[1].out == "o"
 
 
+def brute_battery(token):
+    """The battery in plain Python, with exact normal and binomial tails."""
+    name, _, letters = next(e for e in secrets.ENCODINGS if re.match(e[1], token))
+    folded = token.lower() if name in ("hex", "base36") else token
+    x, k, n = [letters.index(c) for c in folded], len(letters), len(token)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    if n >= secrets.FULL * k:
+        chi2, df = sum(folded.count(c) ** 2 for c in letters) * k / n - n, k - 1
+    else:
+        cells = [[c for c in letters if f(c)] for f in (lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: not c.isalpha())]
+        cells = [(sum(folded.count(c) for c in x), n * len(x) / k) for x in cells if x]
+        chi2, df = sum((o - e) ** 2 / e for o, e in cells), len(cells) - 1
+    chi = ((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [c >= k / 2 for c in x]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    both = 2 * n1 * (n - n1)
+    z_runs = abs(runs - both / n - 1) / math.sqrt(both * (both - n) / (n * n * (n - 1))) if both > n else 8.0
+    mean = sum(x) / n
+    spread = sum((c - mean) ** 2 for c in x)
+    z_serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread else 8.0
+    half = -sum(math.log(max(1e-14, t)) for t in (upper(chi),)) - sum(math.log(min(1, 2 * max(1e-14, upper(z)))) for z in (z_runs, z_serial))
+    p = math.exp(-half) * (1 + half + half * half / 2)
+    words = re.sub("[^A-Za-z0-9]", "", token)
+    kind = lambda c: "d" if c.isdigit() else "u" if c.isupper() else "l"
+    changes = sum(a != b and a + b != "ul" for a, b in zip(map(kind, words), map(kind, words[1:])))
+    rare = sum(c in "jkqvwxyzJKQVWXYZ" for c in words)
+    tail = lambda n, k, q: sum(math.comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(k, n + 1)) if k > 0 else 1.0
+    a, b = tail(len(words) - 1, changes, secrets.CHANGES), tail(sum(map(str.isalpha, words)), rare, secrets.RARE)
+    return name, chi, z_runs, z_serial, p, changes, rare, a if name == "hex" else min(1, a * b * (1 - math.log(a * b)))
+
+
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": string.digits + string.ascii_letters, "base64": string.digits + string.ascii_letters + "+/", "base64url": string.digits + string.ascii_letters + "-_"}
+
+
+def random_token(rng, name, n):
+    while True:
+        t = "".join(rng.choice(ALPHABETS[name]) for _ in range(n))
+        if re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+            return t
+
+
+def ordinary_tokens(rng):
+    """Identifiers, slugs, paths, versions, UUIDs and camel case, each with letters and digits and 20 characters or more."""
+    w = lambda: rng.choice("service user account deployment kubernetes cluster image build final release report backup index table server config house river window people thing order value handler factory module version market quick weekly january project query proxy job".split())
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    made = [
+        lambda: "-".join([w(), w(), w(), d(4)]), lambda: "_".join([w(), w(), w(), w(), d(2)]), lambda: "/".join([w(), w(), d(4), d(2), d(2), w()]),
+        lambda: w() + "".join(x.capitalize() for x in (w(), w(), w())) + d(2), lambda: "-".join((h(8), h(4), h(4), h(4), h(12))), lambda: w() + w() + w() + d(8),
+        lambda: (w() + "_" + w() + "_" + w()).upper() + "_V" + d(1), lambda: "-".join([w(), w(), "7d9f8b6c5", rng.choice(("x2vqz", "k8s1p", "abcd1"))]), lambda: w() + d(4) + w() + d(4) + w(), lambda: w() + "-v" + d(1) + "-" + d(2) + "-" + d(1) + "-" + w(),
+    ]
+    return lambda: next(t for t in (rng.choice(made)() for _ in iter(int, 1)) if len(t) >= 20 and re.search("[0-9]", t) and re.search("[A-Za-z]", t))
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(8)
+    make = ordinary_tokens(rng)
+    tokens = [random_token(rng, name, n) for name in ALPHABETS for n in (20, 21, 32, 47, 100, 500)] + [make() for _ in range(60)]
+    tokens += ["a" * 19 + "1", "1" * 30 + "a", "ab1" * 10, "A1" * 12, "----------------a1---", "deadbeef" * 4, "Zz9" * 100]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b"))
+    for r in df.collect():
+        want = brute_battery(r.t)
+        got = (r.b.encoding, r.b.chi, r.b.runs, r.b.serial, r.b.p, r.b.changes, r.b.rare, r.b.ordinary)
+        assert (got[0], got[5], got[6]) == (want[0], want[5], want[6]), r.t
+        for a, b in zip(got[1:4], want[1:4]):
+            assert a == pytest.approx(b, abs=1e-6), r.t
+        assert got[4] == pytest.approx(want[4], abs=1e-5) and got[7] == pytest.approx(want[7], rel=1e-6, abs=1e-12), r.t
+
+
+def test_thresholds_are_benjamini_hochberg(spark):
+    rng = random.Random(9)
+    tokens = [(rng.choice(("a:4", "b:5")), rng.choice((0, 0, 0, rng.randrange(secrets.BINS)))) for _ in range(300)]
+    df = spark.createDataFrame([([(0, 1, s, b)],) for s, b in tokens], "tokens array<struct<start:int,end:int,stratum:string,bin:int>>")
+    for rate in (0.01, 0.05, 0.3):
+        want = {}
+        for s in ("a:4", "b:5"):
+            bins = sorted((b for t, b in tokens if t == s), reverse=True)
+            passed = [b for i, b in enumerate(bins) if math.exp(-b * 32 / secrets.BINS) <= rate * sum(x >= b for x in bins) / len(bins)]
+            if passed:
+                want[s] = min(passed)
+        assert secrets.thresholds(df, rate) == want
+
+
+def test_planted_tokens_among_ordinary_ones(spark):
+    """Precision and recall by encoding and length, as the README states them; as many ordinary strings as random ones."""
+    rng = random.Random(10)
+    make = ordinary_tokens(rng)
+    planted = [(name, n, random_token(rng, name, n)) for name in ALPHABETS if name != "hex" for n in (20, 24, 32, 40, 64) for _ in range(60)]
+    rows = planted + [("ordinary", 0, make()) for _ in range(len(planted))]
+    df = spark.createDataFrame([(i, "see " + t + " there", "k", 5, "o") for i, (_, _, t) in enumerate(rows)], DOCS)
+    hit = {r.doc_id: r.n_random for r in secrets.digest(df).collect()}
+    recall = {}
+    for i, (name, n, _) in enumerate(rows):
+        recall.setdefault((name, n), []).append(hit[i])
+    recall = {k: sum(v) / len(v) for k, v in recall.items()}
+    print(recall)
+    false = sum(hit[i] for i, r in enumerate(rows) if r[0] == "ordinary")
+    print(false, sum(hit.values()), [r[2] for i, r in enumerate(rows) if r[0] == "ordinary" and hit[i]][:9])
+    assert false <= 0.05 * sum(hit.values())
+    assert all(recall[name, n] >= 0.8 for name in ("base62", "base64", "base64url") for n in (32, 40, 64)) and all(recall[name, 64] >= 0.8 for name in ("base32", "base36"))
+
+
+def test_long_texts_and_runs(spark):
+    rng = random.Random(11)
+    run = random_token(rng, "base64", 100_000)
+    many = " ".join(random_token(rng, "base62", 40) for _ in range(3000))
+    df = spark.createDataFrame([(1, run, "k", 5, "o"), (2, many, "k", 5, "o"), (3, "token=abcdef " * 3000, "k", 5, "o")], DOCS)
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert got[1].spans == "random:0:100000" and got[2].n_random >= 2900 and got[3].n_assign == 3000
+    assert got[3].spans.split(",")[-1] == f"assign:{13 * 2999}:{13 * 3000 - 1}"
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = spark.createDataFrame([(1, "a token=abcdefgh é", 1, 2, 3, 4, 5, 6, 7)], "doc_id long, text string, base int, spans int, spans_ int, row int, tokens int, m_hex int, runs int")
+    got = secrets.scan(df)
+    assert got.columns == [*df.columns, "base_", "spans__"] and got.select(*df.columns).collect() == df.collect()
+    out = secrets.redacted(df)
+    assert out.columns == df.columns and out.first()[1:] == ("a [secret] é", 1, 2, 3, 4, 5, 6, 7)
+
+
 def brute_mix(rows, weights, max_epochs, seed, budget=None):
     leaves = {}
     for i, (doc, n, *path) in enumerate(rows):
