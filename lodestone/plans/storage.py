@@ -30,9 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, named, True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
+        discarded_at_exit(spark, sc.getCheckpointDir())
     return named
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discarded_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder ``path``, in whatever store, deleted when the driver's JVM ends."""
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes the folder ``path`` now."""
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody has used."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -45,9 +63,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once as Parquet into the shared folder and read again: columns that aren't asked for aren't read."""
+    """``df``, written once as Parquet into the shared folder and read again: columns that aren't asked for aren't read. It goes with the session."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    discarded_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
