@@ -31,7 +31,8 @@ from lodestone.plans.storage import saved, ship
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 PAIRS_FROM = 4_000_000  # distinct fingerprints from which pairs of anchors cost less than single ones
-SLICE = 4096  # homes below one anchor that are compared in one task; more are dealt to several
+SLICE = 4096  # homes below one anchor that are compared at a time, about; more are dealt to several tasks
+GUESTS = 1 << 15  # guests likewise
 AT_ONCE = 1 << 22  # comparisons held in memory
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -245,18 +246,29 @@ def hamming_links(distinct: DataFrame, most: int = 4, form: str = "auto") -> Dat
             yield from out(held)
 
     places = distinct.select("fp").mapInArrow(place, "anchor long, fp long, home boolean")
-    # An anchor with many homes is dealt to several tasks: each takes some of the homes and all guests.
-    crowded = places.where("home").groupBy("anchor").count().where(F.col("count") > SLICE)
-    crowded = crowded.select("anchor", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
-    places = places.join(crowded, "anchor", "left")
-    n = F.coalesce("slices", F.lit(1))
-    mine = F.array(F.pmod(F.xxhash64("fp"), n).cast("int"))
-    dealt = places.select("anchor", "fp", "home", F.explode(F.when(F.col("home"), mine).otherwise(F.sequence(F.lit(0), n - 1))).alias("slice"))
-    key = (F.col("anchor") * F.lit(1 << 20) + F.col("slice")).alias("key")
-    sorted_ = dealt.select(key, "fp", "home").repartition("key").sortWithinPartitions("key", F.col("home").desc())
+    sorted_ = dealt(places).repartition("key").sortWithinPartitions("key", F.col("home").desc())
     return sorted_.mapInArrow(compare, "u long, v long").distinct()
 
 
+def dealt(places: DataFrame) -> DataFrame:
+    """(key, fp, home): ``places`` (anchor, fp, home) with the anchors cut into cells that one task can hold.
+
+    The homes below an anchor are dealt to slices of about SLICE, its guests to slices of about GUESTS; every slice of
+    homes meets every slice of guests in a cell (``key``) of its own. Anchors without a home have nothing to compare and
+    go. The counts that tell how many slices an anchor has are joined to its places by a key other than that which
+    they were counted by, so the places come straight from a shuffle and the adaptive skew join can split a hot anchor.
+    """
+    counts = places.groupBy("anchor").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count(F.when(~F.col("home"), 1)).alias("guests"))
+    crowded = counts.where((F.col("homes") > SLICE) | (F.col("guests") > GUESTS) & (F.col("homes") > 0))
+    cells = crowded.select(F.bitwise_not("anchor").alias("other"), F.ceil(F.col("homes") / SLICE).cast("int").alias("h"), F.greatest(F.ceil(F.col("guests") / GUESTS), F.lit(1)).cast("int").alias("g"))
+    met = places.withColumn("other", F.bitwise_not("anchor")).join(cells, "other", "left")
+    h, g = F.coalesce("h", F.lit(1)), F.coalesce("g", F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), h).otherwise(g)).cast("int")
+    cell = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), g - 1), lambda i: i * h + own)).otherwise(F.transform(F.sequence(F.lit(0), h - 1), lambda i: own * h + i))
+    key = (F.col("anchor") * F.lit(1 << 34) + F.col("cell")).alias("key")
+    return met.select("anchor", "fp", "home", F.explode(cell).alias("cell")).select(key, "fp", "home")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, form: str = "auto") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -264,13 +276,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints that differ in ``most`` bits or fewer; equal fingerprints are one node, so copies cost nothing.
     Empty, blank and null texts share fingerprint zero and are linked like any other. A null doc_id gets its
     component as well (null only if no member has an id). Repeated rows stay repeated. An empty table gives an empty
-    result.
+    result. Joins by a key that many rows share (copies of one text, members of one component) have a plain shuffle on
+    either side, which the adaptive skew join splits.
     """
     fps = saved(fingerprints(docs, id_col, text_col, shingle))
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(hamming_links(nodes.select("fp"), most, form))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = saved(joined)
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
+    joined = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "root"))
+    # A component's least id goes to its members by a key of its own, so that a large component can be split.
+    least = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("least")).select(F.bitwise_not("root").alias("other"), "least")
+    linked = joined.where("root is not null").withColumn("other", F.bitwise_not("root")).join(least, "other").select("fp", F.col("least").alias("component_id"))
+    named = saved(linked.unionByName(joined.where("root is null").select("fp", F.col("first").alias("component_id"))))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
