@@ -70,43 +70,51 @@ def leaf_budgets(have: DataFrame, levels: Sequence[str], weights: Sequence[Mappi
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping[str, int]], budget: int | None = None, max_epochs: int = 4, seed: int = 1, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
-    """``docs`` as often as they are selected, with the levels' columns, the number of tokens and ``epoch`` (from 0).
-
-    A null in a level is its empty name; names without a weight weigh 1. Epoch e of a leaf is its documents in the
-    order of md5(seed:e:id), then of id and text hash; documents are taken as long as the sum of tokens stays within
-    the leaf's budget. Null ids sort as the word null; repeated rows are separate documents. Documents without
-    tokens ride along where their place in the order is within the prefix; a leaf of none but such documents is
-    taken once, as epoch 0, whatever the budget. An empty table gives an empty result.
-
-    The order is found in two steps: sums by bucket of the hash (at most 16^3 for each leaf), then a window within the
-    bucket in which the budget ends, and in that alone.
+    """``docs``, its columns as they are, as often as they are selected, with the levels, the number of tokens and ``epoch`` (from 0).
+
+    A new column whose name ``docs`` has already gets underscores behind it. A null in a level is its empty name; names
+    without a weight weigh 1. Epoch e of a leaf is its documents in the order of md5(seed:e:id), then of id and text
+    hash; documents are taken as long as the sum of tokens stays within the leaf's budget. Null ids sort as the word
+    null; repeated rows are separate documents, in any order among themselves. Documents without tokens ride along where
+    their place in the order is within the prefix; a leaf of none but such documents is taken once, as epoch 0, whatever
+    the budget. An empty table gives an empty result.
+
+    The order is found in two steps: sums by bucket of the hash, then a window within the bucket in which the budget
+    ends, and in that alone. The window over a leaf's buckets has at most 16^DIGITS = 4,096 rows, however many
+    documents the leaf has; it is all that a hot leaf puts into one task.
     """
-    clash = {"_order", "_bucket", "_have", "_given", "_full", "_rest", "_before", "_tie", "_upto"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used inside")
-    names = list(levels)
-    base = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()} | {n_tokens: word_count(F.col(text_col)) if tokens is None else tokens})
-    have = saved(base.groupBy(*names).agg(F.sum(n_tokens).alias("have")))
+    names, kept = [f"level{i}" for i in range(len(levels))], [f"c{i}" for i in range(len(docs.columns))]
+    base = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)],
+        *[F.coalesce(v.cast("string"), F.lit("")).alias(k) for k, v in zip(names, levels.values())],
+        (word_count(F.col(text_col)) if tokens is None else tokens).alias("tokens"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"),
+    )
+    have = saved(base.groupBy(*names).agg(F.sum("tokens").alias("have")))
     leaves = saved(leaf_budgets(have, names, weights, budget, max_epochs).select(
-        *names, F.when(F.col("have") == 0, 1).otherwise(F.coalesce(F.expr("given div nullif(have, 0)"), F.lit(0))).cast("int").alias("_full"), F.coalesce(F.expr("given % nullif(have, 0)"), F.lit(0)).alias("_rest")))
+        *names, F.when(F.col("have") == 0, 1).otherwise(F.coalesce(F.expr("given div nullif(have, 0)"), F.lit(0))).cast("int").alias("full"), F.coalesce(F.expr("given % nullif(have, 0)"), F.lit(0)).alias("rest")))
     small = F.broadcast if leaves.count() <= SMALL else lambda df: df  # then a leaf's documents stay where they are
     rows = base.join(small(leaves), names)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    rows = rows.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, DIGITS))
-    sums = rows.groupBy(*names, "_bucket").agg(F.sum(n_tokens).alias("_own"))
-    ahead = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_own").over(ahead), F.lit(0)))
-    ends = sums.join(small(leaves), names).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_own")))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"))
+    rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, DIGITS))
+    sums = rows.groupBy(*names, "bucket").agg(F.sum("tokens").alias("own"))
+    ahead = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("own").over(ahead), F.lit(0)))
+    ends = sums.join(small(leaves), names).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("own")))
     # A leaf has one bucket in which its budget ends (none if it ends with the epoch, of which nothing is left then).
-    ends = ends.select(*names, F.col("_bucket").alias("_end"), "_before")
+    ends = ends.select(*names, F.col("bucket").alias("end"), "before")
     rows = rows.join(small(ends), names, "left")
-    epochs = rows.where("_full > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _full - 1)")))
-    below = rows.where("_rest > 0 and _bucket < _end").withColumn("epoch", F.col("_full"))
-    within = Window.partitionBy(*names, "_bucket").orderBy("_order", id_col, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.where("_rest > 0 and _bucket = _end").withColumn("_tie", F.xxhash64(text_col)).withColumn("_upto", F.col("_before") + F.sum(n_tokens).over(within))
-    edge = edge.where("_upto <= _rest").withColumn("epoch", F.col("_full"))
-    keep = [*docs.columns, *[c for c in (*names, n_tokens) if c not in docs.columns], "epoch"]
-    return epochs.select(*keep).unionByName(below.select(*keep)).unionByName(edge.select(*keep))
+    epochs = rows.where("full > 0").withColumn("epoch", F.explode(F.expr("sequence(0, full - 1)")))
+    below = rows.where("rest > 0 and bucket < end").withColumn("epoch", F.col("full"))
+    within = Window.partitionBy(*names, "bucket").orderBy("order", "id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = rows.where("rest > 0 and bucket = end").withColumn("upto", F.col("before") + F.sum("tokens").over(within))
+    edge = edge.where("upto <= rest").withColumn("epoch", F.col("full"))
+    inner, new = [*kept, *names, "tokens", "epoch"], []
+    for name in (*levels, n_tokens, "epoch"):
+        while name.lower() in {c.lower() for c in (*docs.columns, *new)}:
+            name += "_"
+        new.append(name)
+    out = epochs.select(*inner).unionByName(below.select(*inner)).unionByName(edge.select(*inner))
+    return out.select(*[F.col(i).alias(o) for i, o in zip(inner, (*docs.columns, *new))])
 
 
 # What the query and the pipeline use: domains by the source's number, and whole-number weights.

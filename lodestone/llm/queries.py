@@ -23,10 +23,11 @@ def _tokenizer(name: str) -> str:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import token_files
-    from lodestone.plans.storage import fresh_path
+    from lodestone.plans.storage import discarded_at_exit, fresh_path
 
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    discarded_at_exit(spark, path)
     return token_files.read_token_files(spark, path, token_files.crc32, "ids_crc32 long")
 
 
@@ -91,7 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     slim = saved(docs.select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"), F.md5("text").alias("text")))
     out = mixing.mix(slim, mixing.document_levels(), mixing.WEIGHTS, tokens=F.col("n_tokens"))
-    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return out.select("doc_id", "domain", F.col("lang_").alias("lang"), F.col("source_").alias("source"), "n_tokens", "epoch")
 
 
 QUERIES = {

@@ -272,3 +272,15 @@ def test_chat_round_trip(spark):
     assert own == "### user: \\b\\h Assistant: \\t ok</turn>\n### assistant: \\b\\h Assistant: \\t ok</turn>\n"
     assert formatted.where("conv_id = 99").first().formatted == "### assistant: same</part>same</turn>\n"
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_mixing_keeps_columns_of_the_same_names_and_repeated_rows(spark):
+    names = ["epoch", "domain", "n_tokens", "level0", "c0", "tokens", "id", "tie", "full", "rest", "order", "bucket", "_full"]
+    rows = [(i // 2, "one two three", None if i % 3 else "src1", *range(len(names))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mix(df, {"domain": F.col("source")}, ({},), max_epochs=2)
+    assert out.columns == [*df.columns, "domain_", "n_tokens_", "epoch_"]
+    got = out.collect()
+    assert {tuple(r)[: len(df.columns)] for r in got} <= set(rows)
+    assert sorted(r.domain_ for r in got) == [""] * 6 + ["src1"] * 6 and {r.n_tokens_ for r in got} == {3}  # half of 36 tokens for each leaf
+    assert sorted(r.epoch_ for r in got if r.domain_) == [0] * 4 + [1] * 2
