@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, secrets, toxicity
 from lodestone.llm.simhash import simhash_groups
-from lodestone.plans.storage import fresh_path, saved
+from lodestone.plans.storage import discard, discarded_at_exit, fresh_path, stored
 
 #: Models, ordered budgets and BPE ids can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -28,19 +28,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each SimHash group stays: the one with the smallest doc_id, null after all others, then the smallest key.
 
-    Groups are made over keys, a number for each row, so rows without doc_id and rows that share one are told apart.
+    Groups are made over keys, a number for each row, so rows without doc_id and rows that share one are told apart. Any
+    further columns stay as they are.
     """
-    keyed = saved(docs.withColumn("_key", F.monotonically_increasing_id()))
-    groups = simhash_groups(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
-    met = keyed.select("_key", "doc_id").join(groups, "_key")
-    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "_key")
-    first = met.groupBy("component_id").agg(F.min_by("_key", order).alias("_key"))
-    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = stored(docs.toDF(*names).withColumn("key", F.monotonically_increasing_id()), "near-dedup")
+    groups = simhash_groups(keyed.select("key", text), id_col="key", text_col=text).select(F.col("doc_id").alias("key"), "component_id")
+    met = keyed.select("key", F.col(doc_id).alias("id")).join(groups, "key")
+    order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "key")
+    first = met.groupBy("component_id").agg(F.min_by("key", order).alias("key"))
+    return keyed.join(first, "key", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts give way to a mark; n_chars follows. No document goes."""
-    out = secrets.redacted(secrets.scan(docs)).select(*docs.columns)
+    out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -67,10 +70,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written as Parquet and read again as the next one's input. A stage's folder goes once the next is written, the last one's with the session."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
+    discarded_at_exit(spark, before)
     return docs
