@@ -212,13 +212,12 @@ class WordPieces(_Model):
                 self.words[word] = got
         return got
 
-    def frequencies(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pre-tokens of all texts; of each text the number of its distinct ones, then their codes, ascending, and how often each occurs."""
+    def frequencies(self, texts: list[str], code: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the number of its distinct pre-tokens, then their codes, ascending, and how often each occurs; new ones get the next ``code``."""
         odd = {i: self._odd(t) for i, t in enumerate(texts) if self.odd(t) or any(c in t for c in SEPARATORS)}
         plain = ["" if i in odd else self.normal(t) for i, t in enumerate(texts)]
         runs = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         coded = runs.flatten().dictionary_encode()
-        code: dict[str, int] = {}
         parts = [[code.setdefault(x, len(code)) for x in self._word(w)] if w else [] for w in coded.dictionary.to_pylist()]
         # Runs by document, then the pre-tokens of each run, then those of each document added up.
         first = np.cumsum([0, *map(len, parts)])
@@ -236,7 +235,7 @@ class WordPieces(_Model):
         key = (doc * max(1, len(code)) + flat)[order]
         edge = np.flatnonzero(np.diff(key, prepend=-1))
         summed = np.add.reduceat(times[order], edge) if len(edge) else np.zeros(0, np.int64)
-        return list(code), np.bincount(doc[order][edge], minlength=len(texts)), flat[order][edge], summed
+        return np.bincount(doc[order][edge], minlength=len(texts)), flat[order][edge], summed
 
 
 @cache

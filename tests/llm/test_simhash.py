@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import simhash as S
@@ -111,12 +111,12 @@ def test_components(spark):
 
 
 def test_crowded_anchors_are_cut_both_ways(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SLICE", 50)
-    monkeypatch.setattr(simhash, "GUESTS", 1000)
+    monkeypatch.setattr(S, "SLICE", 50)
+    monkeypatch.setattr(S, "GUESTS", 1000)
     guests, homes = 100_000, 200
     rows = spark.range(guests).selectExpr("cast(7 as long) anchor", "id fp", "false home").unionByName(spark.range(homes).selectExpr("cast(7 as long) anchor", "id + 1000000 fp", "true home"))
     rows = rows.unionByName(spark.createDataFrame([(8, 1, False), (9, 2, True), (9, 3, False)], "anchor long, fp long, home boolean"))
-    out = simhash.dealt(rows)
+    out = S.dealt(rows)
     by = {r.key: (r.h, r.g) for r in out.groupBy("key").agg(F.count(F.when(F.col("home"), 1)).alias("h"), F.count(F.when(~F.col("home"), 1)).alias("g")).collect()}
     hot = [v for k, v in by.items() if k >> 34 == 7]
     assert len(hot) == 4 * 100 and max(h for h, _ in hot) < 100 and max(g for _, g in hot) < 1300

@@ -111,12 +111,12 @@ def test_token_files_empty(spark):
     assert token_files.read_token_files(spark, out).collect() == []
 
 
-@pytest.mark.parametrize("block,salted", [(token_counts.BLOCK, token_counts.SALTED), (300, 7), (1, 1)])
-def test_token_counts(spark, block, salted):
+@pytest.mark.parametrize("block,most,salted", [(token_counts.BLOCK, token_counts.DICTIONARY, token_counts.SALTED), (300, 40, 7), (1, 1, 1)])
+def test_token_counts(spark, block, most, salted):
     path = P.path("word_bpe_49k.json")
     tok = piecewise.tokenizer(path)
     values = [*texts(), "a<|endoftext|>b<|startoftext|> <|ENDOFTEXT|> c\x1dd", "<|endoftext|>" * 3, "x" * 70_000]
-    got = token_counts.token_counts(table(spark, values), path, limit=50, block=block, salted=salted).collect()
+    got = token_counts.token_counts(table(spark, values), path, limit=50, block=block, most=most, salted=salted).collect()
     want = []
     for i, t in enumerate(values):
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
@@ -127,10 +127,12 @@ def test_token_counts(spark, block, salted):
     assert sorted(map(tuple, none)) == [(1, 0, 0, False), (2, 1, 0, False)]
 
 
-def test_pre_tokens_are_counted_once(spark, monkeypatch):
+def test_pre_tokens_are_counted_once(spark):
     path = P.path("word_bpe_49k.json")
-    blocks = token_counts.frequencies(spark.createDataFrame([(i, "one two two don't") for i in range(50)], "doc_id long, text string").repartition(3), path, block=60)
-    assert blocks.count() > 5 and {tuple(r.pre) for r in blocks.collect()} == {("one", "two", "don", "'t")}
+    docs = spark.createDataFrame([(i, "one two two don't") for i in range(50)], "doc_id long, text string").repartition(3)
+    blocks = token_counts.frequencies(docs, path, block=60).collect()
+    assert [r.pre for r in blocks if r.pre] == [["one", "two", "don", "'t"]] * 3 and sum(len(r.doc_ids) for r in blocks) == 50
+    assert len({r.dictionary for r in token_counts.frequencies(docs, path, block=60, most=4).collect()}) > 5
 
 
 def test_piecewise_forgets(monkeypatch):
