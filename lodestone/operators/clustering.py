@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Metric
-from lodestone.operators.exact import EmptyIndexError, _distances, _matrix, knn, top_k
+from lodestone.operators.exact import EmptyIndexError, _distances, _exact, _matrix, knn, top_k
 from lodestone.plans.storage import ship
 
 Centroids = list[list[float]]
@@ -61,8 +61,25 @@ def assign(data: DataFrame, centroids: Centroids, metric: Metric = Metric.EUCLID
 
 
 def means(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, centroid): the mean of each cluster, position by position; partial sums are made before the shuffle."""
-    cells = assigned.select("cluster_id", F.posexplode("vector").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
+    """(cluster_id, centroid): the mean of each cluster. Every task sends one sum for each of its clusters, however many vectors it has."""
+    ship(assigned.sparkSession)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, cluster = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+            for c in np.unique(cluster).tolist():
+                mine = x[cluster == c]
+                total[c] = total.get(c, 0.0) + mine.sum(0)
+                count[c] = count.get(c, 0) + len(mine)
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(list(count.values()), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["cluster_id", "n", "total"])
+
+    parts = assigned.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(sums, "cluster_id int, n long, total array<double>")
+    cells = parts.select("cluster_id", "n", F.posexplode("total").alias("pos", "x")).groupBy("cluster_id", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
     return cells.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
@@ -87,12 +104,24 @@ def as_table(spark, centroids: Centroids) -> DataFrame:
 
 
 def route(queries: DataFrame, centroids: Centroids, n: int, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
-    """(query_id, qv, cluster_id, probe, distance): the ``n`` nearest clusters of each query; no shuffle."""
-    from lodestone.functions.vectors import distance, literal
+    """(query_id, qv, cluster_id, probe, distance): the ``n`` nearest clusters of each query, ties to the lowest number; no shuffle, one matrix product for a batch of queries."""
+    ship(queries.sparkSession)
+    c = np.array(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(1))
+            most = min(len(c), n + 8)  # the product's rounding can swap near-ties, so a few more are measured term by term
+            pick = np.sort(np.argsort(_distances(metric, x, c), 1, kind="stable")[:, :most], 1)
+            exact = _exact(metric, x, c[pick])
+            order = np.argsort(exact, 1, kind="stable")[:, :n]
+            got, d = np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
+            take = pa.array(np.repeat(np.arange(len(x)), got.shape[1]))
+            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(got.ravel(), pa.int32()), pa.array(np.tile(np.arange(got.shape[1]), len(x)), pa.int32()), pa.array(d.ravel())], ["query_id", "qv", "cluster_id", "probe", "distance"])
 
-    options = F.array(*[F.struct(distance(metric, F.col("vector"), literal(c)).alias("distance"), F.lit(i).alias("cluster_id")) for i, c in enumerate(centroids)])
-    best = F.slice(F.array_sort(options), 1, n)
-    return queries.select("query_id", F.col("vector").alias("qv"), F.posexplode(best).alias("probe", "b")).select("query_id", "qv", "b.cluster_id", "probe", "b.distance")
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query_id long, qv array<double>, cluster_id int, probe int, distance double")
 
 
 @dataclass(frozen=True)
@@ -175,16 +204,22 @@ def pq_encode(data: DataFrame, books: list[Centroids]) -> DataFrame:
     return data.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "id long, codes array<smallint>")
 
 
-def pq_search(codes: DataFrame, queries: DataFrame, books: list[Centroids], k: int, root: bool = True) -> DataFrame:
-    """Asymmetric distances: a table of squared distances for each query, summed by the codes; the best ``k``."""
+def pq_search(codes: DataFrame, queries: DataFrame, books: list[Centroids], k: int) -> DataFrame:
+    """(query_id, rank, id, distance): the best ``k`` by asymmetric distance, that of the query to the codewords. Every task sends on its own best ``k``."""
+    return knn(pq_decode(codes, books), queries, k)
+
+
+def pq_distances(codes: DataFrame, queries: DataFrame, books: list[Centroids], most: int = 1000) -> DataFrame:
+    """(query_id, id, distance): squared asymmetric distances of all pairs, from a table for each of a few queries (``most``, beyond which it raises)."""
     from lodestone.functions.vectors import l2, literal, total
 
+    if queries.count() > most:
+        raise ValueError(f"all pairs are for at most {most} queries; pq_search ranks any number")
     width = len(books[0][0])
     tables = F.array(*[F.array(*[F.pow(l2(F.slice("vector", s * width + 1, width), literal(w)), F.lit(2.0)) for w in book]) for s, book in enumerate(books)])
     asked = queries.select("query_id", tables.alias("tables"))
     adc = total(F.zip_with("tables", "codes", lambda t, c: F.element_at(t, c.cast("int") + 1)))
-    scored = codes.join(F.broadcast(asked)).select("query_id", "id", (F.sqrt(adc) if root else adc).alias("distance"))
-    return top_k(scored, k).select("query_id", "rank", "id", "distance")
+    return codes.join(F.broadcast(asked)).select("query_id", "id", adc.alias("distance"))
 
 
 def pq_decode(codes: DataFrame, books: list[Centroids]) -> DataFrame:

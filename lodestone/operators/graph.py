@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators.exact import knn, top_k
-from lodestone.plans.storage import ship
-from lodestone.sources.vectors import unit_column
+from lodestone.plans.storage import saved, ship
+from lodestone.sources.vectors import load_index, save_index, unit_column
+
+UPPER = 256  # vectors of an upper layer, at most
 
 
 def layer(id_: Column, seed: int = 42, ml: float = 1 / math.log(2)) -> Column:
@@ -24,7 +27,7 @@ def layer(id_: Column, seed: int = 42, ml: float = 1 / math.log(2)) -> Column:
 
 
 def knn_graph(data: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
-    """(src, rank, dst, distance): the ``k`` nearest others of every vector, exactly."""
+    """(src, rank, dst, distance): the ``k`` nearest others of every vector, exactly; ids are unique. Work grows with the square of the number of vectors."""
     found = knn(data, data.select(F.col("id").alias("query_id"), "vector"), k + 1, metric).where("id != query_id")
     return top_k(found.drop("rank"), k).select(F.col("query_id").alias("src"), "rank", F.col("id").alias("dst"), "distance")
 
@@ -95,8 +98,98 @@ def expand(found: DataFrame, edges: DataFrame, now: int, half: float = 86400.0)
 
 
 def entry_points(data: DataFrame, n: int) -> DataFrame:
-    """(place, id): ``n`` ids at even steps of the ids' order, by approximate rank if there are many."""
-    total = data.count()
-    step = max(1, total // max(1, n))
-    place = F.row_number().over(Window.orderBy("id")) - 1
-    return data.select("id", place.alias("place")).where((F.col("place") % step == 0) & (F.floor(F.col("place") / step) < n)).select((F.col("place") / step).cast("int").alias("place"), "id")
+    """(place, id): ``n`` ids at even steps of the ids' order. Ids are numbered range by range, so no task sees all of them."""
+    ranged = saved(data.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    step = max(1, ranged.count() // max(1, n))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    numbered = ranged.join(F.broadcast(starts), "part").select("id", place.alias("place"))
+    return numbered.where((F.col("place") % step == 0) & (F.floor(F.col("place") / step) < n)).select((F.col("place") / step).cast("int").alias("place"), "id")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst): every edge in either direction, once."""
+    one = edges.select("src", "dst")
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def top_layer(data: DataFrame, most: int = UPPER, seed: int = 42, ml: float = 1 / math.log(2)) -> DataFrame:
+    """The vectors (id, vector) of the lowest layer that has at most ``most`` of them; of all layers if even the highest has more, its first by id."""
+    layered = data.select("id", "vector", layer(F.col("id"), seed, ml).alias("layer"))
+    sizes = {r.layer: r.n for r in layered.groupBy("layer").agg(F.count("*").alias("n")).collect()}  # a number for each layer
+    at, above = max(sizes, default=0), 0
+    for level in sorted(sizes, reverse=True):
+        above += sizes[level]
+        if above > most:
+            break
+        at = level
+    upper = layered.where(F.col("layer") >= at).select("id", "vector")
+    return upper if above <= most or at < max(sizes, default=0) or sizes.get(at, 0) <= most else upper.orderBy("id").limit(most)
+
+
+def walk(data: DataFrame, edges: DataFrame, queries: DataFrame, starts: DataFrame, k: int, ef: int, rounds: int = 16, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
+    """(query_id, rank, id, distance): the best ``k`` that a walk along ``edges`` (src, dst) reaches from ``starts`` (query_id, id).
+
+    All queries walk at once. In each round the ``ef`` best vectors so far of each query, as far as they are new, are
+    joined to their edges and the edges' ends to their vectors; the walk of a query ends when a round brings nothing
+    better, all walks after ``rounds``. A round is a few joins over at most queries x ef x degree rows and is cut off
+    by a checkpoint. Approximate: what the edges don't reach isn't found.
+    """
+    known, asked = data.select("id", "vector"), queries.select("query_id", F.col("vector").alias("qv"))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(known, "id").join(asked, "query_id")
+        return met.select("query_id", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance"), F.lit(True).alias("fresh"))
+
+    beam = saved(top_k(measured(starts.select("query_id", "id").distinct()), ef).drop("rank"))
+    for _ in range(rounds):
+        front = beam.where("fresh")
+        if front.isEmpty():
+            break
+        ends = front.select("query_id", F.col("id").alias("src")).join(edges.select("src", "dst"), "src").select("query_id", F.col("dst").alias("id")).distinct()
+        new = measured(ends.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+        beam = saved(top_k(beam.withColumn("fresh", F.lit(False)).unionByName(new), ef).drop("rank"))
+    return top_k(beam.drop("fresh"), k).select("query_id", "rank", "id", "distance")
+
+
+@dataclass(frozen=True)
+class GraphIndex:
+    """Vectors, edges in either direction, and the few vectors of an upper layer where walks begin; built once, searched often."""
+
+    data: DataFrame
+    edges: DataFrame
+    upper: DataFrame
+    metric: Metric = Metric.EUCLIDEAN
+
+    @classmethod
+    def build(cls, data: DataFrame, m: int = 16, metric: Metric = Metric.EUCLIDEAN, pruned: bool = False, upper: int = UPPER) -> GraphIndex:
+        """Edges to the ``m`` nearest others of each vector, or, ``pruned``, ``m`` of the 2m nearest chosen for their spread."""
+        near = knn_graph(data, 2 * m if pruned else m, metric)
+        kept = rng_prune(near, data, m) if pruned else near
+        return cls(data.select("id", "vector"), saved(both_ways(kept)), saved(top_layer(data, upper)), metric)
+
+    def search(self, queries: DataFrame, k: int, ef: int = 100, entries: int = 3, rounds: int = 16) -> DataFrame:
+        """A walk from the ``entries`` vectors of the upper layer that are nearest to each query."""
+        starts = knn(self.upper, queries, entries, self.metric).select("query_id", "id")
+        return walk(self.data, self.edges, queries, starts, k, max(ef, k), rounds, self.metric)
+
+    def save(self, path: str) -> None:
+        save_index({"data": self.data, "edges": self.edges, "upper": self.upper}, {"metric": self.metric.value}, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GraphIndex:
+        tables, meta = load_index(spark, path)
+        return cls(tables["data"], tables["edges"], tables["upper"], Metric(meta["metric"]))
+
+
+def tiered_search(data: DataFrame, queries: DataFrame, k: int, target: float = 0.96) -> DataFrame:
+    """Parameters by the number of vectors: with fewer than 1,000 a scan of all, beyond that a walk over the graph that they set."""
+    from lodestone.operators.state import universal_params
+
+    n = data.count()
+    p = queries.sparkSession.range(1).select(universal_params(F.lit(n), F.lit(64), F.lit(target)).alias("p")).first().p
+    if p.layers == 1:
+        return knn(data, queries, k)
+    return GraphIndex.build(data, p.m).search(queries, k, max(p.ef, 4 * k), p.entry_points)

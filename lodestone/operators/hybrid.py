@@ -40,8 +40,10 @@ def sparse_cosines(terms: DataFrame, asked: DataFrame) -> DataFrame:
 
 def hybrid_search(data: DataFrame, terms: DataFrame, queries: DataFrame, asked: DataFrame, k: int, dense_weight: float = 0.6, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
     """Documents that share a term with the query (all, if none does), scored by distance and product, each scaled to [0, 1] within the query's candidates."""
-    products = sparse_products(terms, asked)
-    alone = queries.join(products.select("query_id").distinct(), "query_id", "left_anti")
+    known = terms.join(data.select("id"), "id", "left_semi")  # what has no vector is no candidate
+    products = sparse_products(known, asked)
+    any_term = asked.join(terms.select("term").distinct(), "term", "left_semi").select("query_id").distinct()
+    alone = queries.join(any_term, "query_id", "left_anti")
     every = alone.join(data.select("id")).select("query_id", "id", F.lit(0.0).alias("dot"))
     met = products.unionByName(every).join(data.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
     scored = met.select("query_id", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("d"), "dot")

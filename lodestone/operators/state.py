@@ -12,6 +12,7 @@ from lodestone.functions import vectors as V
 
 
 def insert(data: DataFrame, new: DataFrame) -> DataFrame:
+    """Both together; ids are expected to be new. ``upsert`` is for those that may be there."""
     return data.unionByName(new)
 
 
@@ -21,8 +22,8 @@ def delete(data: DataFrame, ids: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def update(data: DataFrame, new: DataFrame) -> tuple[DataFrame, bool]:
-    """Vectors replaced where the id is there already."""
-    fresh = new.select("id", F.col("vector").alias("_new"))
+    """Vectors replaced where the id is there already. Of several new vectors of one id the smallest by components counts."""
+    fresh = new.groupBy("id").agg(F.min("vector").alias("_new"))
     out = data.join(fresh, "id", "left").withColumn("vector", F.coalesce("_new", "vector")).drop("_new").select(*data.columns)
     return out, data.join(fresh, "id", "left_semi").limit(1).count() > 0
 
@@ -196,7 +197,8 @@ def query_key(vector: Column, first: int = 8) -> Column:
 
 # Presets of the searches.
 PRESETS = {
-    "high_recall": {"n_probes": 16, "ef": 200, "confidence": 0.9}, "high_speed": {"n_probes": 2, "ef": 20, "confidence": 0.5},
+    "high_recall": {"n_probes": 12, "max_probes": 20, "m": 24, "ef_construction": 200, "ef": 100, "max_ef": 300, "edge_threshold": 0.7},
+    "high_speed": {"n_probes": 4, "max_probes": 8, "m": 12, "ef_construction": 50, "ef": 30, "min_ef": 5, "max_ef": 100, "edge_threshold": 0.3, "degree": 16},
     "energy_efficient": {"n_probes": 4, "ef": 50, "confidence": 0.7}, "memory_efficient": {"n_probes": 4, "ef": 50, "m": 8},
     "fast": {"n_probes": 2, "ef": 10}, "accurate": {"n_probes": 16, "ef": 400},
 }

@@ -269,8 +269,8 @@ query("pq_split", f"{VQ}, {PARTS} SELECT id, s AS part, round(list_sum(part), 6)
 query("pq_encode", f"{VQ}, {PARTS} SELECT id, s AS part, code FROM codes")(lambda spark, sf: clustering.pq_encode(v := vectors(spark, sf), book(v)).select("id", F.posexplode("codes").alias("part", "code")).withColumn("code", F.col("code").cast("int")))
 PQ_SCORE = f"SELECT q.query_id, codes.id, {{f}}(sum(pow(list_distance(list_slice(qv, s * 8 + 1, s * 8 + 8), word), 2))) AS distance FROM q, codes JOIN book USING (s, code) GROUP BY ALL"
 query("pq_search", f"{VQ}, {PARTS} " + ranked_sql("SELECT query_id, id, round(distance, 9) AS distance FROM (" + PQ_SCORE.format(f="sqrt") + ")"))(
-    lambda spark, sf: rounded(top_k(clustering.pq_search(clustering.pq_encode(v := vectors(spark, sf), b := book(v)), asked(v), b, 10**9).drop("rank").withColumn("distance", F.round("distance", 9)), K).select("query_id", "rank", "id", "distance")))
-query("pq_adc", f"{VQ}, {PARTS} SELECT query_id, id, round(distance, 6) AS distance FROM (" + PQ_SCORE.format(f="") + ")")(lambda spark, sf: rounded(clustering.pq_search(clustering.pq_encode(v := vectors(spark, sf), b := book(v)), asked(v), b, 10**9, root=False).select("query_id", "id", "distance")))
+    lambda spark, sf: rounded(clustering.pq_search(clustering.pq_encode(v := vectors(spark, sf), b := book(v)), asked(v), b, K)))
+query("pq_adc", f"{VQ}, {PARTS} SELECT query_id, id, round(distance, 6) AS distance FROM (" + PQ_SCORE.format(f="") + ")")(lambda spark, sf: rounded(clustering.pq_distances(clustering.pq_encode(v := vectors(spark, sf), b := book(v)), asked(v), b)))
 
 
 @query("pq_rerank")
@@ -351,14 +351,21 @@ query("entry_points", f"{VQ} SELECT (place / step)::INTEGER AS place, id FROM (S
 
 @query("hnsw_search")
 def hnsw_search(spark, sf):
-    """Stand-in for graph walks: 8 of 10 inverted lists are scanned. The README has its recall; nothing here checks it."""
+    """A walk over the graph of the 16 nearest, from the three nearest of an upper layer; approximate, recall in the README."""
     v = vectors(spark, sf)
-    c = trained(v)
-    return rounded(clustering.IvfIndex(clustering.assign(v, c).drop("centroid_distance"), c).search(asked(v), K, 8))
+    return rounded(graph.GraphIndex.build(v, 16).search(asked(v), K, ef=100))
+
+
+@query("zenith_search")
+def zenith_search(spark, sf):
+    """A walk over edges chosen for their spread, with the effort that dimension and k ask for; approximate, recall in the README."""
+    v = vectors(spark, sf)
+    p = graph.zenith_params(DIM, K)
+    return rounded(graph.GraphIndex.build(v, int(p["m"]), pruned=True).search(asked(v), K, int(p["ef"])))
 
 
-_exact("zenith_search", L2)
-_exact("universal_search", L2)
+# With fewer than 1,000 vectors the tier is a scan, beyond that a walk, which may miss some of the SQL's rows.
+query("universal_search", VQ + " " + ranked_sql(f"SELECT query_id, id, {distance_sql(L2)} AS distance FROM q, v"))(lambda spark, sf: rounded(graph.tiered_search(v := vectors(spark, sf), asked(v), K)))
 
 
 # --- hybrid ---------------------------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ class Scenario:
 
 # The four presets, in the sizes of their published figures and in those that the tools run.
 PUBLISHED = (Scenario("smoke", 1_000, 32, 32, 5), Scenario("recall-baseline", 10_000, 64, 256, 20), Scenario("cosine-quality", 15_000, 128, 256, 25, "cosine"), Scenario("io-heavy", 50_000, 256, 512, 15))
-PRESETS = (Scenario("smoke", 5_000, 32, 64, 10), Scenario("recall-baseline", 100_000, 128, 500, 50), Scenario("cosine-quality", 75_000, 256, 500, 50, "cosine"), Scenario("io-heavy", 500_000, 384, 1_000, 25))
+PRESETS = (Scenario("smoke", 5_000, 64, 64, 10), Scenario("recall-baseline", 100_000, 128, 500, 50), Scenario("cosine-quality", 75_000, 256, 500, 50, "cosine"), Scenario("io-heavy", 500_000, 384, 1_000, 25))
 
 
 def scenario(name: str, published: bool = False) -> Scenario:

@@ -21,15 +21,23 @@ def windowed_means(stream: DataFrame, ts: str = "ts", value: str = "value", size
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size)).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "mean", "n")
 
 
-def train_router(stream: DataFrame, router: Router, centroids: Centroids, checkpoint: str, batch: int = 32, most: int = 10_000, rate: float = 0.001, then: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Feeds each micro-batch (id, vector) to the router, ``batch`` rows a step, at most ``most`` rows of a micro-batch (a documented bound of what the driver holds)."""
+def train_router(stream: DataFrame, router: Router, centroids: Centroids, checkpoint: str, batch: int = 32, rate: float = 0.001, then: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Feeds every row (id, vector) of each micro-batch to the router, ``batch`` rows a step, by id; the driver holds one partition of them at a time."""
     import numpy as np
 
     def learn(df: DataFrame, epoch: int) -> None:
-        rows = assign(df.select("id", "vector"), centroids).orderBy("id").limit(most).collect()
-        for at in range(0, len(rows), batch):
-            part = rows[at : at + batch]
-            router.step(np.array([r.vector for r in part]), np.array([r.cluster_id for r in part]), rate)
+        held: list = []
+
+        def step(rows: list) -> None:
+            router.step(np.array([r.vector for r in rows]), np.array([r.cluster_id for r in rows]), rate)
+
+        for row in assign(df.select("id", "vector"), centroids).orderBy("id").toLocalIterator():
+            held.append(row)
+            if len(held) == batch:
+                step(held)
+                held = []
+        if held:
+            step(held)
         if then:
             then(epoch)
 

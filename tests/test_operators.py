@@ -150,3 +150,39 @@ def test_streaming(spark, tmp_path):
     before = router.w2.copy()
     ingest.train_router(stream, router, [[0.5] * 4, [-0.5] * 4], str(tmp_path / "ck"), then=seen.append).awaitTermination(120)
     assert seen and not np.allclose(before, router.w2)
+
+
+def test_updates_with_repeated_ids_keep_one_row(spark):
+    data, new = frame(spark, [(1, [0.0, 0.0]), (2, [1.0, 1.0])]), frame(spark, [(1, [5.0, 5.0]), (1, [4.0, 9.0]), (3, [2.0, 2.0])])
+    out, any_ = state.update(data, new)
+    assert any_ and sorted((r.id, list(r.vector)) for r in out.collect()) == [(1, [4.0, 9.0]), (2, [1.0, 1.0])]
+
+
+def test_presets_and_scenarios_hold_the_published_values():
+    assert state.preset("high_recall")["n_probes"] == 12 and state.preset("high_recall")["m"] == 24 and state.preset("high_speed")["ef"] == 30
+    assert S.scenario("smoke").dim == 64 and S.scenario("smoke", published=True).dim == 32
+
+
+def test_streams_of_counts_and_windows(spark, tmp_path):
+    rows = [(f"2024-01-01 00:{m:02d}:00", m % 3, float(m)) for m in range(0, 60, 5)] + [("2024-01-01 02:00:00", 1, 7.0)]
+    spark.createDataFrame(rows, "ts string, bucket int, value double").selectExpr("cast(ts as timestamp) ts", "bucket", "value").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, bucket int, value double").parquet(str(tmp_path / "in"))
+    for name, out, mode in (("counts", ingest.running_counts(stream), "complete"), ("means", ingest.windowed_means(stream), "append")):
+        out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r.bucket: r.n for r in spark.table("counts").collect()} == {0: 4, 1: 5, 2: 4}
+    assert [(r.mean, r.n) for r in spark.table("means").collect()][:1] == [(27.5, 12)]
+
+
+def test_query_keys_agree_on_near_vectors(spark):
+    df = spark.createDataFrame([([0.1234561, -3.0] + [0.5] * 10,), ([0.1234569, -9.0] + [0.5] * 6 + [1.0] * 4,), ([0.2, -3.0] + [0.5] * 10,)], "vector array<double>")
+    a, b, c = [r.k for r in df.select(state.query_key(F.col("vector")).alias("k")).collect()]
+    assert a == b != c
+
+
+def test_plus_plus_spreads_its_centres(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 3)) * 0.1 + 20 * i for i in range(4)])
+    picked = np.array(clustering.plus_plus(frame(spark, list(enumerate(x))), 4))
+    assert sorted(np.round(picked.mean(1) / 20).astype(int).tolist()) == [0, 1, 2, 3]
+    index = clustering.IvfIndex.build(frame(spark, list(enumerate(x))), 4, 5)
+    assert sorted(r.n for r in index.sizes().collect()) == [60] * 4

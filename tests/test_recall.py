@@ -1,7 +1,7 @@
 import numpy as np
 
 from lodestone import queries as Q
-from lodestone.operators import clustering, exact, hybrid
+from lodestone.operators import clustering, exact, graph, hybrid
 from test_operators import asked, frame
 
 
@@ -91,3 +91,43 @@ def test_router_sees_all_ids(spark):
     data = frame(spark, [(i, (1.0, 0.0) if i < 100 else (0.0, 1.0)) for i in range(200)]).selectExpr("id", "vector", "CAST(id >= 100 AS INT) AS cluster_id")
     router = clustering.Router.new(2, 2, 8).fit(data, epochs=20, sample=60, rate=0.05, batch=8)
     assert router.predict(np.array([[1.0, 0.0], [0.0, 1.0]])).argmax(1).tolist() == [0, 1]
+
+
+def test_graph_walks_reach_the_neighbours(spark, sf_dir):
+    ids, x = read(spark, sf_dir)
+    truth = nearest(ids, x)
+    for name in ("hnsw_search", "zenith_search"):
+        assert recall(lists(Q.QUERIES[name](spark, sf_dir)), truth) >= 0.9, name
+
+
+def test_graph_index_is_saved_and_searched(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    data, queries = frame(spark, list(enumerate(x))), asked(spark, *x[:8])
+    graph.GraphIndex.build(data, 8, upper=40).save(str(tmp_path / "g"))
+    index = graph.GraphIndex.load(spark, str(tmp_path / "g"))
+    assert 0 < index.upper.count() <= 40
+    found = lists(index.search(queries, 5, ef=40))
+    truth = {q: np.argsort(np.linalg.norm(x - x[q], axis=1), kind="stable")[:5].tolist() for q in range(8)}
+    assert recall(found, truth) >= 0.9
+    one = frame(spark, [(7, x[0])])
+    assert lists(graph.GraphIndex.build(one, 4).search(queries, 5)) == {q: [7] for q in range(8)}
+
+
+def test_walks_on_a_chain_follow_the_edges(spark):
+    data = frame(spark, [(i, [float(i), 0.0]) for i in range(30)])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(29)], "src long, dst long")
+    queries = asked(spark, [29.0, 0.0])
+    starts = spark.createDataFrame([(0, 0)], "query_id long, id long")
+    assert lists(graph.walk(data, edges, queries, starts, 2, 3, rounds=40)) == {0: [29, 28]}
+    assert lists(graph.walk(data, edges, queries, starts, 1, 3, rounds=4)) == {0: [4]}
+
+
+def test_tiers(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 8))
+    for n in (300, 1200):
+        data, queries = frame(spark, list(enumerate(x[:n]))), asked(spark, *x[:10])
+        truth = {q: np.argsort(np.linalg.norm(x[:n] - x[q], axis=1), kind="stable")[:10].tolist() for q in range(10)}
+        got = recall(lists(graph.tiered_search(data, queries, 10)), truth)
+        assert got == 1.0 if n == 300 else got >= 0.9
