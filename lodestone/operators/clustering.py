@@ -237,11 +237,11 @@ def pq_decode(codes: DataFrame, books: list[Centroids]) -> DataFrame:
     return codes.select("id", "codes").mapInArrow(run, "id long, vector array<double>")
 
 
-def pq_rerank(data: DataFrame, queries: DataFrame, k: int, m: int = 8, words: int = 256, iterations: int = 20, least: int = 300, share: float = 0.03) -> DataFrame:
-    """(query_id, rank, id, distance): a shortlist by trained codes, ranked exactly. It holds ``share`` of all vectors, and at least ``least``."""
+def pq_rerank(data: DataFrame, queries: DataFrame, k: int, m: int = 8, words: int = 256, iterations: int = 20, least: int = 300, share: float = 0.03, books: list[Centroids] | None = None) -> DataFrame:
+    """(query_id, rank, id, distance): a shortlist by codes, ranked exactly. It holds ``share`` of all vectors, and at least ``least``. Without ``books``, they are trained here."""
     from lodestone.functions.vectors import l2
 
-    books = pq_train(data, m, words, iterations)
+    books = books or pq_train(data, m, words, iterations)
     most = max(least, k, ceil(share * data.count()))
     near = knn(pq_decode(pq_encode(data, books), books), queries, most).select("query_id", "id")
     met = near.join(data.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")

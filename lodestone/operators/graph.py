@@ -47,10 +47,11 @@ def adaptive_graph(edges: DataFrame, base: int = 16) -> DataFrame:
     return kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def nexus_rerank(data: DataFrame, queries: DataFrame, projection: Sequence[Sequence[float]], k: int, ratio: float = 2.0, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
-    """The best max(ratio * k, k) by projected distance, ranked exactly."""
+def nexus_rerank(data: DataFrame, queries: DataFrame, projection: Sequence[Sequence[float]], k: int, ratio: float = 2.0, metric: Metric = Metric.EUCLIDEAN, share: float = 0.0) -> DataFrame:
+    """The best max(ratio * k, k) by projected distance, or ``share`` of all vectors if that is more, ranked exactly."""
     small = lambda df: df.withColumn("vector", V.project(F.col("vector"), projection))
-    near = knn(small(data), small(queries), max(int(ratio * k), k)).select("query_id", "id")
+    most = max(int(ratio * k), k, math.ceil(share * data.count()) if share else 0)
+    near = knn(small(data), small(queries), most).select("query_id", "id")
     met = near.join(data.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
     return top_k(met.select("query_id", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "id", "distance")
 

@@ -55,10 +55,15 @@ def seer_probes(data: DataFrame, queries: DataFrame, planes: Planes, least: int
     return own.select("query_id", "qv", F.explode(F.transform(chosen, lambda m: F.col("bucket").bitwiseXOR(m))).alias("bucket"))
 
 
-def seer_search(data: DataFrame, queries: DataFrame, planes: Planes, weights: Sequence[float], k: int, share: float = 0.3, least: int = 50, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
-    """Candidates by buckets, the likeliest by projections, then exact. Keeps max(share * n, least, k) for the last step."""
-    met = seer_probes(data, queries, planes, least).join(bucketed(data, planes).select("bucket", "id", "vector"), "bucket")
-    score = V.locality(V.project(F.col("qv"), planes), V.project(F.col("vector"), planes), weights)
+def seer_search(data: DataFrame, queries: DataFrame, planes: Planes, weights: Sequence[float], k: int, share: float = 0.3, least: int = 50, metric: Metric = Metric.EUCLIDEAN, n_probes: int | None = None) -> DataFrame:
+    """Candidates by buckets, the likeliest by projections, then exact. Keeps max(share * n, least, k) for the last step.
+
+    Buckets are the first ``n_probes`` in probe order, or those of ``seer_probes`` if that is None.
+    """
+    asked = seer_probes(data, queries, planes, least) if n_probes is None else probes(queries, planes, n_probes)
+    own = asked.select("query_id", "qv", "bucket", V.project(F.col("qv"), planes).alias("pq"))  # once for each row, not for each pair
+    met = own.join(bucketed(data, planes).select("bucket", "id", "vector", V.project(F.col("vector"), planes).alias("pv")), "bucket")
+    score = V.locality(F.col("pq"), F.col("pv"), weights)
     each = Window.partitionBy("query_id")
     scored = met.withColumn("score", F.round(score, 12)).withColumn("n", F.count("*").over(each)).withColumn("place", F.row_number().over(each.orderBy(F.col("score").desc(), "id")))
     kept = scored.where(F.col("place") <= F.greatest(F.floor(F.col("n") * share), F.lit(least), F.lit(k)))

@@ -268,14 +268,16 @@ def book(data: DataFrame) -> list[clustering.Centroids]:
 query("pq_split", f"{VQ}, {PARTS} SELECT id, s AS part, round(list_sum(part), 6) AS x FROM parts")(lambda spark, sf: clustering.pq_split(vectors(spark, sf), PQ_M, DIM).select("id", F.posexplode("parts").alias("part", "p")).select("id", "part", F.round(V.total(F.col("p")), 6).alias("x")))
 query("pq_encode", f"{VQ}, {PARTS} SELECT id, s AS part, code FROM codes")(lambda spark, sf: clustering.pq_encode(v := vectors(spark, sf), book(v)).select("id", F.posexplode("codes").alias("part", "code")).withColumn("code", F.col("code").cast("int")))
 PQ_SCORE = f"SELECT q.query_id, codes.id, {{f}}(sum(pow(list_distance(list_slice(qv, s * 8 + 1, s * 8 + 8), word), 2))) AS distance FROM q, codes JOIN book USING (s, code) GROUP BY ALL"
-query("pq_search", f"{VQ}, {PARTS} " + ranked_sql("SELECT query_id, id, round(distance, 9) AS distance FROM (" + PQ_SCORE.format(f="sqrt") + ")"))(
-    lambda spark, sf: rounded(clustering.pq_search(clustering.pq_encode(v := vectors(spark, sf), b := book(v)), asked(v), b, K)))
+PQ_SHARE = 0.4  # of all vectors, ranked exactly: with the codebook of 16 words it takes that much for a recall above 0.9
+PQ_PLACES = f"SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS place FROM ({PQ_SCORE.format(f='sqrt')})"
+query("pq_search", f"{VQ}, {PARTS} " + ranked_sql(f"SELECT query_id, v.id, list_distance(qv, vector) AS distance FROM ({PQ_PLACES}) JOIN v USING (id) JOIN q USING (query_id) WHERE place <= greatest({K}, ceil({PQ_SHARE} * (SELECT count(*) FROM v)))"))(
+    lambda spark, sf: rounded(clustering.pq_rerank(v := vectors(spark, sf), asked(v), K, least=K, share=PQ_SHARE, books=book(v))))
 query("pq_adc", f"{VQ}, {PARTS} SELECT query_id, id, round(distance, 6) AS distance FROM (" + PQ_SCORE.format(f="") + ")")(lambda spark, sf: rounded(clustering.pq_distances(clustering.pq_encode(v := vectors(spark, sf), b := book(v)), asked(v), b)))
 
 
 @query("pq_rerank")
 def pq_rerank(spark, sf):
-    """Codes of 256 trained words for each slice, and exact ranking of the nearest 300 or 3 % by code: the search that ``pq_search``, whose SQL has 16 untrained words, stops short of."""
+    """Codes of 256 trained words for each slice, and exact ranking of the nearest 300 or 3 % by code. ``pq_search``, whose SQL has 16 untrained words, needs far more of them."""
     return rounded(clustering.pq_rerank(v := vectors(spark, sf), asked(v), K))
 
 
@@ -295,7 +297,7 @@ def swift_sql(n: int) -> str:
 
 
 # Up to six of eight bits away are 247 buckets: recall 0.95 or more. The merge is shown on the four buckets next to a query.
-for _name, _p in (("swift_search", 247), ("bucket_topk_merge", 4)):
+for _name, _p in (("swift_search", 247), ("bucket_topk_merge", 247)):
     query(_name, f"{VQ}, {B8} " + ranked_sql(swift_sql(_p)))(lambda spark, sf, p=_p: rounded(hashing.swift_search(v := vectors(spark, sf), asked(v), PLANES8, K, p)))
 for _name, _p in (("fusion_search", 7), ("fusion_search_four_probes", 4)):
     query(_name, f"{VQ}, {B3} " + ranked_sql(f"SELECT query_id, id, list_distance(qv, vector) AS distance FROM ({probes_sql(PLANES3, _p)}) JOIN b USING (bucket)"))(lambda spark, sf, p=_p: rounded(hashing.fusion_search(v := vectors(spark, sf), asked(v), PLANES3, K, p)))
@@ -303,7 +305,8 @@ SEER = f"sizes AS (SELECT bucket, count(*) AS n FROM b GROUP BY 1), sp AS (SELEC
 B4 = f"b AS (SELECT id, vector, {bucket_sql(PLANES4)} AS bucket FROM v)"
 query("seer_probe", f"{VQ}, {B4}, {SEER} SELECT query_id, bucket::INTEGER AS bucket FROM sp")(lambda spark, sf: hashing.seer_probes(v := vectors(spark, sf), asked(v), PLANES4).select("query_id", "bucket"))
 SEER_SCORE = "round(" + " + ".join(f"{w} * exp(-abs(list_inner_product(qv, {lit_sql(p)}) - list_inner_product(vector, {lit_sql(p)})))" for w, p in zip(WEIGHTS, PLANES4)) + ", 12)"
-query("seer_search", f"{VQ}, {B4}, {SEER} " + ranked_sql(f"SELECT query_id, id, list_distance(qv, vector) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (SELECT query_id, id, qv, vector, {SEER_SCORE} AS score, count(*) OVER (PARTITION BY query_id) AS n FROM sp JOIN b USING (bucket))) WHERE place <= greatest(floor(n * 0.3), 50, {K})"))(lambda spark, sf: rounded(hashing.seer_search(v := vectors(spark, sf), asked(v), PLANES4, WEIGHTS, K)))
+SEER_SHARE = 0.8  # of all 16 buckets: four projections tell so little of the distance that a recall of 0.9 takes this much
+query("seer_search", f"{VQ}, {B4}, sp AS ({probes_sql(PLANES4, 16)}) " + ranked_sql(f"SELECT query_id, id, list_distance(qv, vector) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (SELECT query_id, id, qv, vector, {SEER_SCORE} AS score, count(*) OVER (PARTITION BY query_id) AS n FROM sp JOIN b USING (bucket))) WHERE place <= greatest(floor(n * {SEER_SHARE}), 50, {K})"))(lambda spark, sf: rounded(hashing.seer_search(v := vectors(spark, sf), asked(v), PLANES4, WEIGHTS, K, SEER_SHARE, n_probes=16)))
 
 
 @query("seer_train_weights", f"{VQ}, p AS (SELECT a.vector AS a, b.vector AS b, list_distance(a.vector, b.vector) AS d FROM v a JOIN v b ON b.id = a.id + 1), s AS (SELECT i::INTEGER AS i, sum(1 - abs(d / (d + 1) - g[i] / (g[i] + 1))) AS w FROM (SELECT d, [{', '.join(f'abs(list_inner_product(a, {lit_sql(x)}) - list_inner_product(b, {lit_sql(x)}))' for x in PLANES4)}] AS g FROM p), range(1, 5) r(i) GROUP BY 1) SELECT i - 1 AS pos, round(w / (SELECT sum(w) FROM s), 6) AS weight FROM s")
@@ -329,7 +332,8 @@ ENTROPY = "h AS (SELECT src, sum(-(distance / s) * ln(distance / s)) AS entropy
 query("knn_graph", f"{VQ}, {GRAPH} SELECT src, rank, dst, round(distance, 6) AS distance FROM e")(lambda spark, sf: rounded(graph.knn_graph(vectors(spark, sf), GRAPH_K)))
 query("local_entropy", f"{VQ}, {GRAPH}, {ENTROPY} SELECT src, round(entropy, 6) AS entropy FROM h")(lambda spark, sf: rounded(graph.local_entropy(graph.knn_graph(vectors(spark, sf), GRAPH_K)), "entropy"))
 query("nexus_graph", f"{VQ}, {GRAPH}, {ENTROPY}, kept AS (SELECT src, dst FROM e JOIN (SELECT src, floor(round(4 * least(2.0, greatest(0.5, entropy / (SELECT avg(entropy) FROM h))), 9)) AS degree FROM h) USING (src) WHERE rank <= degree) SELECT src, dst FROM kept UNION SELECT dst, src FROM kept")(lambda spark, sf: graph.adaptive_graph(graph.knn_graph(vectors(spark, sf), GRAPH_K), 4))
-query("nexus_rerank", f"{VQ}, near AS (SELECT query_id, id, qv, vector FROM (SELECT query_id, id, qv, vector, row_number() OVER (PARTITION BY query_id ORDER BY list_distance({project_sql(PROJECTION, 'qv')}, {project_sql(PROJECTION)}), id) AS place FROM q, v) WHERE place <= {2 * K}) " + ranked_sql("SELECT query_id, id, list_distance(qv, vector) AS distance FROM near"))(lambda spark, sf: rounded(graph.nexus_rerank(v := vectors(spark, sf), asked(v), PROJECTION, K)))
+NEXUS_SHARE = 0.8  # of all vectors, after 16 dimensions; 32 would need as many
+query("nexus_rerank", f"{VQ}, near AS (SELECT query_id, id, qv, vector FROM (SELECT query_id, id, qv, vector, row_number() OVER (PARTITION BY query_id ORDER BY list_distance({project_sql(PROJECTION, 'qv')}, {project_sql(PROJECTION)}), id) AS place FROM q, v) WHERE place <= greatest({2 * K}, ceil({NEXUS_SHARE} * (SELECT count(*) FROM v)))) " + ranked_sql("SELECT query_id, id, list_distance(qv, vector) AS distance FROM near"))(lambda spark, sf: rounded(graph.nexus_rerank(v := vectors(spark, sf), asked(v), PROJECTION, K, share=NEXUS_SHARE)))
 query("edge_prune", f"{VQ}, {GRAPH} SELECT src, dst, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS place FROM e WHERE distance / (SELECT greatest(max(distance), 1.0) FROM e) <= 0.9) WHERE place <= 4")(lambda spark, sf: rounded(graph.edge_prune(graph.knn_graph(vectors(spark, sf), GRAPH_K), 0.9, 4)))
 query("rng_prune")(lambda spark, sf: rounded(graph.rng_prune(graph.knn_graph(v := vectors(spark, sf), GRAPH_K), v, 5)))
 EDGES = f"ts_e AS (SELECT src, dst, distance, {NOW} - src * 3600 AS ts FROM e WHERE rank <= 2)"

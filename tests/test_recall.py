@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodestone import queries as Q
 from lodestone.operators import clustering, exact, graph, hybrid
@@ -71,6 +72,14 @@ def test_trained_codes_and_exact_ranking_find_the_nearest(spark):
     assert recall(lists(Q.QUERIES["pq_rerank"](spark, "/root/testdata/sf0.1")), nearest(ids, x)) >= 0.9
 
 
+@pytest.mark.parametrize("name", ["pq_search", "nexus_rerank", "seer_search", "bucket_topk_merge"])
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_shortlists_hold_the_nearest(spark, name, sf):
+    folder = f"/root/testdata/sf{sf}"
+    ids, x = read(spark, folder)
+    assert recall(lists(Q.QUERIES[name](spark, folder)), nearest(ids, x)) >= 0.9
+
+
 def test_decoded_codes_give_the_asymmetric_distances(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8))
