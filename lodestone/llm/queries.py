@@ -100,4 +100,24 @@ QUERIES = {
     "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_spotsigs": op7_spotsigs, "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), written AS (
+    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS goes_on,
+        replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), '</part>', '\p'), ': ', '\c') AS role_written,
+        replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t'), '</part>', '\p') AS text_written
+    FROM turns
+), digests AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS listed,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length(text_written) + CASE WHEN goes_on THEN length('</part>') ELSE length('### ' || role_written || ': ' || '</turn>' || chr(10)) END) AS formatted_chars
+    FROM written GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM digests
+""",
+}

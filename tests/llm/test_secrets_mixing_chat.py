@@ -284,3 +284,10 @@ def test_mixing_keeps_columns_of_the_same_names_and_repeated_rows(spark):
     assert {tuple(r)[: len(df.columns)] for r in got} <= set(rows)
     assert sorted(r.domain_ for r in got) == [""] * 6 + ["src1"] * 6 and {r.n_tokens_ for r in got} == {3}  # half of 36 tokens for each leaf
     assert sorted(r.epoch_ for r in got if r.domain_) == [0] * 4 + [1] * 2
+
+
+def test_chat_matches_its_sql(spark, sf_dir):
+    from lodestone.llm import queries
+    from oracle import connect, difference
+
+    assert difference(queries.op6_chat(spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL["op6_chat"]) == ""
