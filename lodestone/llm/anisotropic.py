@@ -3,12 +3,14 @@
 A vector is cut into parts of two dimensions, each coded by one of 16 centres. Centres and codes minimise
 |r|^2 + (weight - 1) (r . x / |x|)^2 of the residual r: the error along the vector itself, which moves the score of the
 queries that matter, costs ``weight`` times as much as that across it. Every query makes tables of its products with the
-centres; a scan sums table entries by the codes, and the best of each slice are scored again exactly.
+centres; a scan sums table entries by the codes, and the best by these sums are scored again exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +23,22 @@ SUB = 2
 CENTRES = 16
 WEIGHT = 4.0
 SAMPLE = 20_000  # vectors that the centres are fitted on, at most
-SLICE, BLOCK = 16_384, 1024  # candidates and queries compared in one task
-RERANK = 8  # candidates scored exactly, for each neighbour wanted
+SLICE, BLOCK = 65_536, 16_384  # codes and queries compared in one task, at most about
+RERANK = 8  # vectors of a slice scored exactly, for each neighbour wanted, or
+SHARE = 0.01  # this part of the slice, if that is more
 
 
 @dataclass
 class Quantiser:
-    centres: np.ndarray  # parts x 16 x 2
+    centres: np.ndarray  # parts x 16 x 2, of vectors divided by scale
     weight: float
+    scale: float = 1.0
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x / self.scale, -1e60, 1e60)
 
     def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
-        """Codes (n x parts, uint8): nearest centres, then each part chosen anew given the others' parallel error."""
+        """Codes (n x parts, uint8) of scaled vectors: nearest centres, then each part chosen anew given the others' parallel error."""
         parts = self._parts(x)
         unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
         gap = parts[:, :, None, :] - self.centres[None]
@@ -51,7 +58,8 @@ class Quantiser:
         return np.pad(x, ((0, 0), (0, width - x.shape[1]))).reshape(len(x), -1, SUB)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Products of queries with centres: parts x 16 x queries."""
+        """Products of queries, each divided by its largest component, with centres: parts x 16 x queries."""
+        q = q / np.maximum(np.abs(q).max(1, keepdims=True), 1e-300)
         return np.einsum("qpd,pcd->pcq", self._parts(q), self.centres).astype(np.float32)
 
 
@@ -77,7 +85,8 @@ def fit(x: np.ndarray, weight: float = WEIGHT, rounds: int = 6, seed: int = 5) -
     """Centres for the sample ``x``: k-means by part, then codes and centres in turn under the anisotropic loss."""
     rng = np.random.default_rng(seed)
     parts = -(-x.shape[1] // SUB)
-    q = Quantiser(np.zeros((parts, CENTRES, SUB)), weight)
+    q = Quantiser(np.zeros((parts, CENTRES, SUB)), weight, float(np.abs(x).max()))
+    x = q.scaled(x)
     split = q._parts(x)
     unit = split / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
     for p in range(parts):
@@ -106,8 +115,9 @@ def fit(x: np.ndarray, weight: float = WEIGHT, rounds: int = 6, seed: int = 5) -
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>): the rows that take part. Those without id, null, empty, zero or with a null, infinite or NaN component don't."""
-    v = F.col(vector_col).cast("array<double>")
+    """(vec_id, v): the rows that take part, v of floats where the table has floats, else of doubles. Those without id, null, empty, zero or with a null, infinite or NaN component don't."""
+    floats = dict(vectors.dtypes)[vector_col] == "array<float>"
+    v = F.col(vector_col) if floats else F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
@@ -115,65 +125,76 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(flat), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, share: float = SHARE) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for the rows of ``vectors`` that are queries, their ``k`` best found.
 
     Candidates are all usable rows but the query's own id; the score is the inner product of the vectors as given, in
     double precision; ties go to the smaller id. Equal vectors are one class, of which the k + 1 smallest ids stand in:
     no more of them can be wanted. ``is_query`` speaks of vec_id. All vectors must have one length, that of the first
-    by id hash (others raise). Repeated ids with different vectors are separate candidates. An empty table gives an
-    empty result.
+    by id hash (others raise). Repeated rows count once; repeated ids with different vectors are separate candidates,
+    and as queries they share one ranking. An empty table gives an empty result.
 
-    Queries and candidates meet in a grid of blocks of fixed size; every query is scanned against the codes of all
-    candidates, and from each slice its k best exact scores go on to the final ranking.
+    Each class is coded once. Classes and queries meet in a grid of blocks of fixed size: every query is scanned against
+    the codes of all classes, the best ``rerank`` * k + 1 or ``share`` of a slice are scored exactly, and the best k + 1
+    of these go on, as numbers alone. What is shuffled is each vector once for each block of queries, in the table's type.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     rows = saved(usable(vectors, id_col, vector_col))
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not some:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dim = len(some[0].v)
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")).otherwise(F.raise_error(F.lit(f"all vectors must have {dim} components")).cast("array<double>")))
-    x = np.array([r.v for r in some if len(r.v) == dim])
-    quantiser = fit(x)
-
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, kind = len(some[0].v), dict(rows.dtypes)["v"]
+    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")).otherwise(F.raise_error(F.lit(f"all vectors must have {dim} components")).cast(kind)))
+    quantiser = fit(np.array([r.v for r in some if len(r.v) == dim], np.float64))
     first = Window.partitionBy("v").orderBy("vec_id")
-    distinct = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    candidates = saved(distinct.select("vec_id", "v"))
-    queries = rows.where(is_query)
-    n_slices = max(1, -(-candidates.count() // SLICE))
-    n_blocks = max(1, -(-queries.count() // BLOCK))
-    cut = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = candidates.select(cut(n_slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "v")
-    right = queries.select(cut(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"), "vec_id", "v")
-
-    def compare(cand: pa.Table, query: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+    standing = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    classes = saved(standing.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("key"), "ids", "v"))
+    queries = saved(rows.where(is_query).distinct().select(F.monotonically_increasing_id().alias("asked"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = packed(quantiser.encode(quantiser.scaled(_matrix(b.column(1)))))
+                yield pa.record_batch([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["key", "v", "least", "code"])
+
+    n_queries = queries.count()
+    n_slices = max(1, -(-classes.count() // SLICE))
+    # Where that makes few cells, queries are parted further, so that more cores have some; what is found doesn't depend on the blocks.
+    n_blocks = max(1, -(-n_queries // BLOCK), min(-(-n_queries // 64), min(64, spark.sparkContext.defaultParallelism) // n_slices))
+    cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    coded = classes.select("key", "v", F.element_at("ids", 1).alias("least")).mapInArrow(code, f"key long, v {kind}, least long, code binary")
+    left = coded.select(cut("key", n_slices).alias("slice"), every(n_blocks).alias("block"), "key", "v", "least", "code")
+    right = queries.select(cut("asked", n_blocks).alias("block"), every(n_slices).alias("slice"), "asked", "q")
+
+    def scan(cand: pa.Table, query: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
         if cand.num_rows and query.num_rows:
-            c, q = _matrix(cand.column("v")), _matrix(query.column("v"))
-            c_id, q_id = (t.column("vec_id").to_numpy() for t in (cand, query))
-            codes = packed(quantiser.encode(c))
-            most = min(len(c), rerank * k + 1)
-            for at in range(0, len(q), 64):
-                mine, ids = q[at : at + 64], q_id[at : at + 64]
-                near = table_scan(quantiser.tables(mine), codes)
-                best = np.argpartition(-near, most - 1, 0)[:most].T if most < len(c) else np.tile(np.arange(len(c)), (len(mine), 1))
-                exact = np.einsum("qmd,qd->qm", c[best], mine)
-                exact[c_id[best] == ids[:, None]] = -np.inf
-                order = np.lexsort((c_id[best], -exact), axis=1)[:, :k]
-                score, got = np.take_along_axis(exact, order, 1), c_id[np.take_along_axis(best, order, 1)]
-                ok = score > -np.inf
-                out[0].append(np.repeat(ids, order.shape[1])[ok.ravel()])
-                out[1].append(got[ok])
-                out[2].append(score[ok])
+            codes = np.frombuffer(b"".join(cand.column("code").to_pylist()), np.uint8).reshape(cand.num_rows, -1)
+            key, least, asked = (t.column(c).to_numpy() for t, c in ((cand, "key"), (cand, "least"), (query, "asked")))
+            x, q = _matrix(cand.column("v")), _matrix(query.column("q"))
+            most = min(len(x), max(rerank * k + 1, ceil(share * len(x))))
+            for at in range(0, len(q), 32):
+                mine = q[at : at + 32]
+                near = np.ascontiguousarray(table_scan(quantiser.tables(mine), codes).T)
+                best = np.argpartition(-near, most - 1, 1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(near), 1))
+                exact = np.einsum("qmd,qd->qm", x[best], mine)
+                order = np.lexsort((least[best], -exact), axis=1)[:, : k + 1]
+                got = np.take_along_axis(best, order, 1).ravel()
+                for o, c in zip(out, (np.repeat(asked[at : at + 32], order.shape[1]), key[got], least[got], np.take_along_axis(exact, order, 1).ravel())):
+                    o.append(c)
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
-
-    found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("asked", "key", "least", "score"), cols, (np.int64, np.int64, np.int64, np.float64))})
+
+    found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(scan, "asked long, key long, least long, score double")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "least"))
+    short = found.withColumn("place", place).where(F.col("place") <= k + 1)
+    met = short.join(classes.select("key", "ids"), "key").join(queries.select("asked", "query_id"), "asked")
+    each = met.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -162,5 +162,9 @@ def test_search_against_brute_force(spark, monkeypatch):
         hits += len({*want} & {r.vec_id for r in found})
     assert hits / (20 * len(by)) >= 0.9
     assert anisotropic.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    huge = spark.createDataFrame([(i, [float(1 + i) * 10.0**150, 1.0, -(10.0**150)]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in anisotropic.search(huge, F.col("vec_id") == 20, 5).orderBy("rank").collect()] == [29, 28, 27, 26, 25]
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in anisotropic.search(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2.0), (1, 1.0)]
     few = df.where("vec_id in (20, 21, 22)")
     assert [(r.query_id, r["rank"]) for r in anisotropic.search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(20, 1), (20, 2)]
