@@ -118,7 +118,9 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def top_layer(data: DataFrame, most: int = UPPER, seed: int = 42, ml: float = 1 / math.log(2)) -> DataFrame:
     """The vectors (id, vector) of the lowest layer that has at most ``most`` of them; of all layers if even the highest has more, its first by id."""
-    layered = data.select("id", "vector", layer(F.col("id"), seed, ml).alias("layer"))
+    # Not by ``layer``: it draws its numbers as the generator does, so it would pick generated vectors by their first component.
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 31)) + 1) / float(1 << 31)
+    layered = data.select("id", "vector", F.floor(-F.ln(u) * ml).cast("int").alias("layer"))
     sizes = {r.layer: r.n for r in layered.groupBy("layer").agg(F.count("*").alias("n")).collect()}  # a number for each layer
     at, above = max(sizes, default=0), 0
     for level in sorted(sizes, reverse=True):

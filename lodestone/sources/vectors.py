@@ -14,24 +14,27 @@ MULTIPLIER = 48271
 
 
 def unit(i: int, j: int, seed: int) -> float:
-    """A number in [0, 1) for a row, a position and a seed; the same arithmetic as ``unit_column``."""
+    """A number in [0, 1) for a row, a position and a seed; the same arithmetic as ``unit_column``.
+
+    The steps are quadratic: linear ones would leave all rows of a seed on one closed curve.
+    """
     x = (i * 7919 + j * 104729 + seed * 15485863 + 1) % PRIME
     for _ in range(3):
-        x = x * MULTIPLIER % PRIME
+        x = x * (x + MULTIPLIER) % PRIME
     return x / PRIME
 
 
 def unit_column(i: Column, j: Column, seed: int) -> Column:
     x = (i.cast("long") * 7919 + j.cast("long") * 104729 + F.lit(seed * 15485863 + 1)) % PRIME
     for _ in range(3):
-        x = x * MULTIPLIER % PRIME
+        x = x * (x + MULTIPLIER) % PRIME
     return x / F.lit(float(PRIME))
 
 
 def unit_sql(i: str, j: str, seed: int) -> str:
     x = f"(({i})::BIGINT * 7919 + ({j})::BIGINT * 104729 + {seed * 15485863 + 1}) % {PRIME}"
     for _ in range(3):
-        x = f"(({x}) * {MULTIPLIER}) % {PRIME}"
+        x = f"(({x}) * (({x}) + {MULTIPLIER})) % {PRIME}"
     return f"({x}) / {float(PRIME)}"
 
 

@@ -3,6 +3,7 @@ import pytest
 
 from lodestone import queries as Q
 from lodestone.operators import clustering, exact, graph, hybrid
+from lodestone.sources import vectors as S
 from test_operators import asked, frame
 
 
@@ -140,3 +141,16 @@ def test_tiers(spark):
         truth = {q: np.argsort(np.linalg.norm(x[:n] - x[q], axis=1), kind="stable")[:10].tolist() for q in range(10)}
         got = recall(lists(graph.tiered_search(data, queries, 10)), truth)
         assert got == 1.0 if n == 300 else got >= 0.9
+
+
+def test_generated_vectors_lie_on_no_curve(spark):
+    x = np.array(S.rows(400, 64, 42))
+    apart = np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(400, 1)]
+    assert apart.min() > 4  # independent components give about 6.5; on a curve, neighbours are far nearer
+    assert np.array_equal(x, [r.vector for r in S.generate_uniform(spark, 64, 400).orderBy("id").collect()])
+
+
+def test_a_walk_finds_neighbours_among_generated_vectors(spark):
+    data, queries = S.generate_uniform(spark, 16, 1500), S.generate_queries(spark, 16, 20)
+    index = graph.GraphIndex.build(data, 16, upper=64)
+    assert recall(lists(index.search(queries, 10, 60)), lists(exact.knn(data, queries, 10))) >= 0.95
