@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the tables of a folder, and their SQL where SQL can say it."""
+"""The queries op1 to op13 over the tables of a folder, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -95,10 +95,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", F.col("lang_").alias("lang"), F.col("source_").alias("source"), "n_tokens", "epoch")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.alignment import aligned
+
+    return aligned(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_anisotropic": op3_anisotropic, "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_spotsigs": op7_spotsigs, "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing,
+    "op12_alignment": op12_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": r"""
