@@ -95,6 +95,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", F.col("lang_").alias("lang"), F.col("source_").alias("source"), "n_tokens", "epoch")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.alignment import aligned
 
@@ -105,7 +111,7 @@ QUERIES = {
     "op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_anisotropic": op3_anisotropic, "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_spotsigs": op7_spotsigs, "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing,
-    "op12_alignment": op12_alignment,
+    "op11_spelling": op11_spelling, "op12_alignment": op12_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": r"""
