@@ -107,11 +107,17 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash import minhash_groups
+
+    return minhash_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_anisotropic": op3_anisotropic, "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_spotsigs": op7_spotsigs, "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing,
-    "op11_spelling": op11_spelling, "op12_alignment": op12_alignment,
+    "op11_spelling": op11_spelling, "op12_alignment": op12_alignment, "op13_minhash": op13_minhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": r"""
