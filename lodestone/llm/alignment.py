@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,9 +30,9 @@ from lodestone.plans.storage import ship, stored
 
 BLOCK = 1_000_000  # characters of documents that are gone through at a time, about; a longer text is gone through alone
 DICTIONARY, PACKED = 300_000, 32 << 20  # id pairs, or bytes of packed frequencies and documents, from which on a dictionary is closed
-KEPT_BYTES = 96 << 20  # of pieces and what is known of them, in a worker, about
-LONG = 1 << 10  # longer pieces are never remembered
-AT_ONCE = 1 << 16  # characters of new pieces that are encoded in one call, about
+KEPT_BYTES = 160 << 20  # of pieces and what is known of them, in a worker, about
+AT_ONCE = 1 << 16  # characters of new pieces that are aligned at a time, about
+RUN = 200  # new pieces that are encoded as one text
 LINKS_AT_ONCE = 1 << 21  # links that are expanded at a time, about
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -89,10 +89,11 @@ def _summed(owner: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.
 
 
 class Aligner:
-    """What two tokenizers make of pieces, remembered within KEPT_BYTES.
+    """What two tokenizers make of pieces, remembered in flat arrays within KEPT_BYTES.
 
-    A piece's record is (tokens of A, tokens of B, groups, links, the groups as text, the links' pairs, how often each
-    pair is linked); None for a piece whose tokens don't give back its bytes.
+    Piece k has ``sums[:, k]`` (tokens of A, tokens of B, groups, links), its groups as text, and the pairs of its links,
+    ``count[k]`` of them from ``first[k]`` on, each linked ``times`` times. A piece whose tokens don't give back its
+    bytes has no tokens.
     """
 
     def __init__(self, a_path: str, b_path: str) -> None:
@@ -102,6 +103,7 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.rules = piecewise.byte_level_ids(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         code = {c: b for b, c in piecewise.byte_chars().items()}
         vocab = self.a.get_vocab(with_added_tokens=False)
@@ -113,24 +115,44 @@ class Aligner:
         self.a_length, self.b_length = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.written = [f"{i}{mark}" for i in range(most) for mark in (",", "|", ";")]
-        self.known: dict[str, tuple | None] = {}
-        self.held = 0
+        self._forget()
 
-    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of ``text``, which begins with a space; None if either side's tokens don't give back its bytes."""
-        a, b, want = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.held = 0
+        self._sums, self._count, self._pairs, self._times = (array("q") for _ in range(4))
+
+    def _plain(self, piece: str) -> bool:
+        """Whether ``piece`` can go to A's model without its pre-tokeniser."""
+        return bool(piece) and self.rules.apart and max(piece) < piecewise.PLAIN and self.rules._plain(piece)
+
+    def _ids(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of ``pieces``, each after a space, in runs of RUN; None if either side's tokens don't give back their bytes."""
+        runs = [" " + " ".join(pieces[i : i + RUN]) for i in range(0, len(pieces), RUN)]
+        if plain:
+            a = [t.id for r in runs for t in self.a.model.tokenize(r.encode().decode("latin-1").translate(self.rules.chars))]
+        else:
+            a = [i for e in self.a.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids]
+        b = [i for ids in self.b.encode([r[1:] for r in runs], num_threads=1) for i in ids]
+        want = "".join(runs).encode()
         if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    def _learn(self, pieces: list[str], into: dict[str, tuple | None]) -> None:
-        """Records for ``pieces``, which are encoded in one call; one by one if that doesn't give back their bytes."""
-        if (ids := self._ids(" " + " ".join(pieces))) is None:
-            if len(pieces) == 1:
-                into[pieces[0]] = None
-            else:
-                for p in pieces:
-                    self._learn([p], into)
+    def _learn(self, pieces: list[str], plain: bool = False) -> None:
+        """Encodes and aligns ``pieces`` together; one by one if that doesn't give back their bytes."""
+        ids = self._ids(pieces, plain)
+        if ids is None and len(pieces) > 1:
+            for p in pieces:
+                self._learn([p])
+            return
+        k = len(self.groups)
+        self.at.update(zip(pieces, range(k, k + len(pieces))))
+        if ids is None:
+            self.groups.append("")
+            self._sums.frombytes(np.zeros(4, np.int64).tobytes())
+            self._count.append(0)
             return
         a, b = ids
         a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
@@ -138,47 +160,57 @@ class Aligner:
         n_groups = int(a_group[-1]) + 1
         ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
         last = a_group[np.searchsorted(a_end, ends)]  # a piece ends where tokens of both sides do
-        first = np.concatenate(([0], last[:-1] + 1))
-        owner = np.repeat(np.arange(len(pieces)), last - first + 1)
+        size = np.diff(last, prepend=-1)
+        owner = np.repeat(np.arange(len(pieces)), size)
         na, nb = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
         # A's tokens of a group, then B's; behind each a comma, behind A's last a bar, behind B's last a semicolon.
         mark = np.concatenate((np.where(np.diff(a_group, append=n_groups) > 0, 1, 0), np.where(np.diff(b_group, append=n_groups) > 0, 2, 0)))
         order = np.argsort(np.concatenate((a_group * 2, b_group * 2 + 1)), kind="stable")
-        written = [self.written[k] for k in (np.concatenate((a, b)) * 3 + mark)[order].tolist()]
+        written = [self.written[x] for x in (np.concatenate((a, b)) * 3 + mark)[order].tolist()]
         stop = np.cumsum(na + nb)[last].tolist()
-        start = [0, *stop[:-1]]
+        texts = ["".join(written[i:j]) for i, j in zip([0, *stop[:-1]], stop)]
         mine, pair, times = expanded(a, b, a_group, b_group, owner)
-        at = np.searchsorted(mine, np.arange(len(pieces) + 1)).tolist()
-        sums = [np.bincount(owner, x, len(pieces)).astype(np.int64).tolist() for x in (na, nb, na * nb)]
-        for i, p in enumerate(pieces):
-            into[p] = (sums[0][i], sums[1][i], int(last[i] - first[i]) + 1, sums[2][i], "".join(written[start[i] : stop[i]]), pair[at[i] : at[i + 1]].copy(), times[at[i] : at[i + 1]].copy())
-
-    def records(self, pieces: set[str]) -> dict[str, tuple | None]:
-        """The records of ``pieces``, those not seen before made a run at a time."""
+        total = lambda x: np.bincount(owner, x, len(pieces)).astype(np.int64)
+        self.groups += texts
+        self._sums.frombytes(np.stack((total(na), total(nb), size, total(na * nb)), 1).astype(np.int64).tobytes())
+        self._count.frombytes(np.bincount(mine, minlength=len(pieces)).astype(np.int64).tobytes())
+        self._pairs.frombytes(pair.astype(np.int64).tobytes())
+        self._times.frombytes(times.astype(np.int64).tobytes())
+        self.held += 250 * len(pieces) + int(ends[-1]) + 16 * len(pair) + 7 * len(written)
+
+    def codes(self, pieces: list[str]) -> np.ndarray:
+        """The number of each of ``pieces``; those not seen before are made a run at a time. What was remembered can go first, and its numbers with it."""
         if self.held > KEPT_BYTES:
-            self.known, self.held = {}, 0
-        out = {p: self.known[p] for p in pieces if p in self.known}
-        fresh: dict[str, tuple | None] = {}
-        run: list[str] = []
-        size = 0
-        for p in pieces:
-            if p in out:
-                continue
+            self._forget()
+        runs: tuple[list[str], list[str]] = ([], [])
+        sizes = [0, 0]
+        for p in set(pieces).difference(self.at):
             if not p or p[0].isspace() or p[-1].isspace():  # beside another piece, its white space would run on
-                self._learn([p], fresh)
-            else:
-                run.append(p)
-                size += len(p) + 1
-                if size >= AT_ONCE:
-                    self._learn(run, fresh)
-                    run, size = [], 0
-        if run:
-            self._learn(run, fresh)
-        for p, r in fresh.items():
-            if len(p) <= LONG:
-                self.known[p] = r
-                self.held += 500 + 2 * len(p) + (16 * len(r[5]) + len(r[4]) if r else 0)
-        return out | fresh
+                self._learn([p])
+                continue
+            k = int(self._plain(p))
+            runs[k].append(p)
+            sizes[k] += len(p) + 1
+            if sizes[k] >= AT_ONCE:
+                self._learn(runs[k], bool(k))
+                runs[k].clear()
+                sizes[k] = 0
+        for k, run in enumerate(runs):
+            if run:
+                self._learn(run, bool(k))
+        self.sums = np.array(self._sums, np.int64).reshape(-1, 4).T
+        self.count = np.array(self._count, np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.pairs, self.times = np.array(self._pairs, np.int64), np.array(self._times, np.int64)
+        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+
+    def linked(self, owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, pair, times) of all links of the pieces ``code``, summed by owner and pair and sorted by them."""
+        key, often = np.unique(owner << 32 | code, return_counts=True)
+        owner, code = key >> 32, key & 0xFFFFFFFF
+        n = self.count[code]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[code], n)
+        return _summed(np.repeat(owner, n), self.pairs[at], self.times[at] * np.repeat(often, n))
 
 
 def pieces_of(text: str) -> list[str]:
@@ -220,24 +252,17 @@ def packed_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in piecewise.blocks(texts, block):
-                seen = [Counter(pieces_of(t)) for t in texts[i:j]]
-                known = align.records({p for c in seen for p in c})
-                sums, shas, pairs, times, owners = [], [], [], [], []
-                for d, (text, c) in enumerate(zip(texts[i:j], seen)):
-                    records = [known[p] for p in c]
-                    if not records or None in records:
-                        sums.append((0, 0, 0, 0))
-                        shas.append("")
-                        continue
-                    often = list(c.values())
-                    sums.append(tuple(sum(r[k] * n for r, n in zip(records, often)) for k in range(4)))
-                    shas.append(hashlib.sha256("".join([known[p][4] for p in pieces_of(text)])[:-1].encode()).hexdigest())
-                    pairs += [r[5] for r in records]
-                    times += [r[6] * n for r, n in zip(records, often)]
-                    owners.append((d, sum(len(r[5]) for r in records)))
-                own = np.repeat(np.array([d for d, _ in owners], np.int64), np.array([n for _, n in owners], np.int64))
-                empty = np.zeros(0, np.int64)
-                own, pair, n = _summed(own, np.concatenate(pairs or [empty]), np.concatenate(times or [empty]))
+                parts = [pieces_of(t) for t in texts[i:j]]
+                doc = np.repeat(np.arange(j - i), [len(p) for p in parts])
+                piece = align.codes([p for some in parts for p in some])
+                bad = np.zeros(j - i, bool)
+                bad[doc[align.sums[0][piece] == 0]] = True
+                piece, doc, groups = piece[~bad[doc]], doc[~bad[doc]], align.groups
+                sums = [np.bincount(doc, x[piece], j - i).astype(np.int64).tolist() for x in align.sums]
+                edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+                along = piece.tolist()
+                shas = [hashlib.sha256("".join([groups[k] for k in along[x:y]])[:-1].encode()).hexdigest() if x < y else "" for x, y in zip(edge, edge[1:])]
+                own, pair, n = align.linked(doc, piece)
                 distinct, index, docs_of = np.unique(pair, return_inverse=True, return_counts=True)
                 codes = np.array([code.setdefault(x, len(code)) for x in distinct.tolist()], np.int64)
                 held += [0] * (len(code) - len(held))
@@ -251,7 +276,7 @@ def packed_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
                 steps[first] = along[first]
                 words, offsets = simple8b.encode(np.concatenate((steps, n)).astype(np.uint64))
                 packed = words.astype("<u8").tobytes()
-                yield row(b.column(0).slice(i, j - i).to_pylist(), *map(list, zip(*sums)), shas, sizes.tolist(), len(along), packed, offsets.astype("<u4").tobytes(), [], [])
+                yield row(b.column(0).slice(i, j - i).to_pylist(), *sums, shas, sizes.tolist(), len(along), packed, offsets.astype("<u4").tobytes(), [], [])
                 size += len(packed) + 150 * (j - i)
                 if len(code) >= most or size >= PACKED:
                     yield closing()
