@@ -132,11 +132,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, share: float = SHARE) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for the rows of ``vectors`` that are queries, their ``k`` best found.
 
-    Candidates are all usable rows but the query's own id; the score is the inner product of the vectors as given, in
+    Candidates are all usable rows but the query's own row; the score is the inner product of the vectors as given, in
     double precision; ties go to the smaller id. Equal vectors are one class, of which the k + 1 smallest ids stand in:
     no more of them can be wanted. ``is_query`` speaks of vec_id. All vectors must have one length, that of the first
-    by id hash (others raise). Repeated rows count once; repeated ids with different vectors are separate candidates,
-    and as queries they share one ranking. An empty table gives an empty result.
+    by id hash (others raise). Repeated rows count once; repeated ids with different vectors are separate candidates, each
+    other's too, and as queries each has a ranking of its own. An empty table gives an empty result.
 
     Each class is coded once. Classes and queries meet in a grid of blocks of fixed size: every query is scanned against
     the codes of all classes, the best ``rerank`` * k + 1 or ``share`` of a slice are scored exactly, and the best k + 1
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     right = queries.select(cut("asked", n_blocks).alias("block"), every(n_slices).alias("slice"), "asked", "q")
 
     def scan(cand: pa.Table, query: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         if cand.num_rows and query.num_rows:
             codes = np.frombuffer(b"".join(cand.column("code").to_pylist()), np.uint8).reshape(cand.num_rows, -1)
             key, least, asked = (t.column(c).to_numpy() for t, c in ((cand, "key"), (cand, "least"), (query, "asked")))
@@ -186,15 +186,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 exact = np.einsum("qmd,qd->qm", x[best], mine)
                 order = np.lexsort((least[best], -exact), axis=1)[:, : k + 1]
                 got = np.take_along_axis(best, order, 1).ravel()
-                for o, c in zip(out, (np.repeat(asked[at : at + 32], order.shape[1]), key[got], least[got], np.take_along_axis(exact, order, 1).ravel())):
+                own = (x[got] == np.repeat(mine, order.shape[1], 0)).all(1)  # the class of the query's own vector
+                for o, c in zip(out, (np.repeat(asked[at : at + 32], order.shape[1]), key[got], least[got], np.take_along_axis(exact, order, 1).ravel(), own)):
                     o.append(c)
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("asked", "key", "least", "score"), cols, (np.int64, np.int64, np.int64, np.float64))})
+        return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("asked", "key", "least", "score", "own"), cols, (np.int64, np.int64, np.int64, np.float64, bool))})
 
-    found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(scan, "asked long, key long, least long, score double")
+    found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(scan, "asked long, key long, least long, score double, own boolean")
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "least"))
     short = found.withColumn("place", place).where(F.col("place") <= k + 1)
     met = short.join(classes.select("key", "ids"), "key").join(queries.select("asked", "query_id"), "asked")
-    each = met.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    each = met.select("asked", "query_id", F.explode("ids").alias("vec_id"), "score", "own").where(~F.col("own") | (F.col("vec_id") != F.col("query_id")))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

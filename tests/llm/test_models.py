@@ -165,6 +165,21 @@ def test_search_against_brute_force(spark, monkeypatch):
     huge = spark.createDataFrame([(i, [float(1 + i) * 10.0**150, 1.0, -(10.0**150)]) for i in range(30)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in anisotropic.search(huge, F.col("vec_id") == 20, 5).orderBy("rank").collect()] == [29, 28, 27, 26, 25]
     twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r.vec_id, r.score) for r in anisotropic.search(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2.0), (1, 1.0)]
+    assert [(r["rank"], r.vec_id, r.score) for r in anisotropic.search(twice, F.col("vec_id") == 0).orderBy("rank", F.col("score").desc()).collect()] == [(1, 1, 2.0), (1, 1, 1.0), (2, 0, 0.0), (2, 0, 0.0)]
     few = df.where("vec_id in (20, 21, 22)")
     assert [(r.query_id, r["rank"]) for r in anisotropic.search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(20, 1), (20, 2)]
+
+
+def test_queries_whose_id_repeats_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(259, 8))
+    ids = [0] * 60 + list(range(1, 200))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in anisotropic.search(df, F.col("vec_id") == 0, rerank=100).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    want = []
+    for q in range(60):
+        s = x @ x[q]
+        want += [(n, ids[i], round(s[i], 9)) for n, i in enumerate(sorted((i for i in range(259) if i != q), key=lambda i: (-s[i], ids[i]))[:20], 1)]
+    assert sorted(found[0]) == sorted(want) and len(want) == 1200
