@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Metric
 from lodestone.operators.exact import EmptyIndexError, _distances, _exact, _matrix, knn, top_k
-from lodestone.plans.storage import ship
+from lodestone.plans.storage import saved, ship
 
 Centroids = list[list[float]]
 
@@ -145,15 +145,12 @@ class IvfIndex:
         return bucket_search(self.data.withColumnRenamed("cluster_id", "bucket"), route(queries, self.centroids, n_probe, self.metric).withColumnRenamed("cluster_id", "bucket").select("query_id", "qv", "bucket", "probe"), k, self.metric)
 
 
-def bucket_search(data: DataFrame, probes: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN, per_bucket: int | None = None) -> DataFrame:
-    """(query_id, rank, id, distance) from an equi-join on the bucket; ``per_bucket`` cuts each bucket's list first."""
-    from lodestone.functions.vectors import distance
+def bucket_search(data: DataFrame, probes: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
+    """(query_id, rank, id, distance): the best ``k`` of ``data`` (bucket, id, vector) in the buckets of ``probes`` (query_id, qv, bucket)."""
+    from lodestone.operators.lists import probed
 
-    met = probes.join(data.select("bucket", "id", "vector"), "bucket").select("query_id", "bucket", "id", distance(metric, F.col("qv"), F.col("vector")).alias("distance"))
-    if per_bucket:
-        met = top_k(met.withColumn("part", F.concat_ws(":", "query_id", "bucket")), per_bucket, partition="part").drop("rank", "part")
-    once = met.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return top_k(once, k).select("query_id", "rank", "id", "distance")
+    routes = saved(probes.select("query_id", "qv", "bucket"))
+    return probed(data, routes, routes.select("query_id", F.col("qv").alias("vector")).dropDuplicates(["query_id"]), k, metric)
 
 
 # --- product quantisation -------------------------------------------------------------------------------------

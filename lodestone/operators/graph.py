@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
+from lodestone.operators.descent import descended
 from lodestone.operators.exact import knn, top_k
 from lodestone.plans.storage import saved, ship
 from lodestone.sources.vectors import load_index, save_index, unit_column
@@ -132,13 +133,14 @@ def top_layer(data: DataFrame, most: int = UPPER, seed: int = 42, ml: float = 1
     return upper if above <= most or at < max(sizes, default=0) or sizes.get(at, 0) <= most else upper.orderBy("id").limit(most)
 
 
-def walk(data: DataFrame, edges: DataFrame, queries: DataFrame, starts: DataFrame, k: int, ef: int, rounds: int = 16, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
+def walk(data: DataFrame, edges: DataFrame, queries: DataFrame, starts: DataFrame, k: int, ef: int, rounds: int | None = None, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
     """(query_id, rank, id, distance): the best ``k`` that a walk along ``edges`` (src, dst) reaches from ``starts`` (query_id, id).
 
     All queries walk at once. In each round the ``ef`` best vectors so far of each query, as far as they are new, are
     joined to their edges and the edges' ends to their vectors; the walk of a query ends when a round brings nothing
-    better, all walks after ``rounds``. A round is a few joins over at most queries x ef x degree rows and is cut off
-    by a checkpoint. Approximate: what the edges don't reach isn't found.
+    better, which it does after a finite number of them. ``rounds`` can end all walks earlier; they are not finished then.
+    A round is a few joins over at most queries x ef x degree rows and is cut off by a checkpoint. Approximate: what the
+    edges don't reach isn't found.
     """
     known, asked = data.select("id", "vector"), queries.select("query_id", F.col("vector").alias("qv"))
 
@@ -147,10 +149,9 @@ def walk(data: DataFrame, edges: DataFrame, queries: DataFrame, starts: DataFram
         return met.select("query_id", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance"), F.lit(True).alias("fresh"))
 
     beam = saved(top_k(measured(starts.select("query_id", "id").distinct()), ef).drop("rank"))
-    for _ in range(rounds):
-        front = beam.where("fresh")
-        if front.isEmpty():
-            break
+    turn = 0
+    while turn != rounds and not (front := beam.where("fresh")).isEmpty():
+        turn += 1
         ends = front.select("query_id", F.col("id").alias("src")).join(edges.select("src", "dst"), "src").select("query_id", F.col("dst").alias("id")).distinct()
         new = measured(ends.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti"))
         beam = saved(top_k(beam.withColumn("fresh", F.lit(False)).unionByName(new), ef).drop("rank"))
@@ -167,13 +168,13 @@ class GraphIndex:
     metric: Metric = Metric.EUCLIDEAN
 
     @classmethod
-    def build(cls, data: DataFrame, m: int = 16, metric: Metric = Metric.EUCLIDEAN, pruned: bool = False, upper: int = UPPER) -> GraphIndex:
-        """Edges to the ``m`` nearest others of each vector, or, ``pruned``, ``m`` of the 2m nearest chosen for their spread."""
-        near = knn_graph(data, 2 * m if pruned else m, metric)
+    def build(cls, data: DataFrame, m: int = 16, metric: Metric = Metric.EUCLIDEAN, pruned: bool = False, upper: int = UPPER, exact: bool = False) -> GraphIndex:
+        """Edges to about the ``m`` nearest others of each vector, found by descent, or, ``pruned``, ``m`` of the 2m nearest chosen for their spread. ``exact`` takes the true nearest, by a join of all with all."""
+        near = (knn_graph if exact else descended)(data, 2 * m if pruned else m, metric)
         kept = rng_prune(near, data, m) if pruned else near
         return cls(data.select("id", "vector"), saved(both_ways(kept)), saved(top_layer(data, upper)), metric)
 
-    def search(self, queries: DataFrame, k: int, ef: int = 100, entries: int = 3, rounds: int = 16) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, ef: int = 100, entries: int = 3, rounds: int | None = None) -> DataFrame:
         """A walk from the ``entries`` vectors of the upper layer that are nearest to each query."""
         starts = knn(self.upper, queries, entries, self.metric).select("query_id", "id")
         return walk(self.data, self.edges, queries, starts, k, max(ef, k), rounds, self.metric)

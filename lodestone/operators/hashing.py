@@ -28,8 +28,8 @@ def probes(queries: DataFrame, planes: Planes, n: int) -> DataFrame:
 
 
 def swift_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_probes: int = 4, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
-    """The best 2k of each probed bucket, merged. May give fewer than k."""
-    return bucket_search(bucketed(data, planes), probes(queries, planes, n_probes), k, metric, per_bucket=2 * k)
+    """The best of each probed bucket, merged: a bucket's best ``k`` are all that can count. May give fewer than k."""
+    return bucket_search(bucketed(data, planes), probes(queries, planes, n_probes), k, metric)
 
 
 def fusion_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_probes: int = 8, factor: float = 3.0, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:

@@ -15,6 +15,8 @@ from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators import clustering, graph, hashing, hybrid, state
 from lodestone.operators.exact import knn, knn_one, recall_at_k, recall_summary, top_k
+from lodestone.operators.lists import ListIndex
+from lodestone.plans.storage import discarded_at_exit, fresh_path
 from lodestone.sources import vectors as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,8 +195,8 @@ for _name, _metric in (("knn_exact_l2", L2), ("knn_exact_cosine", COS)):
 START = f"c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cluster_id, vector AS centroid FROM v ORDER BY id LIMIT {CLUSTERS})"
 
 
-def assigned_sql(c: str) -> str:
-    return f"SELECT id, vector, cluster_id FROM (SELECT v.id, v.vector, {c}.cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.vector, {c}.centroid), {c}.cluster_id) AS place FROM v, {c}) WHERE place = 1"
+def assigned_sql(c: str, v: str = "v") -> str:
+    return f"SELECT id, vector, cluster_id FROM (SELECT v.id, v.vector, {c}.cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.vector, {c}.centroid), {c}.cluster_id) AS place FROM {v} v, {c}) WHERE place = 1"
 
 
 def means_sql(a: str) -> str:
@@ -225,13 +227,30 @@ query("ivf_route", f"{ITERATED} SELECT query_id, cluster_id, probe, round(d, 6)
 PROBES = 8  # of CLUSTERS lists: recall against the exact scan 0.955 or more on sf0.01, sf0.1 and check_s
 
 
-def _ivf(name: str, probes: int) -> None:
-    sql = f"{ITERATED}, a3 AS ({assigned_sql('c3')}) " + ranked_sql(f"SELECT query_id, id, list_distance(qv, vector) AS distance FROM ({ROUTE.format(n=probes)}) r JOIN a3 USING (cluster_id)")
-    query(name, sql)(lambda spark, sf: rounded(clustering.IvfIndex(clustering.assign(v := vectors(spark, sf), c := trained(v)).drop("centroid_distance"), c).search(asked(v), K, probes)))
+def listed_sql(probes: int, rows: str = "v") -> str:
+    """The best of the vectors of ``rows`` in the nearest ``probes`` lists."""
+    return f"a3 AS ({assigned_sql('c3', rows)}) " + ranked_sql(f"SELECT query_id, id, list_distance(qv, vector) AS distance FROM ({ROUTE.format(n=probes)}) r JOIN a3 USING (cluster_id)")
 
 
-for _name in ("ivf_search", "vortex_search", "atlas_centroid_search"):
-    _ivf(_name, PROBES)
+def written_lists(spark: SparkSession, data: DataFrame) -> ListIndex:
+    """An index over ``data`` in a folder that goes with the session."""
+    path = fresh_path(spark, "lists")
+    discarded_at_exit(spark, path)
+    return ListIndex.build(data, path, centroids=trained(data))
+
+
+query("ivf_search", f"{ITERATED}, {listed_sql(PROBES)}")(lambda spark, sf: rounded(ListIndex.load(spark, written_lists(spark, v := vectors(spark, sf)).path).search(asked(v), K, PROBES)))
+for _name in ("vortex_search", "atlas_centroid_search"):
+    query(_name, f"{ITERATED}, {listed_sql(PROBES)}")(lambda spark, sf: rounded(clustering.IvfIndex(clustering.assign(v := vectors(spark, sf), c := trained(v)).drop("centroid_distance"), c).search(asked(v), K, PROBES)))
+
+
+@query("index_changes", f"{ITERATED}, live AS (SELECT id, CASE WHEN id % 4 = 0 THEN list_transform(vector, lambda x: -x) ELSE vector END AS vector FROM v WHERE id % 5 <> 0 OR id % 4 = 0 UNION ALL SELECT id + 1000000, vector FROM v WHERE id % 7 = 0), {listed_sql(PROBES, 'live')}")
+def index_changes(spark, sf):
+    """A saved index after deletions, updates that move vectors to other lists, and insertions; each is a version of its own."""
+    v = vectors(spark, sf)
+    index = written_lists(spark, v).delete(v.where("id % 5 = 0")).upsert(v.where("id % 4 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    index.upsert(v.where("id % 7 = 0").withColumn("id", F.col("id") + 1_000_000))
+    return rounded(ListIndex.load(spark, index.path).search(asked(v), K, PROBES))
 
 
 @query("ensemble_route", f"{ITERATED}, g AS (SELECT query_id, cluster_id, 1 / (d + 0.001) AS w FROM ({ROUTE.format(n=5)})), l AS (SELECT q.query_id, c3.cluster_id, 1 / (list_distance(qv, centroid) + 0.001) AS w FROM q, c3 WHERE bit_count(xor({bucket_sql(PLANES3, 'qv')}, {bucket_sql(PLANES3, 'centroid')})::INTEGER) <= 1), parts AS (SELECT query_id, cluster_id, (0.7::DOUBLE / 1.2) * w / sum(w) OVER (PARTITION BY query_id) AS p FROM g UNION ALL SELECT query_id, cluster_id, (0.5::DOUBLE / 1.2) * w / sum(w) OVER (PARTITION BY query_id) FROM l) SELECT query_id, rank, cluster_id, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -round(p, 12), cluster_id)::INTEGER AS rank FROM (SELECT query_id, cluster_id, sum(p) AS p FROM parts GROUP BY ALL)) WHERE rank <= 5")

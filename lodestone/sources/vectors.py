@@ -81,6 +81,39 @@ def load_index(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], di
     return {name: spark.read.parquet(f"{path}/{name}") for name in meta.pop("tables")}, meta
 
 
+def write_meta(spark: SparkSession, path: str, version: int, meta: dict[str, Any]) -> None:
+    """Describes a version of what lies in ``path``. The folder gets its name once the line is written, so a reader sees all of it or nothing; a version that is there already raises."""
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/version-{version}")
+
+
+def read_meta(spark: SparkSession, path: str, version: int, missing_ok: bool = False) -> dict[str, Any]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-{version}/_SUCCESS")
+    if missing_ok and not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    return json.loads(spark.read.text(f"{path}/version-{version}").first().value)
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest number of a version whose description is complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    numbers = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found or []]
+    if not numbers:
+        raise ValueError(f"no version of an index in {path}")
+    return max(numbers)
+
+
+def generate_clustered(spark: SparkSession, dim: int, count: int, clusters: int, spread: float = 0.1, seed: int = 42, first: int = 0) -> DataFrame:
+    """(id, vector): vectors around ``clusters`` centres that are uniform in [-1, 1), each component off by up to ``spread``; rows ``first`` to ``first`` + ``count`` of an endless table."""
+    if dim < 1 or count < 0 or clusters < 1:
+        raise ValueError("dim >= 1, count >= 0 and clusters >= 1 are needed")
+    positions = F.sequence(F.lit(0), F.lit(dim - 1))
+    own = F.floor(unit_column(F.col("id"), F.lit(dim), seed + 1) * clusters)
+    centre = lambda j: -1 + 2 * unit_column(own, j, seed)
+    off = lambda j: spread * (2 * unit_column(F.col("id"), j, seed + 2) - 1)
+    return spark.range(first, first + count).select("id", F.transform(positions, lambda j: centre(j) + off(j)).alias("vector"))
+
+
 def export_testdata(vectors: DataFrame, queries: DataFrame, path: str, metadata: dict[str, Any]) -> None:
     """Data and queries as JSON lines, beside a line of metadata."""
     vectors.select("id", F.col("vector").alias("values")).write.mode("overwrite").json(f"{path}/dataset")
