@@ -16,6 +16,7 @@ from lodestone.functions.vectors import Metric
 from lodestone.operators import clustering, graph, hashing, hybrid, state
 from lodestone.operators.exact import knn, knn_one, recall_at_k, recall_summary, top_k
 from lodestone.operators.lists import ListIndex
+from lodestone.operators.postings import PostingsIndex, doc_terms
 from lodestone.plans.storage import discarded_at_exit, fresh_path
 from lodestone.sources import vectors as S
 
@@ -400,7 +401,33 @@ query("sparse_norm", f"WITH {TERMS} SELECT id, round(norm, 6) AS norm FROM norms
 query("inverted_index", f"WITH {TERMS} SELECT term, count(*) AS n_docs, sum(weight) AS weight FROM t GROUP BY 1")(lambda spark, sf: hybrid.inverted_index(terms(spark, sf)))
 DOTS = f"cand AS (SELECT query_id, id, dot FROM dots WHERE query_id IN (SELECT query_id FROM q) UNION ALL SELECT query_id, v.id, 0.0 FROM q, v WHERE query_id NOT IN (SELECT query_id FROM dots)), scored AS (SELECT c.query_id, c.id, dot, list_distance(qv, vector) AS d FROM cand c JOIN v ON v.id = c.id JOIN q ON q.query_id = c.query_id), spans AS (SELECT *, min(d) OVER w AS dl, max(d) OVER w AS dh, min(dot) OVER w AS sl, max(dot) OVER w AS sh FROM scored WINDOW w AS (PARTITION BY query_id))"
 MINMAX = "CASE WHEN {h} - {l} < 1e-10 THEN 0.5 ELSE least(1.0, greatest(0.0, ({x} - {l}) / ({h} - {l}))) END"
-query("hybrid_search", f"{VQ}, {TERMS}, {DOTS} " + ranked_sql(f"SELECT query_id, id, round(1 - (0.6 * (1 - {MINMAX.format(x='d', l='dl', h='dh')}) + (1 - 0.6) * {MINMAX.format(x='dot', l='sl', h='sh')}), 12) AS distance FROM spans"))(lambda spark, sf: rounded(hybrid.hybrid_search(v := vectors(spark, sf), t := terms(spark, sf), asked(v), asked_terms(t), K)))
+def written_postings(spark: SparkSession, sf: str) -> PostingsIndex:
+    """An index over documents and vectors in a folder that goes with the session."""
+    path = fresh_path(spark, "postings")
+    discarded_at_exit(spark, path)
+    return PostingsIndex.build(doc_terms(spark.read.parquet(f"{sf}/documents.parquet")), path, vectors(spark, sf))
+
+
+def queried_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, term, qweight) of the documents that are queries."""
+    each = doc_terms(spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") % EVERY == 0))
+    return each.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("query_id", F.col("x.terms").alias("term"), F.col("x.weights").alias("qweight"))
+
+
+query("hybrid_search", f"{VQ}, {TERMS}, {DOTS} " + ranked_sql(f"SELECT query_id, id, round(1 - (0.6 * (1 - {MINMAX.format(x='d', l='dl', h='dh')}) + (1 - 0.6) * {MINMAX.format(x='dot', l='sl', h='sh')}), 12) AS distance FROM spans"))(lambda spark, sf: rounded(written_postings(spark, sf).hybrid(asked(vectors(spark, sf)), queried_terms(spark, sf), K)))
+SPARSE_TOP = "SELECT query_id, rank, id, -dot AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, id)::INTEGER AS rank FROM ({dots})) WHERE rank <= {k}"
+query("sparse_search", f"WITH {TERMS} " + SPARSE_TOP.format(dots="SELECT query_id, id, dot FROM dots", k=K))(lambda spark, sf: written_postings(spark, sf).sparse(queried_terms(spark, sf), K))
+
+
+@query("postings_changes", f"WITH {TERMS}, live AS (SELECT id, term, weight FROM t WHERE id % 5 <> 0 AND id % 4 <> 0 UNION ALL SELECT id - id % 4 + (id + 1) % 4, term, weight FROM t WHERE id % 4 = 3), found AS (SELECT query_id, live.id, sum(weight * qweight) AS dot FROM a JOIN live USING (term) GROUP BY ALL) " + SPARSE_TOP.format(dots="SELECT * FROM found", k=K))
+def postings_changes(spark, sf):
+    """A saved index after deletions, and updates that give each fourth document the terms of the one before the next fourth."""
+    each = doc_terms(spark.read.parquet(f"{sf}/documents.parquet"))
+    index = written_postings(spark, sf).delete(each.where("id % 5 = 0 or id % 4 = 0").select("id"))
+    index.upsert(each.where("id % 4 = 3").withColumn("id", F.col("id") - 3))
+    return PostingsIndex.load(spark, index.path).sparse(queried_terms(spark, sf), K)
+
+
 query("atlas_hybrid", f"{VQ}, {TERMS}, near AS (SELECT query_id, id, d FROM (SELECT query_id, id, list_distance(qv, vector) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(qv, vector), id) AS place FROM q, v) WHERE place <= {3 * K}) " + ranked_sql("SELECT n.query_id, n.id, round(0.6 * (d / (d + 1)) + (1 - 0.6) * (1 - coalesce(cosine, 0.0)), 12) + 0.0 AS distance FROM near n LEFT JOIN cosines c ON c.query_id = n.query_id AND c.id = n.id"))(lambda spark, sf: rounded(hybrid.dense_first(v := vectors(spark, sf), t := terms(spark, sf), asked(v), asked_terms(t), K)))
 
 
