@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators.exact import top_k
+from lodestone.plans.storage import saved
 
 MODAL_WEIGHTS = (0.6, 0.3, 0.1)  # dense, sparse, audio
 
@@ -54,14 +55,22 @@ def hybrid_search(data: DataFrame, terms: DataFrame, queries: DataFrame, asked:
     return top_k(fused, k).select("query_id", "rank", "id", "distance")
 
 
-def dense_first(data: DataFrame, terms: DataFrame, queries: DataFrame, asked: DataFrame, k: int, weight: float = 0.6) -> DataFrame:
-    """The 3k nearest by vector, ranked by w * d / (d + 1) + (1 - w) * (1 - cos of the terms)."""
+def dense_first(data: DataFrame, terms: DataFrame, queries: DataFrame, asked: DataFrame, k: int, weight: float = 0.6, routes: DataFrame | None = None) -> DataFrame:
+    """The 3k nearest by vector, ranked by w * d / (d + 1) + (1 - w) * (1 - cos of the terms).
+
+    With ``routes`` (query_id, bucket), only those of ``data`` (id, vector, bucket) in the query's buckets. Cosines are
+    taken of these pairs alone.
+    """
     from lodestone.operators.exact import knn
+    from lodestone.operators.lists import probed
 
-    near = knn(data, queries, 3 * k).drop("rank")
-    cos = sparse_cosines(terms, asked)
-    fused = near.join(cos, ["query_id", "id"], "left").select("query_id", "id", (F.round(weight * V.squash(F.col("distance")) + (1 - weight) * (1 - F.coalesce("cosine", F.lit(0.0))), 12) + F.lit(0.0)).alias("distance"))
-    return top_k(fused, k).select("query_id", "rank", "id", "distance")
+    near = saved((knn(data, queries, 3 * k) if routes is None else probed(data, routes, queries, 3 * k)).drop("rank"))
+    norms = sparse_norms(terms.join(near.select("id").distinct(), "id", "left_semi"))
+    q_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qweight") * F.col("qweight"))).alias("qnorm"))
+    dots = near.select("query_id", "id").join(terms, "id").join(asked, ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("dot"))
+    cos = dots.join(norms, "id").join(q_norms, "query_id").select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine"))
+    ranked = near.join(cos, ["query_id", "id"], "left").select("query_id", "id", (F.round(weight * V.squash(F.col("distance")) + (1 - weight) * (1 - F.coalesce("cosine", F.lit(0.0))), 12) + F.lit(0.0)).alias("distance"))
+    return top_k(ranked, k).select("query_id", "rank", "id", "distance")
 
 
 def multimodal_distance(prefix_a: str, prefix_b: str, weights: tuple[float, float, float] = MODAL_WEIGHTS, metric: Metric = Metric.EUCLIDEAN) -> Column:

@@ -15,6 +15,7 @@ from lodestone.functions.vectors import Metric
 from lodestone.operators import exact
 from lodestone.operators.clustering import Centroids, as_table, assign, kmeans, plus_plus, route
 from lodestone.operators.exact import _best, _matrix, top_k
+from lodestone.operators.routing import CentroidGraph, graph_assign, graph_kmeans, graph_route
 from lodestone.plans.storage import discard, saved, ship
 from lodestone.sources.vectors import latest_version, read_meta, write_meta
 
@@ -115,14 +116,17 @@ class ListIndex:
     named: str = "centroids-0"
     base: str = "base-0"
     segments: tuple[tuple[int, str], ...] = field(default=())  # number and "rows" or "gone"
+    beam: int | None = None  # of a graph of centroids that vectors and queries are routed over; None: all centroids are compared
 
     @classmethod
-    def build(cls, data: DataFrame, path: str, n_lists: int | None = None, iterations: int = 20, metric: Metric = Metric.EUCLIDEAN, centroids: Centroids | None = None) -> ListIndex:
-        """Writes ``data`` (id, vector) by its nearest of ``centroids``; without them, ceil(sqrt(n)) or ``n_lists`` are trained. Rows without id or vector are left out."""
+    def build(cls, data: DataFrame, path: str, n_lists: int | None = None, iterations: int = 20, metric: Metric = Metric.EUCLIDEAN, centroids: Centroids | None = None, beam: int | None = None) -> ListIndex:
+        """Writes ``data`` (id, vector) by its nearest of ``centroids``; without them, ceil(sqrt(n)) or ``n_lists`` are trained. Rows without id or vector are left out. With ``beam``, training, assignment and routing go over a graph of the centroids, which many thousands of them need."""
         rows = data.where("id is not null and vector is not null").select("id", "vector")
-        if centroids is None:
+        if centroids is None and beam:
+            centroids = graph_kmeans(rows, n_lists, iterations, metric, beam)
+        elif centroids is None:
             centroids = kmeans(rows, plus_plus(rows, n_lists or ceil(sqrt(max(1, rows.count())))), iterations, metric, unit_length=metric is Metric.COSINE)
-        index = cls(data.sparkSession, path, centroids, metric)
+        index = cls(data.sparkSession, path, centroids, metric, beam=beam)
         index._put(rows, index.base)
         as_table(index.spark, centroids).write.mode("overwrite").parquet(f"{path}/{index.named}")
         return index._described()
@@ -132,15 +136,15 @@ class ListIndex:
         """The newest version, or the one that is named."""
         meta = read_meta(spark, path, latest_version(spark, path) if version is None else version)
         centroids = [r.centroid for r in spark.read.parquet(f"{path}/{meta['centroids']}").orderBy("cluster_id").collect()]
-        return cls(spark, path, centroids, Metric(meta["metric"]), meta["version"], meta["centroids"], meta["base"], tuple((n, kind) for n, kind in meta["segments"]))
+        return cls(spark, path, centroids, Metric(meta["metric"]), meta["version"], meta["centroids"], meta["base"], tuple((n, kind) for n, kind in meta["segments"]), meta["beam"])
 
     def _described(self) -> ListIndex:
-        write_meta(self.spark, self.path, self.version, {"version": self.version, "centroids": self.named, "base": self.base, "metric": self.metric.value, "segments": self.segments})
+        write_meta(self.spark, self.path, self.version, {"version": self.version, "centroids": self.named, "base": self.base, "metric": self.metric.value, "segments": self.segments, "beam": self.beam})
         return self
 
     def _put(self, rows: DataFrame, name: str) -> None:
         """Rows go to their lists' folders; a list is written by as many tasks as AQE's partition size asks for, not by all."""
-        listed = assign(rows, self.centroids, self.metric).drop("centroid_distance")
+        listed = graph_assign(rows, CentroidGraph(self.centroids, self.metric), self.beam) if self.beam else assign(rows, self.centroids, self.metric).drop("centroid_distance")
         listed.hint("rebalance", F.col("cluster_id")).write.mode("overwrite").partitionBy("cluster_id").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str, number: int) -> DataFrame:
@@ -188,7 +192,8 @@ class ListIndex:
 
     def search(self, queries: DataFrame, k: int, n_probe: int = 10) -> DataFrame:
         """The best ``k`` among the vectors of the ``n_probe`` nearest lists of each query; other lists aren't read."""
-        routes = saved(route(queries, self.centroids, n_probe, self.metric).select("query_id", "probe", F.col("cluster_id").alias("bucket")))
+        near = graph_route(queries, CentroidGraph(self.centroids, self.metric), n_probe, max(self.beam, n_probe)) if self.beam else route(queries, self.centroids, n_probe, self.metric)
+        routes = saved(near.select("query_id", "probe", F.col("cluster_id").alias("bucket")))
         wanted = routes.where(F.col("probe") < n_probe).select(F.col("bucket").alias("cluster_id")).distinct()
         return probed(self.rows(wanted).withColumnRenamed("cluster_id", "bucket"), routes, queries, k, self.metric)
 

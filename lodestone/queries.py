@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
-from lodestone.operators import clustering, graph, hashing, hybrid, state
+from lodestone.operators import clustering, graph, hashing, hybrid, routing, state
 from lodestone.operators.exact import knn, knn_one, recall_at_k, recall_summary, top_k
-from lodestone.operators.lists import ListIndex
+from lodestone.operators.lists import ListIndex, probed
 from lodestone.operators.postings import PostingsIndex, doc_terms
-from lodestone.plans.storage import discarded_at_exit, fresh_path
+from lodestone.plans.storage import discarded_at_exit, fresh_path, saved
 from lodestone.sources import vectors as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,16 +234,17 @@ def listed_sql(probes: int, rows: str = "v") -> str:
     return f"a3 AS ({assigned_sql('c3', rows)}) " + ranked_sql(f"SELECT query_id, id, list_distance(qv, vector) AS distance FROM ({ROUTE.format(n=probes)}) r JOIN a3 USING (cluster_id)")
 
 
-def written_lists(spark: SparkSession, data: DataFrame) -> ListIndex:
+def written_lists(spark: SparkSession, data: DataFrame, beam: int | None = None) -> ListIndex:
     """An index over ``data`` in a folder that goes with the session."""
     path = fresh_path(spark, "lists")
     discarded_at_exit(spark, path)
-    return ListIndex.build(data, path, centroids=trained(data))
+    return ListIndex.build(data, path, centroids=trained(data), beam=beam)
 
 
 query("ivf_search", f"{ITERATED}, {listed_sql(PROBES)}")(lambda spark, sf: rounded(ListIndex.load(spark, written_lists(spark, v := vectors(spark, sf)).path).search(asked(v), K, PROBES)))
-for _name in ("vortex_search", "atlas_centroid_search"):
-    query(_name, f"{ITERATED}, {listed_sql(PROBES)}")(lambda spark, sf: rounded(clustering.IvfIndex(clustering.assign(v := vectors(spark, sf), c := trained(v)).drop("centroid_distance"), c).search(asked(v), K, PROBES)))
+query("atlas_centroid_search", f"{ITERATED}, {listed_sql(PROBES)}")(lambda spark, sf: rounded(clustering.IvfIndex(clustering.assign(v := vectors(spark, sf), c := trained(v)).drop("centroid_distance"), c).search(asked(v), K, PROBES)))
+# Routed over the graph of centroids; a beam of all tops finds the very lists of the SQL.
+query("vortex_search", f"{ITERATED}, {listed_sql(PROBES)}")(lambda spark, sf: rounded(written_lists(spark, v := vectors(spark, sf), beam=CLUSTERS).search(asked(v), K, PROBES)))
 
 
 @query("index_changes", f"{ITERATED}, live AS (SELECT id, CASE WHEN id % 4 = 0 THEN list_transform(vector, lambda x: -x) ELSE vector END AS vector FROM v WHERE id % 5 <> 0 OR id % 4 = 0 UNION ALL SELECT id + 1000000, vector FROM v WHERE id % 7 = 0), {listed_sql(PROBES, 'live')}")
@@ -431,6 +433,96 @@ def postings_changes(spark, sf):
 query("atlas_hybrid", f"{VQ}, {TERMS}, near AS (SELECT query_id, id, d FROM (SELECT query_id, id, list_distance(qv, vector) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(qv, vector), id) AS place FROM q, v) WHERE place <= {3 * K}) " + ranked_sql("SELECT n.query_id, n.id, round(0.6 * (d / (d + 1)) + (1 - 0.6) * (1 - coalesce(cosine, 0.0)), 12) + 0.0 AS distance FROM near n LEFT JOIN cosines c ON c.query_id = n.query_id AND c.id = n.id"))(lambda spark, sf: rounded(hybrid.dense_first(v := vectors(spark, sf), t := terms(spark, sf), asked(v), asked_terms(t), K)))
 
 
+# --- routes by terms and modalities: clusters of c3, terms of the documents with a vector's id -----------------------
+
+TERM_RATE = 0.25
+SHARES = f"a3 AS ({assigned_sql('c3')}), share AS (SELECT half, term, cluster_id, hits / sum(hits) OVER (PARTITION BY half, term) AS s FROM (SELECT id % 2 AS half, term, cluster_id, sum(weight) AS hits FROM t JOIN a3 USING (id) GROUP BY ALL)), learned AS (SELECT term, cluster_id, CASE WHEN term NOT IN (SELECT term FROM share WHERE half = 0) THEN o WHEN term NOT IN (SELECT term FROM share WHERE half = 1) THEN e ELSE o + {TERM_RATE}::DOUBLE * (e - o) END AS w FROM (SELECT term, cluster_id, coalesce(sum(s) FILTER (half = 1), 0) AS o, coalesce(sum(s) FILTER (half = 0), 0) AS e FROM share GROUP BY ALL))"
+
+
+def learned_table(spark: SparkSession, sf: str, centroids: clustering.Centroids) -> DataFrame:
+    """(term, cluster_id, w) after two batches, odd ids and even ones."""
+    t, clusters = terms(spark, sf), clustering.assign(vectors(spark, sf), centroids).select("id", "cluster_id")
+    odd, even = (routing.term_clusters(t.where(F.col("id") % 2 == half), clusters) for half in (1, 0))
+    return saved(routing.learned_terms(routing.learned_terms(None, odd), even, TERM_RATE))
+
+
+def softmax_sql(scores: str) -> str:
+    return f"SELECT query_id, cluster_id, exp(score) / sum(exp(score)) OVER (PARTITION BY query_id) AS p FROM ({scores})"
+
+
+def perceptron_sql(x: str, r: clustering.Router) -> str:
+    """Scores of each cluster, by a layer and another one."""
+    hidden = "[" + ", ".join(f"greatest(0.0, list_inner_product({x}, {lit_sql(w)}))" for w in r.w1.T) + "]"
+    return "[" + ", ".join(f"list_inner_product(h, {lit_sql(w)})" for w in r.w2.T) + f"] AS z FROM (SELECT *, {hidden} AS h FROM q)"
+
+
+def fixed_router(dim: int, hidden: int, seed: int) -> clustering.Router:
+    return clustering.Router(np.array(S.rows(dim, hidden, seed)), np.zeros(hidden), np.array(S.rows(hidden, CLUSTERS, seed + 1, -2, 2)), np.zeros(CLUSTERS))
+
+
+DENSE_ROUTER, AUDIO_ROUTER = fixed_router(DIM, 8, 50), fixed_router(8, 4, 60)
+BY_TERMS = "by_terms AS (" + softmax_sql(f"SELECT k.query_id, k.cluster_id, coalesce(s / total, 0) AS score FROM (SELECT DISTINCT query_id, r.k::INTEGER AS cluster_id FROM a, range({CLUSTERS}) r(k)) k LEFT JOIN (SELECT query_id, cluster_id, sum(qweight * w) AS s FROM a JOIN learned USING (term) GROUP BY ALL) m ON m.query_id = k.query_id AND m.cluster_id = k.cluster_id LEFT JOIN (SELECT query_id, sum(qweight) AS total FROM a WHERE term IN (SELECT term FROM learned) GROUP BY ALL) n ON n.query_id = k.query_id") + ")"
+ONE_BY_ONE = "SELECT query_id, (i - 1)::INTEGER AS cluster_id, z[i] AS score FROM (SELECT query_id, {z}), range(1, {n}) r(i) WHERE {has}"
+HAS_DENSE, HAS_TERMS, HAS_AUDIO = "query_id % 3 <> 0", "query_id % 4 <> 0", "query_id % 7 <> 0"
+BY_MODES = f"by_dense AS ({softmax_sql(ONE_BY_ONE.format(z=perceptron_sql('qv', DENSE_ROUTER), n=CLUSTERS + 1, has=HAS_DENSE))}), by_audio AS ({softmax_sql(ONE_BY_ONE.format(z=perceptron_sql('list_slice(qv, 1, 8)', AUDIO_ROUTER), n=CLUSTERS + 1, has=HAS_AUDIO))}), parts AS (SELECT *, 0.6::DOUBLE AS w FROM by_dense UNION ALL SELECT *, 0.3::DOUBLE FROM by_terms WHERE {HAS_TERMS} AND query_id IN (SELECT query_id FROM q) UNION ALL SELECT *, 0.1::DOUBLE FROM by_audio), fused AS (SELECT query_id, cluster_id, s / max(total) OVER (PARTITION BY query_id) AS p FROM (SELECT query_id, cluster_id, sum(w * p) AS s, sum(w) AS total FROM parts GROUP BY ALL))"
+BEST = "SELECT query_id, rank, cluster_id, p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -round(p, 12), cluster_id)::INTEGER AS rank FROM {of}) WHERE rank <= {n}"
+
+
+def mode_routes(spark: SparkSession, sf: str, centroids: clustering.Centroids) -> DataFrame:
+    """Every query by the modalities that it has: a network over its vector, its terms, a network over the vector's first eight components."""
+    q = asked(vectors(spark, sf))
+    words = asked_terms(terms(spark, sf)).where(HAS_TERMS).join(q.select("query_id"), "query_id", "left_semi")
+    short = q.where(HAS_AUDIO).withColumn("vector", F.slice("vector", 1, 8))
+    return routing.fused([(routing.learned_route(q.where(HAS_DENSE), DENSE_ROUTER), 0.6), (routing.sparse_route(words, learned_table(spark, sf, centroids), CLUSTERS), 0.3), (routing.learned_route(short, AUDIO_ROUTER), 0.1)])
+
+
+query("sparse_route", f"{ITERATED}, {TERMS}, {SHARES}, {BY_TERMS} SELECT query_id, rank, cluster_id, round(p, 6) AS p FROM ({BEST.format(of='by_terms', n=3)})")(
+    lambda spark, sf: rounded(routing.best_clusters(routing.sparse_route(asked_terms(terms(spark, sf)), learned_table(spark, sf, trained(vectors(spark, sf))), CLUSTERS), 3), "p"))
+query("fused_route", f"{ITERATED}, {TERMS}, {SHARES}, {BY_TERMS}, {BY_MODES} SELECT query_id, cluster_id, round(p, 6) AS p, round(max(p) OVER (PARTITION BY query_id), 6) AS confidence FROM fused")(
+    lambda spark, sf: rounded(mode_routes(spark, sf, trained(vectors(spark, sf))), "p", "confidence"))
+ROUTED = 7  # of CLUSTERS lists: the routers' weights are fixed numbers, not learned, so this many are probed
+ROUTED_SQL = f"{ITERATED}, {TERMS}, {SHARES}, {BY_TERMS}, {BY_MODES}, probes AS ({BEST.format(of='fused', n=ROUTED)}), met AS (SELECT query_id, id, list_distance(qv, vector) AS d FROM probes JOIN a3 USING (cluster_id) JOIN q USING (query_id))"
+
+
+def routed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors by list, and the lists that the fused routers choose for each query."""
+    v = vectors(spark, sf)
+    c = trained(v)
+    return clustering.assign(v, c).withColumnRenamed("cluster_id", "bucket"), saved(routing.best_clusters(mode_routes(spark, sf, c), ROUTED).withColumnRenamed("cluster_id", "bucket"))
+
+
+@query("atlas_search", ROUTED_SQL + ", near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM met) WHERE place <= " + str(3 * K) + ") " + ranked_sql("SELECT n.query_id, n.id, round(0.6 * (d / (d + 1)) + (1 - 0.6) * (1 - coalesce(cosine, 0.0)), 12) + 0.0 AS distance FROM near n LEFT JOIN cosines c ON c.query_id = n.query_id AND c.id = n.id"))
+def atlas_search(spark, sf):
+    """Dense and sparse, in the lists that the routers choose."""
+    data, routes = routed(spark, sf)
+    t = terms(spark, sf)
+    return rounded(hybrid.dense_first(data, t, asked(vectors(spark, sf)), asked_terms(t), K, routes=routes))
+
+
+@query("apex_routed_search", ROUTED_SQL + " " + ranked_sql("SELECT query_id, id, round(d * (2 - exp(-0.1 * (id * 3600) / 86400.0)), 12) AS distance FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM met) WHERE place <= " + str(K) + ")"))
+def apex_routed_search(spark, sf):
+    """The nearest in the lists that the routers choose, ranked anew by age."""
+    data, routes = routed(spark, sf)
+    v = vectors(spark, sf)
+    return rounded(hybrid.decayed(probed(data, routes, asked(v), K), timed(v), NOW))
+
+
+GRAPH_P = f"g AS (SELECT query_id, cluster_id, w / sum(w) OVER (PARTITION BY query_id) AS p FROM (SELECT query_id, cluster_id, 1 / (d + 0.001) AS w FROM ({ROUTE.format(n=5)})))"
+HASH_P = f"l AS (SELECT query_id, cluster_id, w / sum(w) OVER (PARTITION BY query_id) AS p FROM (SELECT q.query_id, c3.cluster_id, 1 / (list_distance(qv, centroid) + 0.001) AS w FROM q, c3 WHERE bit_count(xor({bucket_sql(PLANES3, 'qv')}, {bucket_sql(PLANES3, 'centroid')})::INTEGER) <= 1))"
+
+
+@query("ensemble_learned_route", f"{ITERATED}, {GRAPH_P}, {HASH_P}, by_dense AS ({softmax_sql(ONE_BY_ONE.format(z=perceptron_sql('qv', DENSE_ROUTER), n=CLUSTERS + 1, has='true'))}), parts AS (SELECT query_id, cluster_id, p, max(p) OVER (PARTITION BY query_id) AS w, 0 AS part FROM by_dense UNION ALL SELECT query_id, cluster_id, p, 0.7::DOUBLE, 1 FROM g UNION ALL SELECT query_id, cluster_id, p, 0.5::DOUBLE, 2 FROM l), total AS (SELECT query_id, sum(w) AS total FROM (SELECT DISTINCT query_id, part, w FROM parts) GROUP BY 1), fused AS (SELECT query_id, cluster_id, sum(w * p) / any_value(total) AS p FROM parts JOIN total USING (query_id) GROUP BY ALL) SELECT query_id, rank, cluster_id, round(p, 6) AS p FROM ({BEST.format(of='fused', n=5)})")
+def ensemble_learned_route(spark, sf):
+    """All three legs: a network weighted by its confidence, the nearest centroids, and those whose hash is near."""
+    v = vectors(spark, sf)
+    q, c = asked(v), trained(v)
+    near = routing.inverse_distances(clustering.route(q, c, 5))
+    cb = hashing.bucketed(clustering.as_table(spark, c).withColumnRenamed("centroid", "vector"), PLANES3)
+    hashed = routing.inverse_distances(hashing.probes(q, PLANES3, 4).join(cb, "bucket").select("query_id", "cluster_id", V.l2(F.col("qv"), F.col("vector")).alias("distance")))
+    learned = routing.with_confidence(routing.learned_route(q, DENSE_ROUTER))
+    return rounded(routing.best_clusters(routing.fused([(learned, F.col("confidence")), (near, 0.7), (hashed, 0.5)]), 5), "p")
+
+
 def modal(data: DataFrame) -> DataFrame:
     """Dense for all but every third row, audio (the first eight components) for every second; no sparse part."""
     return data.select("id", F.when(F.col("id") % 3 != 0, F.col("vector")).alias("dense"), F.lit(None).cast("map<string,double>").alias("sparse"), F.when(F.col("id") % 2 == 0, F.slice("vector", 1, 8)).alias("audio"))
