@@ -57,9 +57,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df``, computed once into the shared folder; its lineage ends there, and lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, computed once into the shared folder; its lineage ends there, and lost executors lose nothing.
+
+    A checkpoint's plan holds on to the plan that it came from. In loops, where each round uses the one before several
+    times, such plans would grow exponentially, so the rows alone are taken over.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
