@@ -6,9 +6,11 @@ of five with a probability of 5e-9. Of each hash eight bits are kept, and they a
 matches among n, a uniform prior gives the posterior probability that the likeness is 0.8 or more, and a pair whose
 probability falls below MISS is dropped. What survives is verified on the full sets.
 
-Buckets are never paired out. First every node is compared with one other only, the least node that it shares most
-buckets with; the links found this way are contracted, which leaves a group of many near copies with few components.
-Then only nodes of different components are compared within a bucket, those of crowded buckets in cells of bounded size.
+Buckets are never paired out. First every node is compared with one other only, the pivot that it shares most buckets
+with, in two rounds; the links found this way are contracted, which leaves a group of many near copies with few
+components. Then nodes of different components within a bucket are compared by signature, in cells of bounded size, and
+only a spanning forest of what survives goes on: its trees are the neighbourhoods outside of which no link is left. In
+cells of a neighbourhood the full sets meet, and every surviving pair whose components aren't joined yet is verified.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
+from lodestone.llm.simhash import _roots
 from lodestone.plans.storage import saved, ship, stored
 
 BAND, BANDS = 5, 48
@@ -215,80 +218,179 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return places.withColumn("other", F.bitwise_not("key")).join(least, "other").select("key", "node", "pivot")
 
 
-def across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, once each: pairs that share a bucket, lie in different components (``roots``: node, root) and aren't dropped on the way.
-
-    A bucket's nodes are dealt to slices of about SLICE; any two slices meet in a cell. Buckets within one component
-    are left out as a whole.
-    """
-    placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    slices = mixed.select(F.bitwise_not("key").alias("other"), F.ceil(F.col("n") / SLICE).cast("int").alias("s"))
-    own = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-    dealt = placed.withColumn("other", F.bitwise_not("key")).join(slices, "other").withColumn("own", own)
-    cell = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.least("own", j) * F.col("s") + F.greatest("own", j))
-    cells = dealt.select("key", F.explode(cell).alias("cell"), "own", "node", "root").join(nodes.select("node", "sig"), "node")
-    rows = cells.select("key", "cell", "own", "node", "root", "sig").repartition("key", "cell").sortWithinPartitions("key", "cell", "own", "node")
-
-    def compare(own: np.ndarray, node: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, half = len(node), int((own == own[0]).sum())
-        # Rows are sorted by slice; in a cell of two slices only pairs across them are compared, the others have their own cells.
-        first = np.arange(n) + 1 if half == n else np.where(np.arange(n) < half, half, n)
-        work = np.cumsum(n - first)
-        start = 0
-        while start < n:
-            stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + AT_ONCE, "right")))
-            w = (n - first)[start:stop]
-            left = np.repeat(np.arange(start, stop), w)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w) + first[left]
-            apart = root[left] != root[right]
-            left, right = left[apart], right[apart]
-            if len(left):
-                keep = surviving(sig[left], sig[right], least)
-                a, b = node[left[keep]], node[right[keep]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            start = stop
+def _celled(kept: dict[str, Callable[[pa.Array], np.ndarray]], compare: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs ``compare`` on every cell, a run of equal first two columns (key, cell); a cell can span batches. ``kept`` has the other columns and how to read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list | None = None
 
-        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list) -> Iterator[pa.RecordBatch]:
             key = rows[0]
             edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                yield from compare(*(x[i:j] for x in rows[1:]))
+                for a, b in compare(*(x[i:j] for x in rows[1:])):
+                    yield pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key, cell, own, node, root = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            sig = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            new = [np.stack((key, cell), 1), own, node, root, sig]
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)], 1)
+            new = [key, *(read(b.column(name)) for name, read in kept.items())]
             rows = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             same = (rows[0] == rows[0][-1]).all(1)
-            cut = len(same) if not same.any() else int(np.argmax(same))  # the last cell may go on in the next batch
+            cut = int(np.argmax(same))  # the last cell may go on in the next batch
             if cut:
                 yield from out([x[:cut] for x in rows])
             held = [x[cut:] for x in rows]
-        if held is not None and len(held[0]):
+        if held is not None:
             yield from out(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return run
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _signed(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _objects(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _survivors(own: np.ndarray, root: np.ndarray, sig: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of the pairs of a cell that lie in different components and aren't dropped, AT_ONCE pairs at a time.
+
+    Rows are sorted by slice; in a cell of two slices only pairs across them are compared, the others have their own cells.
+    """
+    n, half = len(own), int((own == own[0]).sum())
+    first = np.arange(n) + 1 if half == n else np.where(np.arange(n) < half, half, n)
+    work = np.cumsum(n - first)
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + AT_ONCE, "right")))
+        w = (n - first)[start:stop]
+        left = np.repeat(np.arange(start, stop), w)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w) + first[left]
+        apart = root[left] != root[right]
+        left, right = left[apart], right[apart]
+        if len(left):
+            keep = surviving(sig[left], sig[right], least)
+            yield left[keep], right[keep]
+        start = stop
+
+
+def neighbourhoods(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): a forest whose trees hold all pairs that share a bucket, lie in different components (``roots``: node, root) and aren't dropped on the way.
+
+    A bucket's nodes are dealt to slices of about SLICE; any two slices meet in a cell, which sends on a spanning forest
+    of its pairs. Buckets within one component are left out as a whole.
+    """
+    placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    slices = mixed.select(F.bitwise_not("key").alias("other"), F.ceil(F.col("n") / SLICE).cast("int").alias("s"))
+    own = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+    dealt = placed.withColumn("other", F.bitwise_not("key")).join(slices, "other").withColumn("own", own)
+    cell = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.least("own", j) * F.col("s") + F.greatest("own", j))
+    cells = dealt.select("key", F.explode(cell).alias("cell"), "own", "node", "root").join(nodes.select("node", "sig"), "node")
+    rows = cells.select("key", "cell", "own", "node", "root", "sig").repartition("key", "cell").sortWithinPartitions("key", "cell", "own", "node")
+
+    def compare(own: np.ndarray, node: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        tree = np.arange(len(node))
+        for left, right in _survivors(own, root, sig, least):
+            tree = _roots(len(node), np.concatenate((left, np.arange(len(node)))), np.concatenate((right, tree)))
+        off = np.flatnonzero(tree != np.arange(len(node)))
+        if len(off):
+            yield node[off], node[tree[off]]
+
+    kept = {"own": _plain, "node": _plain, "root": _plain, "sig": _signed}
+    return rows.mapInArrow(_celled(kept, compare), "a long, b long").distinct()
+
+
+def joined_within(trees: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): true links that join all of the components (``roots``) which any link joins within one of ``trees`` (node, tree).
+
+    A tree's largest component and its other nodes are dealt to slices of about SLICE of their own. Any two slices meet
+    in a cell but for those of the largest component, so its nodes' sets go out once for each slice of the others.
+    """
+    least = percent / 100
+    placed = saved(trees.join(roots, "node", "left").select("tree", "node", F.coalesce("root", "node").alias("root")))
+    sizes = placed.groupBy("tree", "root").agg(F.count("*").alias("n"))
+    of = sizes.groupBy("tree").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("n"))
+    parts = of.select(F.bitwise_not("tree").alias("other"), F.col("major.root").alias("major"), F.ceil(F.col("major.n") / SLICE).cast("int").alias("p"), F.ceil((F.col("n") - F.col("major.n")) / SLICE).cast("int").alias("q"))
+    dealt = placed.withColumn("other", F.bitwise_not("tree")).join(parts, "other").withColumn("high", F.col("p") + F.col("q"))
+    inside = F.col("root") == F.col("major")
+    own = F.when(inside, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.greatest("q", F.lit(1)))).cast("int")
+    others = F.when(inside, F.sequence("p", F.col("high") - 1)).otherwise(F.sequence(F.lit(0), F.col("high") - 1))
+    cell = F.transform(others, lambda j: F.least("own", j) * F.col("high") + F.greatest("own", j))
+    cells = dealt.where("q > 0").withColumn("own", own).select("tree", F.explode(cell).alias("cell"), "own", "node", "root")
+    rows = cells.join(nodes.select("node", "sig"), "node").join(sets, "node").select("tree", "cell", "own", "node", "root", "sig", "data").repartition("tree", "cell").sortWithinPartitions("tree", "cell", "own", "node")
+
+    def compare(own: np.ndarray, node: np.ndarray, root: np.ndarray, sig: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, group = np.unique(root, return_inverse=True)
+        up = list(range(int(group.max()) + 1))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        found: tuple[list[int], list[int]] = ([], [])
+        arrays = [np.frombuffer(d, np.uint64) for d in data]
+        for left, right in _survivors(own, root, sig, least):
+            for i, j in zip(left.tolist(), right.tolist()):
+                x, y = top(group[i]), top(group[j])
+                if x != y and alike(arrays[i], arrays[j], percent):
+                    up[x] = y
+                    found[0].append(node[i])
+                    found[1].append(node[j])
+        if found[0]:
+            yield np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+    kept = {"own": _plain, "node": _plain, "root": _plain, "sig": _signed, "data": _objects}
+    return rows.mapInArrow(_celled(kept, compare), "a long, b long").distinct()
+
+
+def stars(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b): for every node b of ``shared`` the pivot a that it shares most buckets with. A bucket's pivot is its least node or, with ``roots``, one of its largest component; nodes of the pivot's own component have none."""
+    if roots is None:
+        paired = shared.where("node != pivot").select("node", "pivot")
+    else:
+        size = roots.groupBy("root").agg(F.count("*").alias("size")).select(F.col("root").alias("of"), "size")
+        placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        ranked = placed.join(size, F.col("root") == F.col("of"), "left").select("key", "node", "root", F.coalesce("size", F.lit(1)).alias("size"))
+        chosen = ranked.groupBy("key").agg(F.max(F.struct("size", F.xxhash64("root", "node"), "node", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        to = chosen.select(F.bitwise_not("key").alias("other"), F.col("top.node").alias("pivot"), F.col("top.root").alias("pivot_root"))
+        paired = placed.withColumn("other", F.bitwise_not("key")).join(to, "other").where("root != pivot_root").select("node", "pivot")
+    often = paired.groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    best = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(u, v): links that connect all ``nodes`` (node, first, digest, sig, bands) of a likeness of ``percent`` or more; each is a true link, but within a component not every link is listed."""
     least = percent / 100
-    sets = lambda pairs: full_sets(docs, nodes.select("node", "first", "digest").join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi"), id_col, text_col, shingle)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return full_sets(docs, nodes.select("node", "first", "digest").join(wanted.distinct(), "node", "left_semi"), id_col, text_col, shingle)
+
     shared = stored(shared_buckets(nodes), "minhash-buckets")
-    often = shared.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    best = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best"))
-    stars = saved(plausible(best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b")), nodes, least))
-    links = saved(confirmed(stars, sets(stars), percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = saved(connected_components(links))
-    rest = saved(across(shared, roots, nodes, least).join(stars, ["a", "b"], "left_anti"))
-    more = confirmed(rest, sets(rest), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return saved(links.unionByName(more))
+    links, roots = None, None
+    for _ in range(2):
+        pairs = saved(plausible(stars(shared, roots), nodes, least))
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        new = confirmed(pairs, sets(ends), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = saved(new if links is None else links.unionByName(new))
+        roots = saved(connected_components(links))
+    forest = neighbourhoods(shared, roots, nodes, least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    trees = saved(connected_components(forest).withColumnRenamed("root", "tree"))
+    more = joined_within(trees, roots, nodes, sets(trees.select("node")), percent)
+    return saved(links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
