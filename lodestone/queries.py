@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
-from lodestone.operators import clustering, graph, hashing, hybrid, routing, state
+from lodestone.operators import clustering, graph, hashing, hybrid, routing, scan, state
 from lodestone.operators.exact import knn, knn_one, recall_at_k, recall_summary, top_k
 from lodestone.operators.lists import ListIndex, probed
 from lodestone.operators.postings import PostingsIndex, doc_terms
@@ -534,8 +534,21 @@ def modal_sql(weights) -> str:
     return f"SELECT query_id, id, round((CASE WHEN {dense} THEN {weights[0]}::DOUBLE * list_distance(qv, vector) ELSE 0 END + CASE WHEN {audio} THEN {weights[2]}::DOUBLE * list_distance(list_slice(qv, 1, 8), list_slice(vector, 1, 8)) ELSE 0 END) / (CASE WHEN {dense} THEN {weights[0]}::DOUBLE ELSE 0 END + CASE WHEN {audio} THEN {weights[2]}::DOUBLE ELSE 0 END), 12) AS distance FROM (SELECT query_id, query_id AS qi, qv, id, vector FROM q, v) WHERE {dense} OR {audio}"
 
 
-for _name, _w in (("multimodal_distance", hybrid.MODAL_WEIGHTS), ("multimodal_distance_w", (0.8, 0.2, 0.1)), ("armi_search", hybrid.MODAL_WEIGHTS)):
-    query(_name, VQ + " " + ranked_sql(modal_sql(_w)))(lambda spark, sf, w=_w: rounded(hybrid.multimodal_search(m := modal(vectors(spark, sf)), m.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), K, w)))
+for _name, _w in (("multimodal_distance", hybrid.MODAL_WEIGHTS), ("multimodal_distance_w", (0.8, 0.2, 0.1))):
+    query(_name, VQ + " " + ranked_sql(modal_sql(_w)))(lambda spark, sf, w=_w: rounded(scan.multimodal_scan(m := modal(vectors(spark, sf)), m.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), K, w)))
+
+IN_BOTH = {"dense": "(query_id % 3 <> 0 AND id % 3 <> 0)", "sparse": "(query_id % 4 <> 0 AND id % 4 <> 0 AND query_id IN (SELECT id FROM t) AND id IN (SELECT id FROM t))", "audio": "(query_id % 2 = 0 AND id % 2 = 0)"}
+MODAL_SQL = {"dense": "list_distance(qv, vector)", "sparse": "(1 - least(1.0, greatest(-1.0, coalesce(cosine, 0.0))))", "audio": "list_distance(list_slice(qv, 1, 8), list_slice(vector, 1, 8))"}
+_summed = lambda x: " + ".join(f"CASE WHEN {IN_BOTH[m]} THEN {w}::DOUBLE{x(m)} ELSE 0 END" for m, w in zip(MODAL_SQL, hybrid.MODAL_WEIGHTS))
+
+
+@query("armi_search", f"{VQ}, {TERMS} " + ranked_sql(f"SELECT query_id, id, round(({_summed(lambda m: ' * ' + MODAL_SQL[m])}) / ({_summed(lambda m: '')}), 12) AS distance FROM (SELECT q.query_id, v.id, qv, vector, cosine FROM q CROSS JOIN v LEFT JOIN cosines c ON c.query_id = q.query_id AND c.id = v.id) WHERE {' OR '.join(IN_BOTH.values())}"))
+def armi_search(spark, sf):
+    """All three modalities, each absent from some rows; the sparse part is the words of the document with the vector's id."""
+    words = doc_terms(spark.read.parquet(f"{sf}/documents.parquet")).where("id % 4 <> 0 and size(terms) > 0").select("id", F.map_from_arrays("terms", "weights").alias("words"))
+    m = modal(vectors(spark, sf)).join(words, "id", "left").withColumn("sparse", F.col("words")).drop("words")
+    return rounded(scan.multimodal_scan(m, m.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), K, hybrid.MODAL_WEIGHTS))
+
 
 AUDIO = "audio AS (SELECT query_id, id, distance FROM (SELECT query_id, id, list_distance(list_slice(qv, 1, 8), list_slice(vector, 1, 8)) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(list_slice(qv, 1, 8), list_slice(vector, 1, 8)), id) AS place FROM q, v) WHERE place <= 20)"
 DENSE20 = FOUND.replace("<= 10", "<= 20").replace("found AS", "dense AS")
@@ -550,7 +563,11 @@ def multimodal_candidates(spark, sf):
 
 
 MEAN = "mu AS (SELECT list(x ORDER BY pos) AS mean FROM (SELECT pos, avg(x) AS x FROM (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM v) GROUP BY pos)), span AS (SELECT min(list_distance(vector, mean)) AS low, max(list_distance(vector, mean)) AS high FROM v, mu)"
-query("lim_search", f"{VQ}, {MEAN} " + ranked_sql(f"SELECT query_id, id, round(0.7 * {MINMAX.format(x='list_distance(qv, vector)', l='low', h='high')} + (1 - 0.7) * (1 - exp(-abs(id * 3600) * 0.00001)), 12) AS distance FROM q, v, span"))(lambda spark, sf: rounded(hybrid.lim_search(timed(v := vectors(spark, sf)), asked(v), K, NOW, rate=0.00001)))
+query("lim_search", f"{VQ}, {MEAN} " + ranked_sql(f"SELECT query_id, id, round(0.7 * {MINMAX.format(x='list_distance(qv, vector)', l='low', h='high')} + (1 - 0.7) * (1 - exp(-abs(id * 3600) * 0.00001)), 12) AS distance FROM q, v, span"))(lambda spark, sf: rounded(scan.lim_scan(timed(v := vectors(spark, sf)), asked(v), K, NOW, rate=0.00001)))
+LIM = lambda d, age: f"round(0.7 * {MINMAX.format(x=d, l='low', h='high')} + (1 - 0.7) * (1 - exp(-abs({age}) * 0.00001)), 12)"
+SPACE_TIME = f"{MEAN}, tc AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cluster_id, vector AS centroid, {NOW} - id * 3600 AS born FROM v ORDER BY id LIMIT 50), member AS (SELECT id, vector, cluster_id FROM (SELECT v.id, vector, cluster_id, row_number() OVER (PARTITION BY v.id ORDER BY {LIM('list_distance(vector, centroid)', f'{NOW} - v.id * 3600 - born')}, cluster_id) AS place FROM v, tc, span) WHERE place = 1), near AS (SELECT query_id, qv, cluster_id FROM (SELECT query_id, qv, cluster_id, row_number() OVER (PARTITION BY query_id ORDER BY {LIM('list_distance(qv, centroid)', f'{NOW} - born')}, cluster_id) AS place FROM q, tc, span) WHERE place <= 5)"
+query("lim_clustered_search", f"{VQ}, {SPACE_TIME} " + ranked_sql(f"SELECT query_id, id, {LIM('list_distance(qv, vector)', 'id * 3600')} AS distance FROM near JOIN member USING (cluster_id), span"))(
+    lambda spark, sf: rounded(scan.SpaceTimeClusters(timed(v := vectors(spark, sf)), iterations=0, rate=0.00001).search(asked(v), K, NOW)))
 query("apex_search", f"{VQ}, {FOUND} " + ranked_sql("SELECT query_id, id, round(distance * (2 - exp(-0.1 * (id * 3600) / 86400.0)), 12) AS distance FROM found"))(lambda spark, sf: rounded(hybrid.decayed(knn(v := vectors(spark, sf), asked(v), K), timed(v), NOW)))
 query("combine_strategies", f"{VQ}, {FOUND}, {AUDIO} SELECT query_id, id, round(sum(wd) / count(*), 6) AS score FROM (SELECT query_id, id, distance * 0.5::DOUBLE AS wd FROM found UNION ALL SELECT query_id, id, distance * 0.3::DOUBLE FROM audio) GROUP BY ALL")(
     lambda spark, sf: rounded(hybrid.combine([(knn(v := vectors(spark, sf), asked(v), 10), 0.5), (knn(s := v.withColumn("vector", F.slice("vector", 1, 8)), asked(s), 20), 0.3)]), "score"))
