@@ -268,14 +268,24 @@ class Router:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def step(self, x: np.ndarray, y: np.ndarray, rate: float = 0.001) -> None:
-        """One step of gradient descent on the cross-entropy of vectors ``x`` and their clusters ``y``."""
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The gradient of the cross-entropy of vectors ``x`` and their clusters ``y``, summed over them, all weights in a row."""
         h = np.maximum(x @ self.w1 + self.b1, 0)
         g = self.predict(x)
         g[np.arange(len(y)), y] -= 1
         back = (g @ self.w2.T) * (h > 0)
-        for p, grad in ((self.w2, h.T @ g), (self.b2, g.sum(0)), (self.w1, x.T @ back), (self.b1, back.sum(0))):
-            p -= rate * grad
+        return np.concatenate([grad.ravel() for grad in (x.T @ back, back.sum(0), h.T @ g, g.sum(0))])
+
+    def move(self, gradient: np.ndarray, rate: float = 0.001) -> None:
+        """One step down a ``gradient``."""
+        at = 0
+        for p in (self.w1, self.b1, self.w2, self.b2):
+            p -= rate * gradient[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float = 0.001) -> None:
+        """One step of gradient descent on vectors ``x`` and their clusters ``y``."""
+        self.move(self.gradient(x, y), rate)
 
     def fit(self, assigned: DataFrame, epochs: int = 5, sample: int = 20_000, rate: float = 0.001, batch: int = 32) -> Router:
         """Trains on ``assigned`` (id, vector, cluster_id): at most ``sample`` rows, spread over all ids by a hash of the id."""

@@ -202,12 +202,13 @@ class ListIndex:
         return self.rows().groupBy("cluster_id").agg(F.count("*").alias("n"))
 
     def compact(self, retrain: bool = False, iterations: int = 20) -> ListIndex:
-        """The next version, with all changes worked into a new base; ``retrain`` also moves the centroids to what is there now."""
+        """The next version, with all changes worked into a new base; ``retrain`` also trains as many centroids anew over what is there now."""
         number = self.version + 1
         live, new = self.rows().select("id", "vector"), replace(self, version=number, base=f"base-{number}", segments=())
         if retrain:
             live = saved(live)
-            moved = kmeans(live, self.centroids, iterations, self.metric, unit_length=self.metric is Metric.COSINE)
+            n = len(self.centroids)
+            moved = graph_kmeans(live, n, iterations, self.metric, self.beam) if self.beam else kmeans(live, plus_plus(live, n), iterations, self.metric, unit_length=self.metric is Metric.COSINE)
             new = replace(new, centroids=moved, named=f"centroids-{number}")
             as_table(self.spark, moved).write.mode("overwrite").parquet(f"{self.path}/{new.named}")
         new._put(live, new.base)
