@@ -83,11 +83,21 @@ def zenith_params(dim: int, k: int) -> dict[str, float]:
     return {"m": m, "ef_construction": 16 * m, "ml": 1 / math.log(m), "ef": min(max(10 * k, 6 * m), 800)}
 
 
-def edge_prune(edges: DataFrame, most: float = 0.5, degree: int = 32) -> DataFrame:
-    """Edges (src, dst, distance) whose distance, by the largest (at least 1), is within ``most``; the nearest ``degree`` of each."""
-    largest = edges.agg(F.greatest(F.max("distance"), F.lit(1.0)).alias("largest"))
-    near = edges.join(F.broadcast(largest)).where(F.col("distance") / F.col("largest") <= most).drop("largest")
-    return top_k(near, degree, partition="src", tie="dst").drop("rank")
+def edge_prune(edges: DataFrame, most: float = 0.5, degree: int = 32, strategy: str = "combined") -> DataFrame:
+    """Edges (src, dst, distance) that a strategy keeps. Distances count by the largest, at least 1.
+
+    ``distance``: those within ``most``; ``degree``: the nearest ``degree`` of each vector; ``combined``: both;
+    ``importance``: the most important ``degree`` of each, importance being 1 / (distance + 0.001), as far as it is above that of ``most``.
+    """
+    if strategy not in ("distance", "degree", "combined", "importance"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    near = edges
+    if strategy != "degree":
+        largest = edges.agg(F.greatest(F.max("distance"), F.lit(1.0)).alias("largest"))
+        scaled = F.col("distance") / F.col("largest")
+        kept = 1 / (scaled + 0.001) > F.lit(1 / (most + 0.001)) if strategy == "importance" else scaled <= most
+        near = edges.join(F.broadcast(largest)).where(kept).drop("largest")  # one row
+    return near if strategy == "distance" else top_k(near, degree, partition="src", tie="dst").drop("rank")
 
 
 def expand(found: DataFrame, edges: DataFrame, now: int, half: float = 86400.0) -> DataFrame:

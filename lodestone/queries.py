@@ -357,6 +357,8 @@ query("nexus_graph", f"{VQ}, {GRAPH}, {ENTROPY}, kept AS (SELECT src, dst FROM e
 NEXUS_SHARE = 0.8  # of all vectors, after 16 dimensions; 32 would need as many
 query("nexus_rerank", f"{VQ}, near AS (SELECT query_id, id, qv, vector FROM (SELECT query_id, id, qv, vector, row_number() OVER (PARTITION BY query_id ORDER BY list_distance({project_sql(PROJECTION, 'qv')}, {project_sql(PROJECTION)}), id) AS place FROM q, v) WHERE place <= greatest({2 * K}, ceil({NEXUS_SHARE} * (SELECT count(*) FROM v)))) " + ranked_sql("SELECT query_id, id, list_distance(qv, vector) AS distance FROM near"))(lambda spark, sf: rounded(graph.nexus_rerank(v := vectors(spark, sf), asked(v), PROJECTION, K, share=NEXUS_SHARE)))
 query("edge_prune", f"{VQ}, {GRAPH} SELECT src, dst, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS place FROM e WHERE distance / (SELECT greatest(max(distance), 1.0) FROM e) <= 0.9) WHERE place <= 4")(lambda spark, sf: rounded(graph.edge_prune(graph.knn_graph(vectors(spark, sf), GRAPH_K), 0.9, 4)))
+query("edge_prune_importance", f"{VQ}, {GRAPH} SELECT src, dst, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS place FROM e WHERE 1 / (distance / (SELECT greatest(max(distance), 1.0) FROM e) + 0.001) > 1 / (0.9::DOUBLE + 0.001)) WHERE place <= 4")(lambda spark, sf: rounded(graph.edge_prune(graph.knn_graph(vectors(spark, sf), GRAPH_K).drop("rank"), 0.9, 4, "importance")))
+query("edge_prune_distance", f"{VQ}, {GRAPH} SELECT src, dst, round(distance, 6) AS distance FROM e WHERE distance / (SELECT greatest(max(distance), 1.0) FROM e) <= 0.9")(lambda spark, sf: rounded(graph.edge_prune(graph.knn_graph(vectors(spark, sf), GRAPH_K).drop("rank"), 0.9, 4, "distance")))
 query("rng_prune")(lambda spark, sf: rounded(graph.rng_prune(graph.knn_graph(v := vectors(spark, sf), GRAPH_K), v, 5)))
 EDGES = f"ts_e AS (SELECT src, dst, distance, {NOW} - src * 3600 AS ts FROM e WHERE rank <= 2)"
 

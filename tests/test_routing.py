@@ -72,3 +72,8 @@ def test_only_modalities_that_a_query_has_are_weighed(spark):
 @pytest.mark.parametrize("name", ["vortex_search", "sparse_route", "fused_route", "atlas_search", "apex_routed_search", "ensemble_learned_route", "atlas_hybrid"])
 def test_matches_sql(spark, sf_dir, name):
     assert difference(Q.QUERIES[name](spark, sf_dir), connect(sf_dir), Q.ORACLE_SQL[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["edge_prune", "edge_prune_importance", "edge_prune_distance"])
+def test_edge_strategies_match_sql(spark, sf_dir, name):
+    assert difference(Q.QUERIES[name](spark, sf_dir), connect(sf_dir), Q.ORACLE_SQL[name]) == ""
