@@ -7,8 +7,7 @@ matches among n, a uniform prior gives the posterior probability that the likene
 probability falls below MISS is dropped. What survives is verified on the full sets.
 
 Buckets are never paired out. First every node is compared with one other only, the pivot that it shares most buckets
-with, in two rounds; the links found this way are contracted, which leaves a group of many near copies with few
-components. Then nodes of different components within a bucket are compared by signature, in cells of bounded size, and
+with; the links found this way are contracted, which leaves a group of near copies with fewer components. Then nodes of different components within a bucket are compared by signature, in cells of bounded size, and
 only a spanning forest of what survives goes on: its trees are the neighbourhoods outside of which no link is left. In
 cells of a neighbourhood the full sets meet, and every surviving pair whose components aren't joined yet is verified.
 """
@@ -356,18 +355,9 @@ def joined_within(trees: DataFrame, roots: DataFrame, nodes: DataFrame, sets: Da
     return rows.mapInArrow(_celled(kept, compare), "a long, b long").distinct()
 
 
-def stars(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(a, b): for every node b of ``shared`` the pivot a that it shares most buckets with. A bucket's pivot is its least node or, with ``roots``, one of its largest component; nodes of the pivot's own component have none."""
-    if roots is None:
-        paired = shared.where("node != pivot").select("node", "pivot")
-    else:
-        size = roots.groupBy("root").agg(F.count("*").alias("size")).select(F.col("root").alias("of"), "size")
-        placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        ranked = placed.join(size, F.col("root") == F.col("of"), "left").select("key", "node", "root", F.coalesce("size", F.lit(1)).alias("size"))
-        chosen = ranked.groupBy("key").agg(F.max(F.struct("size", F.xxhash64("root", "node"), "node", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        to = chosen.select(F.bitwise_not("key").alias("other"), F.col("top.node").alias("pivot"), F.col("top.root").alias("pivot_root"))
-        paired = placed.withColumn("other", F.bitwise_not("key")).join(to, "other").where("root != pivot_root").select("node", "pivot")
-    often = paired.groupBy("node", "pivot").agg(F.count("*").alias("n"))
+def stars(shared: DataFrame) -> DataFrame:
+    """(a, b): for every node b of ``shared`` the pivot a that it shares most buckets with, other than itself."""
+    often = shared.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
     best = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best"))
     return best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
 
@@ -375,21 +365,15 @@ def stars(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(u, v): links that connect all ``nodes`` (node, first, digest, sig, bands) of a likeness of ``percent`` or more; each is a true link, but within a component not every link is listed."""
     least = percent / 100
-
-    def sets(wanted: DataFrame) -> DataFrame:
-        return full_sets(docs, nodes.select("node", "first", "digest").join(wanted.distinct(), "node", "left_semi"), id_col, text_col, shingle)
-
     shared = stored(shared_buckets(nodes), "minhash-buckets")
-    links, roots = None, None
-    for _ in range(2):
-        pairs = saved(plausible(stars(shared, roots), nodes, least))
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        new = confirmed(pairs, sets(ends), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = saved(new if links is None else links.unionByName(new))
-        roots = saved(connected_components(links))
+    # Texts are gone through once more, for the nodes that share a bucket with another, whose sets are kept.
+    sets = stored(full_sets(docs, nodes.select("node", "first", "digest").join(shared.select("node").distinct(), "node", "left_semi"), id_col, text_col, shingle), "minhash-sets")
+    pairs = plausible(stars(shared), nodes, least)
+    links = saved(confirmed(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = saved(connected_components(links))
     forest = neighbourhoods(shared, roots, nodes, least).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    trees = saved(connected_components(forest).withColumnRenamed("root", "tree"))
-    more = joined_within(trees, roots, nodes, sets(trees.select("node")), percent)
+    trees = connected_components(forest).withColumnRenamed("root", "tree")
+    more = joined_within(trees, roots, nodes, sets, percent)
     return saved(links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
