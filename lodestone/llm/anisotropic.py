@@ -3,7 +3,8 @@
 A vector is cut into parts of two dimensions, each coded by one of 16 centres. Centres and codes minimise
 |r|^2 + (weight - 1) (r . x / |x|)^2 of the residual r: the error along the vector itself, which moves the score of the
 queries that matter, costs ``weight`` times as much as that across it. Every query makes tables of its products with the
-centres; a scan sums table entries by the codes, and the best by these sums are scored again exactly.
+centres; a scan sums table entries by the codes, and the best by these sums are scored again exactly. A vector's score can
+differ from its sum by no more than |q| |r|: whatever could still be among the best by that bound is scored exactly too.
 """
 
 from __future__ import annotations
@@ -53,6 +54,13 @@ class Quantiser:
                 total = rest + along[rows, p, code[:, p]]
         return code.astype(np.uint8)
 
+    def slack(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """How far, for each unit of a query's length, the sum of table entries can be from the product with each of ``x`` (divided by scale): the residual's length, and the rounding of the tables and sums."""
+        with np.errstate(over="ignore"):
+            coded = self.centres[np.arange(len(self.centres)), code]
+            rest = np.linalg.norm((self._parts(x) - coded).reshape(len(x), -1), axis=1)
+            return rest * (1 + 1e-9) + 1e-5 * np.linalg.norm(coded.reshape(len(x), -1), axis=1) + 1e-30
+
     def _parts(self, x: np.ndarray) -> np.ndarray:
         width = self.centres.shape[0] * SUB
         return np.pad(x, ((0, 0), (0, width - x.shape[1]))).reshape(len(x), -1, SUB)
@@ -139,8 +147,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     other's too, and as queries each has a ranking of its own. An empty table gives an empty result.
 
     Each class is coded once. Classes and queries meet in a grid of blocks of fixed size: every query is scanned against
-    the codes of all classes, the best ``rerank`` * k + 1 or ``share`` of a slice are scored exactly, and the best k + 1
-    of these go on, as numbers alone. What is shuffled is each vector once for each block of queries, in the table's type.
+    the codes of all classes, the best ``rerank`` * k + 1 or ``share`` of a slice are scored exactly, then all others whose
+    sum and slack reach the score of the (k + 1)-th of these, and the best k + 1 go on, as numbers alone: the result is
+    exact. What is shuffled is each vector once for each block of queries, in the table's type.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -159,8 +168,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = packed(quantiser.encode(quantiser.scaled(_matrix(b.column(1)))))
-                yield pa.record_batch([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["key", "v", "least", "code"])
+                x = _matrix(b.column(1))
+                codes = quantiser.encode(quantiser.scaled(x))
+                yield pa.record_batch([*b.columns, pa.array([c.tobytes() for c in packed(codes)], pa.binary()), pa.array(quantiser.slack(x / quantiser.scale, codes))], ["key", "v", "least", "code", "slack"])
 
     n_queries = queries.count()
     n_slices = max(1, -(-classes.count() // SLICE))
@@ -168,8 +178,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     n_blocks = max(1, -(-n_queries // BLOCK), min(-(-n_queries // 64), min(64, spark.sparkContext.defaultParallelism) // n_slices))
     cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    coded = classes.select("key", "v", F.element_at("ids", 1).alias("least")).mapInArrow(code, f"key long, v {kind}, least long, code binary")
-    left = coded.select(cut("key", n_slices).alias("slice"), every(n_blocks).alias("block"), "key", "v", "least", "code")
+    coded = classes.select("key", "v", F.element_at("ids", 1).alias("least")).mapInArrow(code, f"key long, v {kind}, least long, code binary, slack double")
+    left = coded.select(cut("key", n_slices).alias("slice"), every(n_blocks).alias("block"), "key", "v", "least", "code", "slack")
     right = queries.select(cut("asked", n_blocks).alias("block"), every(n_slices).alias("slice"), "asked", "q")
 
     def scan(cand: pa.Table, query: pa.Table) -> pa.Table:
@@ -178,17 +188,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             codes = np.frombuffer(b"".join(cand.column("code").to_pylist()), np.uint8).reshape(cand.num_rows, -1)
             key, least, asked = (t.column(c).to_numpy() for t, c in ((cand, "key"), (cand, "least"), (query, "asked")))
             x, q = _matrix(cand.column("v")), _matrix(query.column("q"))
+            slack = cand.column("slack").to_numpy()
             most = min(len(x), max(rerank * k + 1, ceil(share * len(x))))
             for at in range(0, len(q), 32):
                 mine = q[at : at + 32]
                 near = np.ascontiguousarray(table_scan(quantiser.tables(mine), codes).T)
                 best = np.argpartition(-near, most - 1, 1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(near), 1))
                 exact = np.einsum("qmd,qd->qm", x[best], mine)
-                order = np.lexsort((least[best], -exact), axis=1)[:, : k + 1]
-                got = np.take_along_axis(best, order, 1).ravel()
-                own = (x[got] == np.repeat(mine, order.shape[1], 0)).all(1)  # the class of the query's own vector
-                for o, c in zip(out, (np.repeat(asked[at : at + 32], order.shape[1]), key[got], least[got], np.take_along_axis(exact, order, 1).ravel(), own)):
-                    o.append(c)
+                for r, v in enumerate(mine):
+                    few, score, largest = best[r], exact[r], np.abs(v).max()
+                    if most < len(x):
+                        floor = np.partition(score, -k - 1)[-k - 1] / largest / quantiser.scale
+                        can = near[r] + np.linalg.norm(v / largest) * slack >= floor - 1e-9 * abs(floor) if np.isfinite(floor) else np.ones(len(x), bool)
+                        can[few] = False
+                        more = np.flatnonzero(can)
+                        few, score = np.concatenate((few, more)), np.concatenate((score, np.einsum("md,d->m", x[more], v)))
+                        few, score = (z[score >= np.partition(score, -k - 1)[-k - 1]] for z in (few, score))
+                    order = np.lexsort((least[few], -score))[: k + 1]
+                    got = few[order]
+                    own = (x[got] == v).all(1)  # the class of the query's own vector
+                    for o, c in zip(out, (np.repeat(asked[at + r], len(got)), key[got], least[got], score[order], own)):
+                        o.append(c)
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("asked", "key", "least", "score", "own"), cols, (np.int64, np.int64, np.int64, np.float64, bool))})
 

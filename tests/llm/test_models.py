@@ -183,3 +183,18 @@ def test_queries_whose_id_repeats_get_all_their_neighbours(spark):
         s = x @ x[q]
         want += [(n, ids[i], round(s[i], 9)) for n, i in enumerate(sorted((i for i in range(259) if i != q), key=lambda i: (-s[i], ids[i]))[:20], 1)]
     assert sorted(found[0]) == sorted(want) and len(want) == 1200
+
+
+def test_search_finds_all_of_the_nearest_in_groups_and_among_unequal_lengths(spark):
+    rng = np.random.default_rng(1)
+    groups = rng.normal(size=(4, 16))[rng.integers(0, 4, 2400)] + 0.03 * rng.normal(size=(2400, 16))
+    lengths = rng.normal(size=(2400, 16)) * np.exp(1.5 * rng.normal(size=(2400, 1)))
+    for x in (groups, lengths):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in anisotropic.search(df, F.col("vec_id") % 60 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        for q in range(0, 2400, 60):
+            s = np.einsum("nd,d->n", x, x[q])
+            s[q] = -np.inf
+            assert got[q] == np.lexsort((np.arange(2400), -s))[:20].tolist()
