@@ -98,3 +98,18 @@ def test_empty_tables(spark, corpus, tmp_path):
 @pytest.mark.parametrize("name", ["hybrid_search", "sparse_search", "postings_changes"])
 def test_matches_sql(spark, sf_dir, name):
     assert difference(Q.QUERIES[name](spark, sf_dir), connect(sf_dir), Q.ORACLE_SQL[name]) == ""
+
+
+def test_products_of_all_that_share_a_word_need_no_shuffle(spark, corpus, monkeypatch):
+    docs, _, asked, _ = corpus
+    monkeypatch.setattr(postings, "MET", 300)
+    monkeypatch.setattr(exact, "BROADCAST_CELLS", 40)  # several blocks of queries
+    mixed = asked.withColumn("qweight", F.when(F.col("term") == "w3", 0.0).otherwise(F.col("qweight")))
+    for of in (asked, mixed):
+        got = postings.products(doc_terms(docs, named=False), of)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = hybrid.sparse_products(hybrid.term_weights(docs), of)
+        assert sorted(map(str, got.select("query_id", "id", "dot").collect())) == sorted(map(str, want.collect()))
+    again = docs.where("doc_id < 9").unionByName(docs.where("doc_id < 9").selectExpr("doc_id", "concat('rare ', text) AS text"))
+    split = lambda df: sorted((r.id, *p) for r in df.collect() for p in zip(r.terms, r.weights))
+    assert split(doc_terms(postings.merged_texts(again))) == sorted(map(tuple, hybrid.term_weights(again).collect()))
