@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Metric
 from lodestone.operators.exact import EmptyIndexError, _distances, _exact, _matrix, knn, top_k
+from lodestone.operators.shortlist import rounded_distances, shortlisted
 from lodestone.plans.storage import saved, ship
 
 Centroids = list[list[float]]
+PAIRS = 500_000  # pairs that a task holds at once, about
 
 
 def first_rows(data: DataFrame, k: int) -> Centroids:
@@ -206,17 +208,38 @@ def pq_search(codes: DataFrame, queries: DataFrame, books: list[Centroids], k: i
     return knn(pq_decode(codes, books), queries, k)
 
 
-def pq_distances(codes: DataFrame, queries: DataFrame, books: list[Centroids], most: int = 1000) -> DataFrame:
-    """(query_id, id, distance): squared asymmetric distances of all pairs, from a table for each of a few queries (``most``, beyond which it raises)."""
-    from lodestone.functions.vectors import l2, literal, total
+def pq_distances(codes: DataFrame, queries: DataFrame, books: list[Centroids]) -> DataFrame:
+    """(query_id, id, distance): squared asymmetric distances of all pairs, from tables of each query's distances to the words.
 
-    if queries.count() > most:
-        raise ValueError(f"all pairs are for at most {most} queries; pq_search ranks any number")
-    width = len(books[0][0])
-    tables = F.array(*[F.array(*[F.pow(l2(F.slice("vector", s * width + 1, width), literal(w)), F.lit(2.0)) for w in book]) for s, book in enumerate(books)])
-    asked = queries.select("query_id", tables.alias("tables"))
-    adc = total(F.zip_with("tables", "codes", lambda t, c: F.element_at(t, c.cast("int") + 1)))
-    return codes.join(F.broadcast(asked)).select("query_id", "id", adc.alias("distance"))
+    Every task goes through its codes with a block of the queries at hand and gives out a few codes' distances at a time.
+    """
+    from lodestone.operators.postings import _dealt
+
+    ship(codes.sparkSession)
+    words = [np.array(b) for b in books]
+    asked = saved(queries.where("query_id is not null and vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")))
+    found = None
+    for table in _dealt(asked, asked.select("query_id", F.lit(sum(map(len, words))).alias("n"))):  # a query's table is what it takes
+        shared = codes.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q_id = shared.value.column(0).to_numpy()
+            if not len(q_id):
+                return
+            tables = [((p[None] - w[:, None]) ** 2).sum(-1) for p, w in zip(np.split(_matrix(shared.value.column(1)), len(words), 1), words)]  # words x queries
+            step = max(1, PAIRS // len(q_id))
+            for b in batches:
+                ids, code = b.column(0), _matrix(b.column(1)).astype(int) if b.num_rows else None
+                for at in range(0, b.num_rows, step):
+                    c = code[at : at + step]
+                    d = np.zeros((len(c), len(q_id)))
+                    for s, t in enumerate(tables):
+                        d += t[c[:, s]]
+                    yield pa.record_batch([pa.array(np.tile(q_id, len(c))), ids.take(pa.array(np.repeat(np.arange(at, at + len(c)), len(q_id)))), pa.array(d.ravel())], ["query_id", "id", "distance"])
+
+        one = codes.select("id", "codes").mapInArrow(run, "query_id long, id long, distance double")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def pq_decode(codes: DataFrame, books: list[Centroids]) -> DataFrame:
