@@ -259,13 +259,19 @@ def pq_decode(codes: DataFrame, books: list[Centroids]) -> DataFrame:
 
 def pq_rerank(data: DataFrame, queries: DataFrame, k: int, m: int = 8, words: int = 256, iterations: int = 20, least: int = 300, share: float = 0.03, books: list[Centroids] | None = None) -> DataFrame:
     """(query_id, rank, id, distance): a shortlist by codes, ranked exactly. It holds ``share`` of all vectors, and at least ``least``. Without ``books``, they are trained here."""
-    from lodestone.functions.vectors import l2
-
     books = books or pq_train(data, m, words, iterations)
     most = max(least, k, ceil(share * data.count()))
-    near = knn(pq_decode(pq_encode(data, books), books), queries, most).select("query_id", "id")
-    met = near.join(data.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
-    return top_k(met.select("query_id", "id", l2(F.col("qv"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "id", "distance")
+    c = [np.array(b) for b in books]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                parts = np.split(_matrix(b.column(1)), len(c), 1)
+                words = np.concatenate([w[((p[:, None] - w) ** 2).sum(-1).argmin(1)] for p, w in zip(parts, c)], 1)
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(list(words), pa.list_(pa.float64()))], ["id", "vector", "small"])
+
+    rows = data.where("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(coded, "id long, vector array<double>, small array<double>")
+    return shortlisted(rows, queries.withColumn("small", F.col("vector")), k, most, rounded_distances)
 
 
 # --- learned routing ------------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators.descent import descended
 from lodestone.operators.exact import knn, top_k
+from lodestone.operators.shortlist import rounded_distances, shortlisted
 from lodestone.plans.storage import saved, ship
 from lodestone.sources.vectors import load_index, save_index, unit_column
 
@@ -50,11 +51,9 @@ def adaptive_graph(edges: DataFrame, base: int = 16) -> DataFrame:
 
 def nexus_rerank(data: DataFrame, queries: DataFrame, projection: Sequence[Sequence[float]], k: int, ratio: float = 2.0, metric: Metric = Metric.EUCLIDEAN, share: float = 0.0) -> DataFrame:
     """The best max(ratio * k, k) by projected distance, or ``share`` of all vectors if that is more, ranked exactly."""
-    small = lambda df: df.withColumn("vector", V.project(F.col("vector"), projection))
+    small = lambda df: df.withColumn("small", V.project(F.col("vector"), projection))
     most = max(int(ratio * k), k, math.ceil(share * data.count()) if share else 0)
-    near = knn(small(data), small(queries), most).select("query_id", "id")
-    met = near.join(data.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
-    return top_k(met.select("query_id", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "id", "distance")
+    return shortlisted(small(data), small(queries), k, most, rounded_distances, metric)
 
 
 def rng_prune(edges: DataFrame, data: DataFrame, m: int, factor: float = 0.95, share: float = 0.6) -> DataFrame:

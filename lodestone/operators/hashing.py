@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators.clustering import bucket_search
 from lodestone.operators.exact import top_k
+from lodestone.operators.shortlist import shortlisted
+from lodestone.plans.storage import saved
 
 Planes = Sequence[Sequence[float]]
 
@@ -60,14 +63,26 @@ def seer_search(data: DataFrame, queries: DataFrame, planes: Planes, weights: Se
 
     Buckets are the first ``n_probes`` in probe order, or those of ``seer_probes`` if that is None.
     """
-    asked = seer_probes(data, queries, planes, least) if n_probes is None else probes(queries, planes, n_probes)
-    own = asked.select("query_id", "qv", "bucket", V.project(F.col("qv"), planes).alias("pq"))  # once for each row, not for each pair
-    met = own.join(bucketed(data, planes).select("bucket", "id", "vector", V.project(F.col("vector"), planes).alias("pv")), "bucket")
-    score = V.locality(F.col("pq"), F.col("pv"), weights)
-    each = Window.partitionBy("query_id")
-    scored = met.withColumn("score", F.round(score, 12)).withColumn("n", F.count("*").over(each)).withColumn("place", F.row_number().over(each.orderBy(F.col("score").desc(), "id")))
-    kept = scored.where(F.col("place") <= F.greatest(F.floor(F.col("n") * share), F.lit(least), F.lit(k)))
-    return top_k(kept.select("query_id", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "id", "distance")
+    marked = lambda df: df.withColumns({"pv": V.project(F.col("vector"), planes), "bucket": V.bucket(F.col("vector"), planes)})
+    probed = (seer_probes(data, queries, planes, least) if n_probes is None else probes(queries, planes, n_probes)).select("query_id", "bucket")
+    sizes = bucketed(data, planes).groupBy("bucket").agg(F.count("*").alias("size"))
+    n = probed.join(sizes, "bucket").groupBy("query_id").agg(F.sum("size").alias("n"))
+    several = probed.groupBy("query_id").agg(F.count("*").alias("probed"))
+    masks = [V.probe_masks(len(planes), len(planes) + 1 if n_probes is None else n_probes), [0]]
+    allowed = np.array([np.isin(np.arange(1 << len(planes)), m) for m in masks])
+    w = np.array(weights)
+
+    def rough(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        score = np.zeros((len(q), len(x)))
+        for i, weight in enumerate(w):
+            score += weight * np.exp(-np.abs(q[:, i][:, None] - x[:, i][None]))
+        met = allowed[q[:, -1].astype(int)[:, None], q[:, -2].astype(int)[:, None] ^ x[:, -1].astype(int)[None]]
+        return np.where(met, -np.round(score, 12), np.inf)
+
+    alone = (F.col("probed") == 1).cast("double")
+    asked = marked(queries).join(n, "query_id").join(several, "query_id").withColumns({"small": F.concat("pv", F.array(F.col("bucket").cast("double"), alone)), "most": F.greatest(F.floor(F.col("n") * share), F.lit(least), F.lit(k))})
+    rows = marked(data).withColumn("small", F.concat("pv", F.array(F.col("bucket").cast("double"))))
+    return shortlisted(rows, asked, k, None, rough, metric)
 
 
 def train_weights(pairs: DataFrame, planes: Planes) -> list[float]:
