@@ -198,11 +198,11 @@ class GraphIndex:
 
 
 def tiered_search(data: DataFrame, queries: DataFrame, k: int, target: float = 0.96) -> DataFrame:
-    """Parameters by the number of vectors: with fewer than 1,000 a scan of all, beyond that a walk over the graph that they set."""
+    """Parameters by the number of vectors: with fewer than 1,000 a scan of all, beyond that a walk over the graph that they set, or, where ``target`` asks for a recall of 1, a scan again."""
     from lodestone.operators.state import universal_params
 
     n = data.count()
     p = queries.sparkSession.range(1).select(universal_params(F.lit(n), F.lit(64), F.lit(target)).alias("p")).first().p
-    if p.layers == 1:
+    if p.layers == 1 or target >= 1:  # no walk can promise all
         return knn(data, queries, k)
     return GraphIndex.build(data, p.m).search(queries, k, max(p.ef, 4 * k), p.entry_points)
