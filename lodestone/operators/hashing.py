@@ -37,15 +37,17 @@ def swift_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_
 
 def fusion_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_probes: int = 8, factor: float = 3.0, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
     """Buckets in probe order; stops once factor * k candidates lie within the k-th best distance so far."""
-    met = probes(queries, planes, n_probes).join(bucketed(data, planes).select("bucket", "id", "vector"), "bucket").select("query_id", "probe", "id", V.distance(metric, F.col("qv"), F.col("vector")).alias("distance"))
+    from lodestone.operators.lists import probed
+
     most = ceil(factor * k)  # the most-th best distance is no more than the k-th once so many lie within it
-    place = F.row_number().over(Window.partitionBy("query_id", "probe").orderBy("distance"))
-    near = met.withColumn("place", place).where(F.col("place") <= max(most, k))  # a bucket's others can't change either
+    asked = saved(probes(queries, planes, n_probes).withColumn("turn", F.monotonically_increasing_id()))
+    each = probed(bucketed(data, planes), asked.select(F.col("turn").alias("query_id"), "bucket"), asked.select(F.col("turn").alias("query_id"), F.col("qv").alias("vector")), max(most, k), metric)
+    near = saved(each.select(F.col("query_id").alias("turn"), "id", "distance").join(asked.select("turn", "query_id", "probe"), "turn"))  # a bucket's others can't change either
     lists = near.groupBy("query_id", "probe").agg(F.collect_list("distance").alias("ds"))
     upto = lists.withColumn("seen", F.array_sort(F.flatten(F.collect_list("ds").over(Window.partitionBy("query_id").orderBy("probe")))))
     enough = F.try_element_at("seen", F.lit(max(most, 1))) <= F.try_element_at("seen", F.lit(k))
     stop = upto.where(enough).groupBy("query_id").agg(F.min("probe").alias("stop"))
-    kept = met.join(stop, "query_id", "left").where(F.col("stop").isNull() | (F.col("probe") <= F.col("stop")))
+    kept = near.join(stop, "query_id", "left").where(F.col("stop").isNull() | (F.col("probe") <= F.col("stop")))
     return top_k(kept.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k).select("query_id", "rank", "id", "distance")
 
 
@@ -103,7 +105,10 @@ def bucket_stats(data: DataFrame, planes: Planes) -> DataFrame:
 
 def lsh_neighbors(data: DataFrame, queries: DataFrame, planes: Planes, n_probes: int, most: int) -> DataFrame:
     """(query_id, id, place): the first ``most`` ids in probe order, then by id; not ranked by distance."""
-    met = probes(queries, planes, n_probes).join(bucketed(data, planes).select("bucket", "id"), "bucket").where("id != query_id")
+    # A bucket's first most + 1 ids are all that can count, one of which may be the query's own.
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+    lists = bucketed(data, planes).where("id is not null").select("bucket", "id").distinct().withColumn("place", place).where(F.col("place") <= most + 1).drop("place")
+    met = probes(queries, planes, n_probes).join(lists, "bucket").where("id != query_id")
     first = met.groupBy("query_id", "id").agg(F.min("probe").alias("probe"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("probe", "id"))
     return first.withColumn("place", place).where(F.col("place") <= most).select("query_id", "id", "place")
