@@ -19,6 +19,7 @@ from lodestone.operators.routing import CentroidGraph, graph_assign, graph_kmean
 from lodestone.plans.storage import discard, saved, ship
 from lodestone.sources.vectors import latest_version, read_meta, write_meta
 
+STEP = 4096  # queries that meet a bucket at once
 FOUND = "query_id long, id long, distance double"
 
 
@@ -33,6 +34,27 @@ def _merged(found: list[pa.Table], k: int) -> pa.Table:
     return table.take(pa.array(order[place < k]))
 
 
+def _last(merged: pa.Table, q_id: np.ndarray, k: int) -> np.ndarray:
+    """For each query the distance of its k-th in a merged table, infinite if there are fewer."""
+    q, d = merged.column(0).to_numpy(), merged.column(2).to_numpy()
+    keys, first, n = np.unique(q, return_index=True, return_counts=True)
+    full = dict(zip(keys[n >= k].tolist(), d[first[n >= k] + k - 1].tolist()))
+    return np.array([full.get(i, np.inf) for i in q_id.tolist()])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def probed(data: DataFrame, routes: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
     """(query_id, rank, id, distance): the best ``k`` of ``data`` (bucket, id, vector) among the buckets that ``routes`` (query_id, bucket) names for each of ``queries`` (query_id, vector).
 
@@ -63,19 +85,27 @@ def probed(data: DataFrame, routes: DataFrame, queries: DataFrame, k: int, metri
             q_id, q, askers = shared.value
             held: list[pa.Table] = []
             rows = 0
-            for b in batches:
-                if not b.num_rows or not len(q):
+            last = np.full(len(q), np.inf)  # of each query's best so far the k-th
+            for b in _gathered(batches, exact.SLICE):
+                if not len(q):
                     continue
                 bucket, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))
                 order = np.argsort(bucket, kind="stable")
                 keys, first = np.unique(bucket[order], return_index=True)
                 for key, mine in zip(keys.tolist(), np.split(order, first[1:])):
                     if (who := askers.get(key)) is not None:
-                        held.append(_best(metric, q_id[who], q[who], ids[mine], x[mine], k))
-                        rows += held[-1].num_rows
-                if rows > 4 * k * len(q):
-                    held = [_merged(held, k)]
-                    rows = held[0].num_rows
+                        for at in range(0, len(who), STEP):
+                            some = who[at : at + STEP]
+                            near = _best(metric, some, q[some], ids[mine], x[mine], k)  # by place
+                            place, d = near.column(0).to_numpy(), near.column(2).to_numpy()
+                            near = near.filter(pa.array(d <= last[place])).set_column(0, "query_id", pa.array(q_id[place[d <= last[place]]]))
+                            if near.num_rows:
+                                held.append(near)
+                                rows += near.num_rows
+                            if rows > k * len(q) + 4 * k * STEP:
+                                held = [_merged(held, k)]
+                                rows = held[0].num_rows
+                                last = _last(held[0], q_id, k)
             if held:
                 yield from _merged(held, k).to_batches()
 
