@@ -13,7 +13,8 @@ from lodestone.functions.vectors import Metric
 from lodestone.plans.storage import ship
 
 BROADCAST_CELLS = 4_000_000  # components of queries that are sent to every task, at most
-SLICE, BLOCK = 16_384, 1024
+PART = 2048  # rows measured at once
+SLICE, BLOCK = 65_536, 32_768  # rows and queries of a cell, at most about
 
 
 class EmptyIndexError(ValueError):
@@ -62,6 +63,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _best(metric: Metric, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, scale: np.ndarray | None = None) -> pa.Table:
     """The best ``k`` of each query: picked by matrix products, then measured term by term; ``scale`` multiplies each row's distances."""
     scale = np.ones(len(x)) if scale is None else scale
+    if len(x) > PART >= 4 * k and len(q):
+        return _best_of_many(metric, q_id, q, ids, x, k, scale)
     out: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(q) if len(x) else 0, 64):
         mine = q[at : at + 64]
@@ -84,6 +87,32 @@ def _best(metric: Metric, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: n
     return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "id": pa.array(cols[1].astype(np.int64)), "distance": pa.array(cols[2].astype(np.float64))})
 
 
+def _best_of_many(metric: Metric, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, scale: np.ndarray) -> pa.Table:
+    """What ``_best`` gives, from parts of ``x`` that fit a cache: after the first, only what is no further than a query's k-th so far is looked at."""
+    out: list[pa.Table] = []
+    margin = 1e-6 * (1 + max(np.abs(q).max(), np.abs(x).max())) * max(1.0, scale.max())  # the products' rounding, under a root
+    for at in range(0, len(q), 128):
+        mine = q[at : at + 128]
+        first = _best(metric, np.arange(len(mine)), mine, np.arange(PART), x[:PART], k, scale[:PART])
+        row, got, d = (first.column(c).to_numpy() for c in range(3))
+        got = np.concatenate([g[np.lexsort((ids[g], e))] for g, e in zip(np.split(got, len(mine)), np.split(d, len(mine)))])
+        d = d.copy()
+        for start in range(PART, len(x), PART):
+            near = _distances(metric, mine, x[start : start + PART]) * scale[start : start + PART]
+            a, b = np.nonzero(near <= d.reshape(len(mine), k)[:, -1:] + margin)
+            if len(a):
+                b = b + start
+                e = _exact(metric, mine[a], x[b][:, None])[:, 0] * scale[b]
+                row, got, d = np.concatenate((row, a)), np.concatenate((got, b)), np.concatenate((d, e))
+                order = np.lexsort((ids[got], d, row))
+                row, got, d = row[order], got[order], d[order]
+                n = np.bincount(row, minlength=len(mine))
+                keep = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < k
+                row, got, d = row[keep], got[keep], d[keep]
+        out.append(pa.table({"query_id": pa.array(q_id[at : at + 128][row].astype(np.int64)), "id": pa.array(ids[got].astype(np.int64)), "distance": pa.array(d)}))
+    return pa.concat_tables(out).combine_chunks()
+
+
 def knn(data: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUCLIDEAN, scale: Column | float = 1.0) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest rows of ``data`` (id, vector) for each of ``queries`` (query_id, vector).
 
@@ -114,7 +143,9 @@ def knn(data: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.EUC
 
         found = data.mapInArrow(scan, schema)
     else:
-        n_blocks, n_slices = -(-size.n // BLOCK), max(1, -(-data.count() // SLICE))
+        n_slices = max(1, -(-data.count() // SLICE))
+        # Where that makes few cells, queries are parted further, so that all cores have some.
+        n_blocks = max(-(-size.n // BLOCK), min(-(-size.n // 1024), 2 * spark.sparkContext.defaultParallelism // n_slices))
         cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         left = data.select(cut("id", n_slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "vector", "scale")
         right = queries.select(cut("query_id", n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"), "query_id", "vector")
