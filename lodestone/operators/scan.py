@@ -76,9 +76,10 @@ def multimodal_scan(data: DataFrame, queries: DataFrame, k: int, weights: tuple[
         owner = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(maps.cast(pa.list_(pa.struct([("key", maps.type.key_type), ("value", maps.type.item_type)])))).fill_null(0)))
         keys, values = maps.keys.to_pylist() if len(owner) else [], np.asarray(maps.items, np.float64) if len(owner) else np.zeros(0)
         norm = np.sqrt(np.bincount(owner, values * values, n)) if len(owner) else np.zeros(n)
-        by: dict[str, list[int]] = {}
+        held: dict[str, list[int]] = {}
         for i, key in enumerate(keys):
-            by.setdefault(key, []).append(i)
+            held.setdefault(key, []).append(i)
+        by = {key: np.array(i) for key, i in held.items()}
 
         def of(q: dict) -> tuple[np.ndarray, np.ndarray]:
             above, below = np.zeros(n), np.zeros(n)
@@ -89,8 +90,9 @@ def multimodal_scan(data: DataFrame, queries: DataFrame, k: int, weights: tuple[
                     below[there] += w
             if q["sparse"] is not None and sparse.any():
                 terms = dict(q["sparse"])
-                at = [(i, terms[t]) for t in terms if t in by for i in by[t]]
-                dot = np.bincount(owner[[i for i, _ in at]], values[[i for i, _ in at]] * [w for _, w in at], n) if at else np.zeros(n)
+                known = [t for t in terms if t in by]
+                at = np.concatenate([by[t] for t in known]) if known else np.zeros(0, np.int64)
+                dot = np.bincount(owner[at], values[at] * np.repeat([terms[t] for t in known], [len(by[t]) for t in known]), n) if known else np.zeros(n)
                 both = norm * np.sqrt(sum(w * w for w in terms.values()))
                 cos = np.divide(dot, both, out=np.zeros(n), where=both > 0)
                 above[sparse] += weights[1] * (1 - np.clip(cos[sparse], -1, 1))
