@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from array import array
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import regex
 KEPT = 800_000
 KEPT_BYTES = 64 << 20  # of words and their pre-tokens that a worker remembers, about
 LONG = 1 << 10  # longer ones are never remembered
-RUN = 500  # new parts in one call
+RUN = 100  # new parts that are encoded as one
 PLAIN = "֐"  # below it, letters and white space are the same in every Unicode version in use
 ENDS = ".,;:!?"
 SPANS = regex.compile(r"[\p{L}\uFFFD][ .,;:!?]|[.,;:!?] ")  # a token like this could join what the pattern parts
@@ -43,6 +44,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _unparted(tok):
+    """A byte-level tokenizer's model alone: what it is given is one pre-token."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(tok.model)
+    out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return out
+
+
 class _Model:
     """A tokenizer's model on single pre-tokens."""
 
@@ -65,7 +75,7 @@ def _split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Offsets, codes and distinct values of the texts' parts between single spaces."""
     parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     coded = parts.flatten().dictionary_encode()
-    return np.asarray(parts.offsets), np.asarray(coded.indices), coded.dictionary.to_pylist()
+    return np.asarray(parts.offsets), np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes eight times as long
 
 
 class ByteLevelIds(_Model):
@@ -77,6 +87,7 @@ class ByteLevelIds(_Model):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
+        self.unparted = _unparted(self.tok)
         vocab, space = self.tok.get_vocab(), self.chars[32]
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t[0] == space]] = True
@@ -114,12 +125,11 @@ class ByteLevelIds(_Model):
         for direct in (True, False):
             mine = [p for p, d in zip(parts, plain) if d == direct]
             runs = [mine[i : i + RUN] for i in range(0, len(mine), RUN)]
-            if direct:
-                found = ([t.id for t in self.model.tokenize((" " + " ".join(r)).encode().decode("latin-1").translate(self.chars))] for r in runs)
-            else:
-                found = (e.ids for e in self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False))
-            for run, got in zip(runs, found):
-                self._store(run, np.array(got, np.uint32))
+            tok = self.unparted if direct else self.tok
+            for i in range(0, len(runs), RUN):
+                found = tok.encode_batch_fast([" " + " ".join(r) for r in runs[i : i + RUN]], add_special_tokens=False)
+                for run, got in zip(runs[i : i + RUN], found):
+                    self._store(run, np.array(got.ids, np.uint32))
 
     def _store(self, run: list[str], ids: np.ndarray) -> None:
         starts = np.flatnonzero(self.opens[ids])
@@ -144,9 +154,13 @@ class ByteLevelIds(_Model):
         if bad.any():
             hit = np.add.reduceat(bad[codes].astype(np.int64), offsets[:-1])
             whole |= (hit > 0) & ~((lengths == 1) & (np.array([len(t) for t in texts]) == 0))
-        at, parts = self.at, ["" if b else p for b, p in zip(bad.tolist(), parts)]
-        self._learn([p for p in parts if p and p not in at])
-        key = np.array([at[p] if p else 0 for p in parts], np.int64)[codes]
+        place = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero((place < 0) & ~bad)
+        unknown = [parts[i] for i in new.tolist()]
+        self._learn(unknown)
+        place[new] = np.fromiter(map(self.at.get, unknown), np.int64, len(unknown))
+        place[bad] = 0
+        key = place[codes]
         key[offsets[:-1]] = [0 if w or not t else self._leading(t.partition(" ")[0]) for t, w in zip(texts, whole.tolist())]
         key[np.repeat(whole, lengths)] = 0
         first, count = np.frombuffer(self.first, np.int64)[key], np.frombuffer(self.count, np.int64)[key]

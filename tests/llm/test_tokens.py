@@ -135,6 +135,34 @@ def test_pre_tokens_are_counted_once(spark):
     assert len({r.dictionary for r in token_counts.frequencies(docs, path, block=60, most=4).collect()}) > 5
 
 
+def test_piecewise_looks_each_part_up_once():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.n += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            Counted.n += 1
+            return super().__contains__(k)
+
+    path = P.path("byte_bpe_50k.json")
+    ids, tok = piecewise.ByteLevelIds(path), piecewise.tokenizer(path)
+    texts = ["One " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} Größe{i}, (x{i})." for i in range(300)), "", "  odd  ones\n here", "a b c"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for again in range(2):  # new parts, then known ones
+        got, sizes = ids(texts)
+        assert [x.tolist() for x in np.split(got, np.cumsum(sizes)[:-1])] == want
+        ids.at = Counted(ids.at)
+    ids(texts)
+    assert Counted.n // 2 <= len(set(" ".join(texts).split(" "))) + len(texts)  # of two calls
+
+
 def test_piecewise_forgets(monkeypatch):
     monkeypatch.setattr(piecewise, "KEPT", 5)
     ids = piecewise.ByteLevelIds(P.path("byte_bpe_50k.json"))
