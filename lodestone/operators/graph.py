@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
-from lodestone.operators.descent import descended
+from lodestone.operators.descent import EDGE, cells_of, descended, in_cells, sorted_rows
+from lodestone.operators import exact
 from lodestone.operators.exact import knn, top_k
 from lodestone.operators.shortlist import rounded_distances, shortlisted
 from lodestone.plans.storage import saved, ship
@@ -61,20 +62,29 @@ def rng_prune(edges: DataFrame, data: DataFrame, m: int, factor: float = 0.95, s
     ship(edges.sparkSession)
     first = int(share * m)
 
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["distance", "dst"], kind="stable")
-        x, d = np.array(group["vector"].tolist()), group["distance"].to_numpy()
-        chosen: list[int] = []
-        for i in range(len(d)):
-            if len(chosen) >= first:
-                break
-            if not chosen or not (np.linalg.norm(x[chosen] - x[i], axis=1) < factor * d[i]).any():
-                chosen.append(i)
-        chosen += [i for i in range(len(d)) if i not in set(chosen)][: m - len(chosen)]
-        return group.iloc[sorted(chosen)][["src", "dst", "distance"]]
-
-    met = edges.join(data.select(F.col("id").alias("dst"), "vector"), "dst").select("src", "dst", "distance", "vector")
-    return met.groupBy("src").applyInPandas(prune, "src long, dst long, distance double")
+    def prune(edges: pa.Table, known: pa.Table) -> pa.Table:
+        ids, vectors, _ = sorted_rows(known) if known.num_rows else (np.zeros(0, np.int64), None, None)
+        src, dst, length = (edges.column(c).to_numpy() for c in ("src", "dst", "distance"))
+        there = np.isin(dst, ids)
+        src, dst, length = src[there], dst[there], length[there]
+        order = np.lexsort((dst, length, src))
+        src, dst, length = src[order], dst[order], length[order]
+        at, edge = np.searchsorted(ids, dst), np.flatnonzero(np.diff(src, prepend=src[:1] - 1, append=src[-1:] + 1))
+        kept = []
+        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            x, d = vectors[at[start:end]], length[start:end]
+            chosen: list[int] = []
+            for i in range(len(d)):
+                if len(chosen) >= first:
+                    break
+                if not chosen or not (np.linalg.norm(x[chosen] - x[i], axis=1) < factor * d[i]).any():
+                    chosen.append(i)
+            chosen += [i for i in range(len(d)) if i not in set(chosen)][: m - len(chosen)]
+            kept += [start + i for i in sorted(chosen)]
+        kept = np.array(kept, np.int64)
+        return pa.table({"src": src[kept], "dst": dst[kept], "distance": length[kept]})
+
+    return in_cells(edges.select("src", "dst", "distance"), "src", ["dst"], data.select("id", "vector"), cells_of(data.sparkSession, data.count()), prune, EDGE)
 
 
 def zenith_params(dim: int, k: int) -> dict[str, float]:
@@ -152,6 +162,9 @@ def walk(data: DataFrame, edges: DataFrame, queries: DataFrame, starts: DataFram
     edges don't reach isn't found.
     """
     known, asked = data.select("id", "vector"), queries.select("query_id", F.col("vector").alias("qv"))
+    # With few queries, as for ``knn``, vectors stay where they meet the pairs; Spark's own estimate of their size is that of the whole table.
+    if asked.agg(F.coalesce(F.sum(F.size("qv")), F.lit(0)).alias("cells")).first().cells <= exact.BROADCAST_CELLS:
+        asked = F.broadcast(asked)
 
     def measured(pairs: DataFrame) -> DataFrame:
         met = pairs.join(known, "id").join(asked, "query_id")

@@ -55,3 +55,65 @@ def test_a_walk_over_a_descended_graph(spark):
     index = graph.GraphIndex.build(data, 16)
     found = index.search(queries, 10)
     assert recall_summary(recall_at_k(found, knn(data, queries, 10), 10)).first().avg_recall >= 0.95
+
+
+def test_a_vector_goes_once_to_each_cell(spark, monkeypatch):
+    monkeypatch.setattr(descent, "CELL", 150)
+    sent, measured, asked, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), [], descent.in_cells
+
+    def counted(refs, by, members, data, cells, of_cell, schema):
+        def run(pairs, known):
+            assert len(set(known.column("id").to_pylist())) == known.num_rows
+            sent.add(known.num_rows)
+            measured.add(pairs.num_rows)
+            return of_cell(pairs, known)
+
+        asked.append(cells)
+        return real(refs, by, members, data, cells, run, schema)
+
+    monkeypatch.setattr(descent, "in_cells", counted)
+    data = saved(generate_uniform(spark, 8, 600))
+    found = saved(descent.descended(data, 10))
+    assert set(asked) == {4} and 0 < sent.value <= 600 * sum(asked) < measured.value / 2
+    assert recall(found, graph.knn_graph(data, 10)) >= 0.95
+
+
+@pytest.mark.parametrize("held", [4_000_000, 10])
+def test_finds_are_the_best_of_all_neighbourhoods(monkeypatch, held):
+    monkeypatch.setattr(descent, "HELD", held)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 3)).astype(np.float32)
+    centre, member, fresh, worst = rng.integers(0, 8, 90), rng.integers(0, 30, 90), rng.random(90) < 0.4, rng.uniform(1, 4, 30)
+    want = {}
+    for c in range(8):
+        new = {m: fresh[(centre == c) & (member == m)].any() for m in set(member[centre == c].tolist())}
+        for a in new:
+            for b in new:
+                d = np.linalg.norm(x[a].astype(float) - x[b])
+                if a != b and (new[a] or new[b]) and d < worst[a]:
+                    want.setdefault(a, {})[b] = d
+    (a, b, d), _ = descent._finds(centre, member, fresh, worst, x, 4)
+    got = {}
+    for i, j, e in zip(a.tolist(), b.tolist(), d):
+        assert abs(e - want[i][j]) < 1e-6
+        got.setdefault(i, []).append(j)
+    assert got == {i: sorted(w, key=w.get)[:4] for i, w in want.items()}
+
+
+def test_pruning_in_cells_is_that_of_each_list(spark):
+    data = saved(generate_uniform(spark, 4, 300))
+    edges = graph.knn_graph(data, 9).drop("rank").collect()
+    x, lists = {r.id: np.array(r.vector) for r in data.collect()}, {}
+    for e in sorted(edges, key=lambda e: (e.src, e.distance, e.dst)):
+        lists.setdefault(e.src, []).append((e.dst, e.distance))
+    want = set()
+    for src, near in lists.items():
+        chosen = []
+        for dst, d in near:
+            if len(chosen) < 3 and all(np.linalg.norm(x[c] - x[dst]) >= 0.95 * d for c, _ in chosen):
+                chosen.append((dst, d))
+        chosen += [e for e in near if e not in chosen][: 5 - len(chosen)]
+        want |= {(src, dst, d) for dst, d in chosen}
+    rows = spark.createDataFrame([tuple(e) for e in edges], "src long, dst long, distance double")
+    assert {tuple(r) for r in graph.rng_prune(rows, data, 5).collect()} == want
+    assert graph.rng_prune(rows.limit(0), data, 5).collect() == []
