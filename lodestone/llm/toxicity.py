@@ -132,11 +132,10 @@ def fit(given: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, d
     return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]), prior)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(id, distinct buckets, how often each occurs, label) of at most ``sample`` labelled rows of class 0 and 1, the first ones by a hash of their ids.
+def sampled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, y, ids, times), the last two packed: distinct buckets and how often each occurs, of the rows of at most ``sample`` labelled ids of class 0 and 1, the first ones by a hash.
 
-    Rows without id or with a label other than 0 and 1 are left out; an id with both labels counts as 1. Executors
-    turn texts into buckets, so the driver gets at most 2^16 buckets for each sampled row.
+    Rows without id or with a label other than 0 and 1 are left out; an id with both labels counts as 1.
     """
     ship(docs.sparkSession)
     given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -155,14 +154,31 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
                 ids, times = np.unique(ids, return_counts=True)
                 yield pa.record_batch([pa.array([r["doc_id"]], pa.int64()), pa.array([r["y"]], pa.int32()), pa.array([ids.astype(np.uint16).tobytes()], pa.binary()), pa.array([times.astype(np.int32).tobytes()], pa.binary())], ["doc_id", "y", "ids", "times"])
 
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary, times binary").collect()
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary, times binary")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, **kw) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(id, distinct buckets, how often each occurs, label) of the rows that ``sampled`` gives, for ``compared``: the driver holds at most 2^16 buckets for each."""
+    rows = sampled(docs, labels, **kw).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.ids), bytes(r.times)))
     return [(r.doc_id, np.frombuffer(r.ids, np.uint16), np.frombuffer(r.times, np.int32), r.y) for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, **kw) -> Model:
-    """A model from the rows that ``labelled`` gives."""
-    return fit([r[1:] for r in labelled(docs, labels, **kw)])
+    """A model from the rows that ``sampled`` gives, in the order of ``labelled``. It is fitted in a task, so the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = []
+        for b in batches:
+            y, ids, times = (b.column(b.schema.get_field_index(c)) for c in ("y", "ids", "times"))
+            given += [(np.frombuffer(i.as_buffer(), np.uint16), np.frombuffer(t.as_buffer(), np.int32), label) for i, t, label in zip(ids, times, y.to_pylist())]
+        if given:
+            m = fit(given)
+            yield pa.record_batch([pa.array([m.parts.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.prior], pa.float64())], ["parts", "bias", "prior"])
+
+    rows = sampled(docs, labels, **kw).repartition(1).sortWithinPartitions("doc_id", "ids", "times")
+    found = rows.mapInArrow(run, "parts binary, bias double, prior double").collect()
+    return Model(np.frombuffer(found[0].parts, np.float32), found[0].bias, found[0].prior) if found else fit([])
 
 
 def compared(rows: list[tuple[int, np.ndarray, np.ndarray, int]], settings: list[dict], threshold: float = 0.7) -> list[tuple[float, float, float, dict]]:

@@ -92,6 +92,21 @@ def test_settings_are_chosen_without_held_out_rows(spark):
     assert [x[3] for x in found] == settings and found[0][0] < found[1][0] and found == toxicity.compared(rows, settings)
 
 
+def test_the_driver_gets_the_model_and_not_the_rows_it_is_fitted_on(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(10**9)}" for _ in range(150)) for _ in range(160)] + [None, ""]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, "again"), (None, "x")]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(i, i % 2) for i in range(162)], "doc_id long, toxic int")
+    rows = toxicity.labelled(df, lab)
+    want = toxicity.fit([r[1:] for r in rows])
+    assert len(rows) == 164 and sum(r[1].nbytes + r[2].nbytes for r in rows) > 3 * want.parts.nbytes
+    plain, got = type(df).collect, []
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(plain(self)) or got[-1])
+    model = toxicity.train(df, lab)
+    assert 0 < sum(len(x) for found in got for r in found for x in r if isinstance(x, (bytes, bytearray))) <= want.parts.nbytes
+    assert np.allclose(model.parts, want.parts, atol=1e-5) and model.bias == pytest.approx(want.bias) and model.prior == want.prior
+
+
 def test_buckets_are_those_of_single_texts():
     texts = ["", "a", "Hello wörld", "日本 x", "😀😀 ok", "a\0b", "abc def"]
     ids, n = toxicity.buckets(texts)
