@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -36,19 +35,18 @@ def swift_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_
 
 
 def fusion_search(data: DataFrame, queries: DataFrame, planes: Planes, k: int, n_probes: int = 8, factor: float = 3.0, metric: Metric = Metric.EUCLIDEAN) -> DataFrame:
-    """Buckets in probe order; stops once factor * k candidates lie within the k-th best distance so far."""
+    """The best ``k`` of all probed buckets; with as many probes as there are buckets, of all rows.
+
+    No bucket is left out early. That factor * k candidates lie within the k-th best distance so far, the sign to stop at
+    otherwise, only comes of ties, and nearer vectors can lie in the buckets after it; so ``factor`` changes nothing.
+    """
     from lodestone.operators.lists import probed
 
-    most = ceil(factor * k)  # the most-th best distance is no more than the k-th once so many lie within it
-    asked = saved(probes(queries, planes, n_probes).withColumn("turn", F.monotonically_increasing_id()))
-    each = probed(bucketed(data, planes), asked.select(F.col("turn").alias("query_id"), "bucket"), asked.select(F.col("turn").alias("query_id"), F.col("qv").alias("vector")), max(most, k), metric)
-    near = saved(each.select(F.col("query_id").alias("turn"), "id", "distance").join(asked.select("turn", "query_id", "probe"), "turn"))  # a bucket's others can't change either
-    lists = near.groupBy("query_id", "probe").agg(F.collect_list("distance").alias("ds"))
-    upto = lists.withColumn("seen", F.array_sort(F.flatten(F.collect_list("ds").over(Window.partitionBy("query_id").orderBy("probe")))))
-    enough = F.try_element_at("seen", F.lit(max(most, 1))) <= F.try_element_at("seen", F.lit(k))
-    stop = upto.where(enough).groupBy("query_id").agg(F.min("probe").alias("stop"))
-    kept = near.join(stop, "query_id", "left").where(F.col("stop").isNull() | (F.col("probe") <= F.col("stop")))
-    return top_k(kept.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k).select("query_id", "rank", "id", "distance")
+    asked = saved(queries.select("query_id", "vector").withColumn("turn", F.monotonically_increasing_id()))  # rows with the same query_id are asked each
+    routes = probes(asked.select(F.col("turn").alias("query_id"), "vector"), planes, n_probes).select("query_id", "bucket")
+    near = saved(probed(bucketed(data, planes), routes, asked.select(F.col("turn").alias("query_id"), "vector"), k, metric).select(F.col("query_id").alias("turn"), "id", "distance"))
+    found = near.join(asked.select("turn", "query_id"), "turn")
+    return top_k(found, k).select("query_id", "rank", "id", "distance")
 
 
 def seer_probes(data: DataFrame, queries: DataFrame, planes: Planes, least: int = 50) -> DataFrame:

@@ -89,6 +89,17 @@ def test_probes_in_order_send_only_the_best_of_each(spark):
     assert "zip_with" not in plan(got) and tidy(got) == tidy(exact.knn(data, queries, 5))
 
 
+def test_fusion_search_leaves_out_no_bucket(spark):
+    x = [(i, (3.0, 0.1)) for i in range(40)] + [(i, (0.1 * i, -0.1)) for i in range(40, 45)]  # copies in the query's own bucket, nearer ones in the next
+    data, one = frame(spark, x), asked(spark, (4.2, 0.05))
+    got = tidy(hashing.fusion_search(data, one, [[0.0, 1.0], [1.0, 0.0]], 3, 4))
+    assert got == tidy(exact.knn(data, one, 3)) and {r[2] for r in got} <= set(range(40, 45))
+    sf = "/root/testdata/sf0.001"
+    assert tidy(Q.QUERIES["fusion_search"](spark, sf)) == tidy(Q.QUERIES["knn_batch"](spark, sf))
+    for name in ("fusion_search", "fusion_search_four_probes"):
+        assert difference(Q.QUERIES[name](spark, sf), connect(sf), Q.ORACLE_SQL[name]) == ""
+
+
 def test_first_ids_of_buckets(spark):
     data, queries = S.generate_uniform(spark, 8, 400), S.generate_uniform(spark, 8, 400).where("id < 30").withColumnRenamed("id", "query_id")
     planes = S.rows(3, 8, 5, -1, 1, True)
