@@ -113,3 +113,15 @@ def test_products_of_all_that_share_a_word_need_no_shuffle(spark, corpus, monkey
     again = docs.where("doc_id < 9").unionByName(docs.where("doc_id < 9").selectExpr("doc_id", "concat('rare ', text) AS text"))
     split = lambda df: sorted((r.id, *p) for r in df.collect() for p in zip(r.terms, r.weights))
     assert split(doc_terms(postings.merged_texts(again))) == sorted(map(tuple, hybrid.term_weights(again).collect()))
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_texts_are_shuffled_only_where_an_id_repeats(spark, corpus, monkeypatch, most):
+    docs, _, asked, _ = corpus
+    alone = postings.merged_texts(docs)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in postings.products(doc_terms(alone, named=False), asked)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(postings, "REPEATED", most)
+    again = docs.unionByName(docs.where("doc_id is null or doc_id < 3 or doc_id > 399").selectExpr("doc_id", "concat('rare ', text) AS text"))
+    split = lambda df: sorted((str(r.id), *p) for r in df.collect() for p in zip(r.terms, r.weights))
+    assert split(doc_terms(postings.merged_texts(again), named=False)) == sorted((str(r.id), r.term, r.weight) for r in hybrid.term_weights(again).collect())
