@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators.exact import top_k
-from lodestone.plans.storage import saved
+from lodestone.plans.storage import saved, ship
 
 MODAL_WEIGHTS = (0.6, 0.3, 0.1)  # dense, sparse, audio
 
@@ -73,6 +77,30 @@ def dense_first(data: DataFrame, terms: DataFrame, queries: DataFrame, asked: Da
     return top_k(ranked, k).select("query_id", "rank", "id", "distance")
 
 
+def ranked_with_terms(near: DataFrame, each: DataFrame, asked: DataFrame, k: int, weight: float = 0.6) -> DataFrame:
+    """What ``dense_first`` makes of its nearest: ``near`` (query_id, id, distance) ranked by distance and terms. ``each`` (id, terms, weights) has the words of rows, ``asked`` those of queries, ids unique.
+
+    Words stay beside each other in their document's row, so a pair is one row of two joins, however many words it has.
+    """
+    ship(near.sparkSession)
+    asked = asked.select(F.col("id").alias("query_id"), F.col("terms").alias("qterms"), F.col("weights").alias("qweights"))
+    pairs = near.select("query_id", "id", "distance").join(each.select("id", "terms", "weights"), "id", "left").join(asked, "query_id", "left")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cosine = []
+            for terms, weights, qterms, qweights in zip(*(b.column(i).to_pylist() for i in range(3, 7))):
+                known = dict(zip(qterms or [], qweights or []))
+                dot = sum(w * known[t] for t, w in zip(terms or [], weights or []) if t in known)
+                cosine.append(dot / (math.sqrt(sum(w * w for w in weights)) * math.sqrt(sum(w * w for w in qweights))) if dot else 0.0)
+            yield pa.record_batch([*b.columns[:3], pa.array(cosine, pa.float64())], ["query_id", "id", "distance", "cosine"])
+
+    order = ("query_id", "id", "distance", "terms", "weights", "qterms", "qweights")
+    scored = pairs.select(*order).mapInArrow(meet, "query_id long, id long, distance double, cosine double")
+    ranked = scored.select("query_id", "id", (F.round(weight * V.squash(F.col("distance")) + (1 - weight) * (1 - F.col("cosine")), 12) + F.lit(0.0)).alias("distance"))
+    return top_k(ranked, k).select("query_id", "rank", "id", "distance")
+
+
 def multimodal_distance(prefix_a: str, prefix_b: str, weights: tuple[float, float, float] = MODAL_WEIGHTS, metric: Metric = Metric.EUCLIDEAN) -> Column:
     """Weighted mean over the modalities (_dense, _sparse, _audio) that both sides have; null if they share none."""
     parts = []

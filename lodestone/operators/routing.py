@@ -125,12 +125,12 @@ def graph_kmeans(data: DataFrame, n_clusters: int | None = None, iterations: int
 # --- routes by terms -------------------------------------------------------------------------------------------
 
 
-def term_clusters(terms: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(term, cluster_id, hits, mass) of a batch: the weight of ``terms`` (id, term, weight) within each of ``clusters`` (id, cluster_id), and over all of them.
+def term_clusters(terms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(term, cluster_id, hits, mass) of a batch: the weight of ``terms`` (id, term, weight) within each of ``clusters`` (id, cluster_id), and over all of them. Without ``clusters``, terms have a cluster_id.
 
     Sums of sums, so batches can be put together in any order.
     """
-    hits = terms.join(clusters.select("id", "cluster_id"), "id").groupBy("term", "cluster_id").agg(F.sum("weight").alias("hits"))
+    hits = (terms if clusters is None else terms.join(clusters.select("id", "cluster_id"), "id")).groupBy("term", "cluster_id").agg(F.sum("weight").alias("hits"))
     mass = hits.groupBy("term").agg(F.sum("hits").alias("mass"))
     # The hits lie by (term, cluster_id): by another key both sides are shuffled for this join alone.
     return hits.withColumn("of", F.concat(F.lit("/"), "term")).join(mass.select(F.concat(F.lit("/"), "term").alias("of"), "mass"), "of").select("term", "cluster_id", "hits", "mass")

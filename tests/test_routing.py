@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries as Q
 from lodestone.functions.vectors import Metric
+from lodestone.operators import exact, hybrid
 from lodestone.operators import routing as R
 from lodestone.operators.exact import knn, recall_at_k, recall_summary
 from lodestone.operators.lists import ListIndex
@@ -77,3 +78,18 @@ def test_matches_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["edge_prune", "edge_prune_importance", "edge_prune_distance"])
 def test_edge_strategies_match_sql(spark, sf_dir, name):
     assert difference(Q.QUERIES[name](spark, sf_dir), connect(sf_dir), Q.ORACLE_SQL[name]) == ""
+
+
+def test_words_stay_in_their_documents_rows(spark, sf_dir):
+    v, t = Q.vectors(spark, sf_dir), Q.terms(spark, sf_dir)
+    q, each = Q.asked(v), Q.terms_beside_vectors(spark, sf_dir)
+    near = exact.knn(v, q, 30).drop("rank")
+    got = hybrid.ranked_with_terms(near, each, each.where("id % 50 = 0"), 10)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, Q.rounded(got).collect())) == sorted(map(tuple, Q.rounded(hybrid.dense_first(v, t, q, Q.asked_terms(t), 10)).collect()))
+    assert {r.id for r in each.collect()} == {r.id for r in v.join(t, "id", "left_semi").collect()} | {r.id for r in each.where("size(terms) = 0").collect()}
+    c, words = Q.trained(v), Q.spread_terms(each.where("id % 50 = 0"))
+    tidy = lambda df: sorted((r.term, r.cluster_id, round(r.w, 9)) for r in df.join(words.select("term").distinct(), "term", "left_semi").collect())
+    table = Q.learned_table(spark, sf_dir, c, each, words)
+    assert tidy(table) == tidy(Q.learned_table(spark, sf_dir, c)) and table.join(words, "term", "left_anti").count() == 0
+    assert difference(Q.QUERIES["atlas_search"](spark, sf_dir), connect(sf_dir), Q.ORACLE_SQL["atlas_search"]) == ""
