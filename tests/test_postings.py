@@ -1,6 +1,8 @@
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,17 @@ def test_texts_are_shuffled_only_where_an_id_repeats(spark, corpus, monkeypatch,
     again = docs.unionByName(docs.where("doc_id is null or doc_id < 3 or doc_id > 399").selectExpr("doc_id", "concat('rare ', text) AS text"))
     split = lambda df: sorted((str(r.id), *p) for r in df.collect() for p in zip(r.terms, r.weights))
     assert split(doc_terms(postings.merged_texts(again), named=False)) == sorted((str(r.id), r.term, r.weight) for r in hybrid.term_weights(again).collect())
+
+
+def test_words_are_held_once_and_counted_a_few_texts_at_a_time():
+    texts = pa.record_batch([pa.array(range(1000)), pa.array([f"a b{i} a" for i in range(1000)])], ["id", "text"])
+    parts = list(postings._counted(iter([texts])))
+    assert max(p.num_rows for p in parts) <= postings.TEXTS and sum(p.num_rows for p in parts) == 1000
+    assert parts[-1].to_pylist()[-1] == {"id": 999, "terms": ["a", "b999"], "weights": [2.0, 1.0]}
+    words = [f"word number {i}" for i in range(50)]
+    table = pa.table({"query_id": pa.array(range(2000)), "terms": pa.array([words] * 1999 + [None]), "qweights": pa.array([[1.0] * 50] * 1999 + [None])})
+    asked = postings.Asked.of(table)
+    assert len(asked.words) == 50 and len(pickle.dumps(asked)) < 13 * 50 * 2000  # a code and a weight for each
+    block = postings.Block(np.arange(2), np.ones(2, bool), np.zeros((2, 0)), {"other": 0, words[7]: 1}, np.array([1, 2]), np.array([0, 1]), np.ones(2), np.ones(2))
+    met = list(asked.met(block))
+    assert [m[0] for m in met] == list(range(2000)) and met[3][1].tolist() == [1] and met[3][2].tolist() == [1.0] and met[-1][1].tolist() == []
